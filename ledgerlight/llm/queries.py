@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import packing, sharding, tokenio
 from .common import table
+from .tokens import vocabulary
+
+
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenio.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +25,8 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_mixture_packing": op8_mixture_packing,
+        "op9_token_files": op9_token_files,
         "op10_stratified_shards": op10_stratified_shards,
     }
 
