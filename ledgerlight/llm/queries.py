@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, packing, sharding, tokenio, topk
+from . import chat, html_extract, jaccard, packing, quality, sharding, tokenio, topk
 from .common import table
 from .tokens import vocabulary
 
@@ -16,6 +16,10 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.neighbours(table(spark, sf_dir, "conversations"))
 
@@ -36,6 +40,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -51,8 +59,10 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
+        "op2_jaccard_classes": op2_jaccard_classes,
         "op5_preference_pairs": op5_preference_pairs,
         "op6_top_products": op6_top_products,
+        "op7_line_crf": op7_line_crf,
         "op8_mixture_packing": op8_mixture_packing,
         "op9_token_files": op9_token_files,
         "op10_stratified_shards": op10_stratified_shards,
