@@ -53,7 +53,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             for at in range(0, batch.num_rows, 1_000):
                 piece = batch.slice(at, 1_000)
                 queues = piece["queue"].to_pylist()
-                ids = [enc.ids(t) + end for t in piece["text"].to_pylist()]
+                ids = [x + end for x in enc.ids(piece["text"].to_pylist())]
                 n, before = [len(x) // enc.dtype.itemsize for x in ids], []
                 for q, k in zip(queues, n, strict=True):
                     before.append(given.get(q, 0))

@@ -156,8 +156,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, files: int |
                     store.create_dir(root, recursive=True)
                     sink = store.open_output_stream(attempt)
                     writer = Writer(sink, enc.dtype, frame)
-                for doc_id, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
-                    writer.add(doc_id, enc.ids(text) + end)
+                for doc_id, ids in zip(rows["doc_id"].to_pylist(), enc.ids(rows["text"].to_pylist()), strict=True):
+                    writer.add(doc_id, ids + end)
         if writer:
             size = writer.close()
             sink.close()

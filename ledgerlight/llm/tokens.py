@@ -8,6 +8,7 @@ library fills; any other text, and one that may hold a special token's string, g
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -15,12 +16,16 @@ import unicodedata
 
 import numpy as np
 
-#: Pre-tokens kept per worker; about 250 bytes each.
-CACHE = 300_000
+#: Pre-tokens kept per worker; about 200 bytes each.
+CACHE = 800_000
 #: Fixed value: the pre-token pattern of byte-level BPE.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose class any Unicode version agrees on.
-LAST_PLAIN = 0x24F
+#: Characters up to here have the same class and the same one-character lower case in any Unicode version, and are their
+#: own normal form, but for those in ``ODD``.
+LAST_PLAIN = 0x17F
+ODD = "\x1c-\x1f\x85\xad\u0130"
+#: The steps of a normaliser that plain texts need only be lowered for: white space is dropped by its splitter.
+LOWERING = ["NFC", "Replace", "Lowercase"]
 
 
 def _class(kind: str) -> str:
@@ -36,7 +41,7 @@ def _plain(pattern: str) -> re.Pattern:
 
 
 class Encoder:
-    """``ids(text)`` gives the token ids as little-endian bytes of ``dtype``."""
+    """Encodes texts by one vocabulary file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,37 +50,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.normalize = self.tokenizer.normalizer.normalize_str if spec["normalizer"] else None
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]]) if n]
+        self.normalize = None if not kinds else str.lower if kinds == LOWERING else self.tokenizer.normalizer.normalize_str
         pre = spec["pre_tokenizer"] or {}
         steps = pre.get("pretokenizers", [pre])
         found = [s["pattern"].get("Regex") for s in steps if s.get("type") == "Split" and s["invert"] and s["behavior"] == "Removed"]
         found += [BYTE_LEVEL for s in steps if s.get("type") == "ByteLevel" and s["use_regex"] and not s["add_prefix_space"]]
         self.split = _plain(found[0]).findall if len(found) == 1 and found[0] else None
-        special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
-        # What the classes here and in the library may not agree on, and special tokens.
-        self.odd = re.compile(rf"[\x1c-\x1f\x85\xad{chr(LAST_PLAIN + 1)}-\U0010ffff]" + (f"|{special}" if special else "")).search
+        # Special tokens' strings, and what the classes here and in the library may not agree on.
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.odd = re.compile(f"[{ODD}{chr(LAST_PLAIN + 1)}-\U0010ffff]").search
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def ids(self, text: str | None) -> bytes:
+    def words(self, text: str | None) -> list[str] | None:
+        """The pre-tokens of a plain text; None for any other."""
         if not text:
-            return b""
-        if self.split is None or self.odd(text):
-            return self.whole(text)
-        words = self.split(self.normalize(text) if self.normalize else text)
+            return []
+        if self.split is None or any(x in text for x in self.special) or self.odd(text):
+            return None
+        return self.split(self.normalize(text) if self.normalize else text)
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as little-endian bytes of ``dtype``."""
+        split = [self.words(t) for t in texts]
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
         if len(cache) > CACHE:
             cache.clear()
-        new = list({w for w in words if w not in cache})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([cache[w] for w in words])
+        new: set[str] = set()
+        for words in split:
+            new.update(words or ())
+        new = [w for w in new if w not in cache]
+        made = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        flat, at, size = np.fromiter(itertools.chain.from_iterable(made), self.dtype).tobytes(), 0, self.dtype.itemsize
+        for w, ids in zip(new, made, strict=True):
+            cache[w] = flat[at : (at := at + size * len(ids))]
+        get = cache.__getitem__
+        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(2)
