@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, jaccard, packing, quality, sharding, tokenio, topk
+from . import chat, decontam, html_extract, jaccard, packing, quality, secrets, sharding, tokenio, topk
 from .common import table
 from .tokens import vocabulary
 
@@ -20,6 +20,14 @@ def op2_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.neighbours(table(spark, sf_dir, "conversations"))
 
@@ -60,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
         "op2_jaccard_classes": op2_jaccard_classes,
+        "op3_benchmark_passages": op3_benchmark_passages,
+        "op4_secret_spans": op4_secret_spans,
         "op5_preference_pairs": op5_preference_pairs,
         "op6_top_products": op6_top_products,
         "op7_line_crf": op7_line_crf,
