@@ -1,10 +1,71 @@
-"""The corpus pipeline: STAGES over ``documents``."""
+"""The corpus pipeline over ``documents``: quality, near duplicates, benchmark passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns a DataFrame, which is
+written as Parquet and read again for the next one. All but the last return the columns of documents.
+
+* quality classifier: documents that it rejects go.
+* n-gram Jaccard join: the smallest id of each class stays; a row repeated in full stays once.
+* benchmark decontamination: documents that hold a benchmark item go.
+* secret scans: every span found is replaced by ``[redacted]`` in the text, and n_chars follows; no document goes.
+* packing: the pieces of all documents that are left.
+
+Ids name documents here. Null ids and empty texts pass through like others. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlight.llm import decontam, jaccard, packing, quality, secrets
+from ledgerlight.llm.common import small, table, written
+from ledgerlight.llm.tokens import vocabulary
+
+
+def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``docs`` without the rows of ``ids``; these are broadcast while they are few."""
+    ids = written(ids.filter("doc_id is not null").distinct(), label)
+    return docs.join(small(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.similar(docs)
+    left = _without(docs, found.filter("class_id <> doc_id").select("doc_id"), "copies")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.passages(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select("doc_id"), "leaks")
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs)
+
+
+def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("packing", mixture_packing),
+]
+
+#: SQL can't express the classifier and the tokenizer; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
