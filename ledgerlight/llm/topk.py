@@ -89,8 +89,8 @@ class Block:
         local = np.divide(self.theta, reach, out=np.where(self.theta > 0, np.inf, -np.inf), where=reach > 0)
         alive = np.flatnonzero(local <= 1)
         self.counts["pruned"] += len(self.ids) - len(alive)
-        by_coordinates = alive[(local[alive] >= COORDINATES_FROM) & (lengths.min(initial=0) > 0)]
-        by_length = alive[(local[alive] < COORDINATES_FROM) | (lengths.min(initial=0) <= 0)]
+        high = (local[alive] >= COORDINATES_FROM) & (lengths.min(initial=np.inf) > 0)
+        by_coordinates, by_length = alive[high], alive[~high]
         self.counts["coordinates"] += len(by_coordinates)
         self.counts["length"] += len(by_length)
         found: list[tuple] = []
@@ -102,7 +102,8 @@ class Block:
                 for c in np.argsort(-np.abs(u), kind="stable")[:FOCUS]:
                     wide = np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(max(0.0, 1 - u[c] ** 2)) + 1e-9
                     x = unit[rows, c]
-                    rows = rows[(x >= t * u[c] - wide) & ((x <= t * u[c] + wide) if t * u[c] + wide < 1 and u[c] <= t else True)]
+                    low = t * u[c] - wide if u[c] > -t else -np.inf
+                    rows = rows[(x >= low) & (x <= (t * u[c] + wide if u[c] < t else np.inf))]
                 if len(rows):
                     found.append((np.full(len(rows), q), rows, self.products(np.full(len(rows), q), vectors[rows], pairs=True)))
         for at in range(0, len(by_length), 1_024):
