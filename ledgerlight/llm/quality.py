@@ -4,7 +4,7 @@ Each line is good or bad. A line's features are shares of character classes, len
 the line in its document, and the same of the lines before and after it. Two-state forward-backward gives each line's marginal
 probability of being good, and a document's score is the mean of its lines' marginals weighted by their lengths.
 
-The field is trained on the driver by its conditional likelihood on a bounded sample of labelled documents (``SAMPLE`` documents of
+The field is trained by its conditional likelihood, in one task, on a bounded sample of labelled documents (``SAMPLE`` documents of
 ``SAMPLE_CHARS`` characters at most, the first in the order of a hash of the id), a document's label being that of all its lines. Held-out
 documents never enter the sample. Scoring handles every whole text.
 
@@ -15,6 +15,7 @@ repeated in full are rows like others; an empty table gives no rows; further col
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 
@@ -204,10 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
     marks = marks.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(marks), F.col("id") == F.col("doc_id"))  # at most ``sample`` rows
     texts = texts.filter(F.length("text") <= chars).orderBy(F.xxhash64("id"), "id", "text").limit(sample)
-    got = texts.select("text", "good").collect()
-    if not got:
-        return None
-    return train([r["text"] for r in got], np.array([r["good"] for r in got]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if rows:
+            made = train([r["text"] for r in rows], np.array([r["good"] for r in rows]))
+            yield pa.record_batch({"model": pa.array([pickle.dumps(made)], pa.binary())})
+
+    got = texts.select("text", "good").mapInArrow(run, "model binary").first()  # the limit leaves one partition
+    return pickle.loads(got["model"]) if got else None
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
