@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import ship
 from .common import small, written
 from .words import mix, shingles
@@ -184,29 +185,6 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.select(ids, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, bands binary")
 
 
-def components(edges: DataFrame, label: str) -> DataFrame:
-    """(node, root) of the connected components of ``edges`` (a, b), a >= b: each node with its component's smallest node.
-
-    Alternating large-star and small-star steps; each step's edges are written to the shared folder.
-    """
-    edges = written(edges.distinct(), label)
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        # Small star: a node's smaller neighbours and itself join its smallest one.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        after = written(star.filter("a > b").distinct(), label)
-        # Done when nothing changes: every edge is a node and its root.
-        change = edges.select("a", "b").exceptAll(after.select("a", "b")).limit(1).count() or after.select("a", "b").exceptAll(edges.select("a", "b")).limit(1).count()
-        edges = after
-        if not change:
-            break
-    roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-
-
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Each of n members' smallest connected member, by the links i, j."""
     root = np.arange(n)
@@ -292,7 +270,7 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     buckets = reps.select("key", F.explode(each).alias("band"))
     heads = buckets.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
     edges = buckets.join(heads, "band").filter("key <> b").select(F.col("key").alias("a"), "b")
-    clusters = components(edges, "cluster-edges")
+    clusters = components(edges)
 
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = clusters.join(sizes, "root").join(reps.select("key", "k1", "k2", "rep", "times"), F.col("node") == F.col("key"))
@@ -301,7 +279,7 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
 
     links = written(_tiles(_with_shingles(docs, members), threshold), "links")
     found = links.groupBy("key").agg(F.sum("links").alias("others"))
-    trees = components(links.filter("key > root").select(F.col("key").alias("a"), F.col("root").alias("b")), "class-edges")
+    trees = components(links.filter("key > root").select(F.col("key").alias("a"), F.col("root").alias("b")))
 
     named = reps.select("k1", "k2", "key", "rep", "times").join(trees, F.col("key") == F.col("node"), "left").join(found, "key", "left")
     named = named.withColumn("tree", F.coalesce("root", "key"))
