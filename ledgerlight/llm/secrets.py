@@ -73,11 +73,11 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     The text between matches and the matches give the places by running sums, kept in chunks so that many matches cost no square.
     """
     p = F.lit(pattern)
-    gaps, found, groups = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    rows = F.transform(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("a"), found.alias("b"), groups.alias("c")),
-        lambda z: F.struct(F.length(z["a"]).alias("gap"), F.length(z["b"]).alias("len"), z["b"].alias("match"), z["c"].alias("group")),
-    )
+    once = F.array(F.struct(F.split(text, pattern, -1).alias("a"), F.regexp_extract_all(text, p, F.lit(0)).alias("b"), F.regexp_extract_all(text, p, F.lit(group)).alias("c")))
+
+    def zipped(z: Column) -> Column:
+        pairs = F.zip_with(F.slice(z["a"], F.lit(1), F.size(z["b"])), z["b"], lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("len"), b.alias("match")))
+        return F.zip_with(pairs, z["c"], lambda x, c: F.struct(x["gap"], x["len"], x["match"], c.alias("group")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -91,48 +91,51 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         chunks = F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(CHUNK)), lambda i: F.slice(rows, i, F.lit(CHUNK)))
         return F.flatten(F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NO_SPANS}>").alias("out")), chunk)["out"])
 
-    # One element: the rows are made once, not for each chunk.
-    walked = F.flatten(F.transform(F.array(rows), walk))
+    # Arrays of one element: what they are made of is worked out once.
+    walked = F.flatten(F.transform(F.transform(once, zipped), walk))
     return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(NO_SPANS))
 
 
-def _tail(z: Column) -> Column:
-    """P(N(0, 1) <= z), within 2e-7."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    half = poly * F.exp(-x * x) / 2
-    return F.when(z < 0, half).otherwise(1 - half)
+def _tails(z: Column) -> Column:
+    """P(N(0, 1) <= z) of each of an array, within 2e-7."""
+
+    def first(v: Column) -> Column:
+        return F.struct(v.alias("z"), (1 / (1 + F.abs(v) * (0.3275911 / math.sqrt(2)))).alias("t"))
 
+    def second(y: Column) -> Column:
+        t = y["t"]
+        poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+        return F.struct(y["z"], (poly * F.exp(y["z"] * y["z"] / -2) / 2).alias("p"))
 
-def _clipped(p: Column) -> Column:
-    return F.greatest(F.lit(1e-12), F.least(p, F.lit(1.0)))
+    return F.transform(F.transform(F.transform(z, first), second), lambda y: F.when(y["z"] < 0, y["p"]).otherwise(1 - y["p"]))
 
 
-def battery(token: Column) -> Column:
-    """For an array of tokens, the encoding, length, and p-value bin of each: struct(n, encoding, bin)."""
+def battery(tokens: Column) -> Column:
+    """For an array of tokens, the stratum (encoding and length class) and p-value bin of each.
+
+    Each step is an array made from the one before, so no value is worked out twice.
+    """
     letters = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
 
-    def encoding(t: Column) -> Column:
-        out = F.lit("mixed")
+    def encoded(t: Column) -> Column:
+        e = F.lit("mixed")
         for name, alphabet in reversed(list(ALPHABETS.items())[:-1]):
-            out = F.when(t.rlike("^[" + alphabet.replace("-", r"\-") + "]+$"), F.lit(name)).otherwise(out)
-        return out
-
-    def named(t: Column) -> Column:
-        e = encoding(t)
-        return F.struct(t.alias("t"), F.length(t).cast("double").alias("n"), e.alias("e"), F.element_at(letters, e).alias("a"))
-
-    def counted(x: Column) -> Column:
-        t, a = x["t"], x["a"]
-        k = F.length(a).cast("double")
-        squares = F.aggregate(F.split(a, ""), F.lit(0.0), lambda s, c: s + F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2.0)))
-        middle = F.floor(F.length(a) / 2).cast("int")
+            e = F.when(t.rlike("^[" + alphabet.replace("-", r"\-") + "]+$"), F.lit(name)).otherwise(e)
+        return F.struct(t.alias("t"), e.alias("e"))
+
+    def placed(x: Column) -> Column:
+        return F.struct(x["t"], x["e"], F.element_at(letters, x["e"]).alias("a"))
+
+    def valued(x: Column) -> Column:
+        values = F.transform(F.split(x["t"], ""), lambda c: F.call_function("instr", x["a"], c) - 1)
+        squares = F.aggregate(F.split(x["a"], ""), F.lit(0.0), lambda s, c: s + F.pow(F.length(x["t"]) - F.length(F.replace(x["t"], c, F.lit(""))), F.lit(2.0)))
+        return F.struct(x["e"], F.length(x["t"]).cast("double").alias("n"), F.length(x["a"]).cast("double").alias("k"), squares.alias("squares"), values.alias("v"))
+
+    def walked(x: Column) -> Column:
         start = F.struct(F.lit(-1).alias("was"), F.lit(0).alias("changes"), F.lit(0).alias("high"), F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy"))
 
-        def step(s: Column, c: Column) -> Column:
-            v = F.call_function("instr", a, c) - 1
-            now, was = v >= middle, s["was"] >= middle
+        def step(s: Column, v: Column) -> Column:
+            now, was = v * 2 >= x["k"], s["was"] * 2 >= x["k"]
             return F.struct(
                 v.alias("was"),
                 (s["changes"] + F.when((s["was"] >= 0) & (now != was), 1).otherwise(0)).alias("changes"),
@@ -142,32 +145,43 @@ def battery(token: Column) -> Column:
                 (s["xy"] + F.when(s["was"] >= 0, s["was"] * v).otherwise(0)).alias("xy"),
             )
 
-        walked = F.aggregate(F.split(t, ""), start, step)
-        return F.struct(x["n"].alias("n"), x["e"].alias("e"), k.alias("k"), squares.alias("squares"), walked.alias("w"))
-
-    def tested(x: Column) -> Column:
-        n, k, w = x["n"], x["k"], x["w"]
-        chi = k / n * x["squares"] - n
-        mean = k - 1 + UNEVEN * n
-        p_even = _tail((chi - mean) / F.sqrt(2 * (k - 1 + 2 * UNEVEN * n)))
-        high, low = w["high"].cast("double"), n - w["high"]
-        expected = 2 * high * low / n
-        spread = expected * (expected - 1) / (n - 1)
-        z_runs = F.when(spread > 0, (w["changes"] - expected) / F.sqrt(spread)).otherwise(F.sqrt(n))
-        m = w["x"] / n
-        variance = w["xx"] - n * m * m
-        z_serial = F.when(variance > 0, (w["xy"] - n * m * m) / variance * F.sqrt(n) + 1 / F.sqrt(n)).otherwise(F.sqrt(n))
-        shift = DEPENDENT * F.sqrt(n)
-        p_runs = _tail(F.abs(z_runs) - shift) - _tail(-F.abs(z_runs) - shift)
-        p_serial = _tail(F.abs(z_serial) - shift) - _tail(-F.abs(z_serial) - shift)
-        half = -(F.log(_clipped(p_even)) + F.log(_clipped(p_runs)) + F.log(_clipped(p_serial)))
-        p = F.exp(-half) * (1 + half + half * half / 2)  # Fisher: chi-squared with 6 degrees
-        b = F.least(F.lit(MOST_BIN), F.floor(-F.log10(F.greatest(F.lit(1e-30), p)) * BIN).cast("int"))
-        stratum = F.concat_ws(":", x["e"], F.floor(F.log2(n) * 2).cast("string"))
-        return F.struct(stratum.alias("stratum"), F.greatest(F.lit(0), b).alias("bin"))
-
-    trimmed = F.transform(token, lambda t: F.rtrim(t, F.lit("=")))
-    return F.transform(F.transform(F.transform(trimmed, named), counted), tested)
+        return F.struct(x["e"], x["n"], x["k"], x["squares"], F.aggregate(x["v"], start, step).alias("w"))
+
+    def measured(x: Column) -> Column:
+        n, w = x["n"], x["w"]
+        return F.struct(
+            x["e"], n, x["k"], w["changes"], (x["k"] / n * x["squares"] - n).alias("chi"), (w["high"] * 2 * (n - w["high"]) / n).alias("runs"),
+            (w["xx"] - w["x"] * w["x"] / n).alias("variance"), (w["xy"] - w["x"] * w["x"] / n).alias("covariance"), (F.sqrt(n) * DEPENDENT).alias("shift"),
+        )
+
+    def scaled(x: Column) -> Column:
+        n, root = x["n"], F.sqrt(x["n"])
+        uneven = n * UNEVEN
+        even = (x["chi"] - x["k"] + 1 - uneven) / F.sqrt((x["k"] - 1 + uneven * 2) * 2)
+        spread = x["runs"] * (x["runs"] - 1) / (n - 1)
+        runs = F.when(spread > 0, F.abs(x["changes"] - x["runs"]) / F.sqrt(spread)).otherwise(root)
+        serial = F.when(x["variance"] > 0, F.abs(x["covariance"] / x["variance"] * root + 1 / root)).otherwise(root)
+        return F.struct(x["e"], n, x["shift"], even.alias("even"), runs.alias("runs"), serial.alias("serial"))
+
+    def tailed(x: Column) -> Column:
+        z = F.array(x["even"], x["runs"] - x["shift"], -x["runs"] - x["shift"], x["serial"] - x["shift"], -x["serial"] - x["shift"])
+        return F.struct(x["e"], x["n"], _tails(z).alias("p"))
+
+    def joined(x: Column) -> Column:
+        p = [x["p"][k] for k in range(5)]
+        half = sum((-F.log(F.greatest(F.lit(1e-12), F.least(q, F.lit(1.0)))) for q in (p[0], p[1] - p[2], p[3] - p[4])), F.lit(0.0))
+        return F.struct(x["e"], x["n"], half.alias("half"))
+
+    def binned(x: Column) -> Column:
+        h = x["half"]
+        p = F.exp(-h) * (1 + h + h * h / 2)  # Fisher: chi-squared with 6 degrees
+        b = F.floor(-F.log10(F.greatest(F.lit(1e-30), p)) * BIN).cast("int")
+        return F.struct(F.concat_ws(":", x["e"], F.floor(F.log2(x["n"]) * 2).cast("string")).alias("stratum"), F.greatest(F.lit(0), F.least(F.lit(MOST_BIN), b)).alias("bin"))
+
+    out = F.transform(tokens, lambda t: F.rtrim(t, F.lit("=")))
+    for step in (encoded, placed, valued, walked, measured, scaled, tailed, joined, binned):
+        out = F.transform(out, step)
+    return out
 
 
 def discoveries(docs: DataFrame, rate: float = RATE) -> dict[str, int]:
