@@ -104,7 +104,7 @@ def public_view(txn: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def validated(text: str) -> str:
     """The one SELECT of a text: one closing semicolon is dropped; raises for anything else."""
-    sql = re.sub(r";\s*$", "", text.strip())
+    sql = re.sub(r";\s*$", "", text.strip()).strip()
     bare = re.sub(r"^\s*(--[^\n]*\n|/\*[\s\S]*?\*/)\s*", "", sql).strip()
     if not sql or ";" in sql or not re.match(r"(select|with)\b", bare, re.I) or re.search(rf"\b({V.WRITING_WORDS})\b", bare, re.I):
         raise ValueError("only one SELECT is allowed")
