@@ -90,3 +90,14 @@ def party_attribution(explicit: str, nature: str) -> Column:
     """A committee's party: as it says, else by what a caucus committee says of itself."""
     n = F.lower(F.coalesce(F.col(nature), F.lit("")))
     return F.when(F.trim(F.coalesce(F.col(explicit), F.lit(""))) != "", F.col(explicit)).when(n.contains("democrat"), "Democrat").when(n.contains("republican"), "Republican")
+
+
+def district_history(margins: DataFrame, matched: DataFrame, cycle_money: DataFrame) -> DataFrame:
+    """Per year and district: margin, votes, money of the matched candidates in that cycle, candidates matched and in all.
+
+    ``matched``: year, district, candidate, slug (null if none); ``cycle_money``: year, slug, raised.
+    """
+    sums = matched.join(cycle_money, ["year", "slug"], "left").groupBy("year", "district").agg(
+        F.coalesce(F.sum("raised"), F.lit(0)).cast(MONEY).alias("raised"), F.count("slug").alias("matched"), F.count(F.lit(1)).alias("candidates")
+    )
+    return margins.select("year", "district", "winner", "votes", "margin").join(sums, ["year", "district"], "left")

@@ -23,21 +23,33 @@ def top_n(df: DataFrame, n: int, order: list[Column], by: list[str] | None = Non
 
 
 def netted(txn: DataFrame, identity: DataFrame | None = None) -> DataFrame:
-    """Cash gifts and refunds (negative), summed by committee, date and donor: filer_id, tran_date, donor_key, donor_id, label, total, gifts.
+    """Cash gifts and refunds (negative) in one pass: filer_id, tran_date, donor_key, donor_id, label, total, gifts.
 
-    ``identity`` (donor_id, entity_id) names merged donors; the pooled label is one donor without an id.
+    Rows are not summed here: what follows sums them by its own key, in part before the shuffle. ``identity`` (donor_id, entity_id)
+    names merged donors; then rows are summed by donor first, so that the join meets sums. The pooled label is one donor without an id.
     """
-    cols = ["filer_id", "tran_date", F.col("donor_id").cast("string").alias("donor_id"), "contributor_payee"]
-    gifts = txn.filter(is_cash_gift()).select(*cols, F.col("amount").cast(MONEY).alias("amount"), F.lit(1).alias("gift"))
-    refunds = txn.filter(is_refund()).select(*cols, (-F.col("amount")).cast(MONEY).alias("amount"), F.lit(0).alias("gift"))
-    rows = gifts.unionByName(refunds).groupBy("filer_id", "tran_date", "donor_id", "contributor_payee").agg(total("amount").alias("total"), F.sum("gift").alias("gifts"))
+    gift = is_cash_gift()
+    rows = txn.filter(gift | is_refund()).select(
+        "filer_id",
+        "tran_date",
+        F.col("donor_id").cast("string").alias("donor_id"),
+        "contributor_payee",
+        F.when(gift, F.col("amount")).otherwise(-F.col("amount")).cast(MONEY).alias("total"),
+        F.when(gift, 1).otherwise(0).cast("long").alias("gifts"),
+    )
     if identity is not None:
+        rows = rows.groupBy("filer_id", "tran_date", "donor_id", "contributor_payee").agg(total("total").alias("total"), F.sum("gifts").alias("gifts"))
         rows = rows.join(identity.select(F.col("donor_id").cast("string").alias("donor_id"), "entity_id"), "donor_id", "left").withColumn("donor_id", F.coalesce("entity_id", "donor_id")).drop("entity_id")
     rows = rows.withColumn("label", bucket_label(normalize_label("contributor_payee")))
     rows = rows.withColumn("donor_id", F.when(~is_pooled("label"), F.col("donor_id")))
     return rows.withColumn("donor_key", donor_key("donor_id", "label")).drop("contributor_payee")
 
 
+def donor_rows(txn: DataFrame, identity: DataFrame | None = None) -> DataFrame:
+    """``netted`` rows summed by committee, date and donor."""
+    return netted(txn, identity).groupBy("filer_id", "tran_date", "donor_key", "donor_id", "label").agg(total("total").alias("total"), F.sum("gifts").alias("gifts"))
+
+
 def scoped(rows: DataFrame, start: str | None = None, end: str | None = None, filers: list | None = None) -> DataFrame:
     test = within(start, end)
     rows = rows if test is None else rows.filter(test)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import values as V
 from ..functions.money import MONEY, close, known_total, self_consistent, severity, total, total_if
+from ..functions.text import row_digest, scope_digest
 from ..schema import signed_amount
 
 
@@ -255,3 +256,24 @@ def gate(rows: DataFrame, column: str) -> DataFrame:
 
 def classify(rows: DataFrame) -> Column:
     return F.when(F.col("their_balance").isNull(), "unchecked").when(~F.col("paired"), "unpaired").when(F.col("stale"), "refresh").when(close("our_balance", "their_balance"), "agrees").when(~F.col("actionable"), "nonactionable").otherwise("flagged")
+
+
+def snapshots(txn: DataFrame, superseded: DataFrame, start: str, end: str) -> DataFrame:
+    """Per filer, what is held in a range of dates: number of rows, amount, superseded ids, and a digest that no row order changes."""
+    held = txn.filter(F.col("tran_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    gone = superseded.groupBy("filer_id").agg(F.count(F.lit(1)).alias("superseded"))
+    rows = held.withColumn("_e", row_digest("tran_id", "tran_date", "amount", "tran_type", "sub_type"))
+    out = rows.groupBy("filer_id").agg(F.count(F.lit(1)).alias("held"), total("amount").alias("amount"), scope_digest("_e").alias("digest"))
+    return out.join(gone, "filer_id", "left").fillna(0, ["superseded"])
+
+
+def snapshot_id(files: DataFrame) -> str:
+    """One name for a set of files by their paths' last parts and lengths."""
+    cell = F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), F.col("length").cast("string"))
+    return files.agg(scope_digest(cell)).first()[0]
+
+
+def partition_sums(parts: DataFrame, parent: str = "parent", n: str = "n", child: str = "id") -> DataFrame:
+    """Nodes of a coverage tree whose children's counts don't add up to their own."""
+    sums = parts.filter(F.col(parent).isNotNull()).groupBy(F.col(parent).alias(child)).agg(F.sum(n).alias("children"))
+    return parts.join(sums, child).filter(F.col(n) != F.col("children")).select(child, n, "children")

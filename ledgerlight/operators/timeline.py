@@ -246,3 +246,16 @@ def stat_tiles(months: DataFrame, first: str, last: str) -> DataFrame:
     """The totals of a range of months, both included."""
     names = ("contributions", "inkind", "expenditures", "other_receipts", "other_disbursements", "balance_adjustments")
     return months.filter(F.col("month").between(first, last)).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(MONEY).alias(c) for c in names])
+
+
+def cycle_sums(txn: DataFrame, *by: str, value: str = "amount", date: str = "tran_date") -> DataFrame:
+    """Cash gifts of each two-year cycle, December to November."""
+    return txn.filter(is_cash_gift()).groupBy(*by, cycle(date).alias("cycle")).agg(total(value).alias("raised"))
+
+
+def by_party_type(txn: DataFrame, party: str = "party", type_col: str = "book_type", period: str = "year", donors: str | None = None, n: int = 5) -> DataFrame:
+    """Cash gifts by party, type and period; with ``donors``, each group's top donors instead, from all rows rather than from lists cut before."""
+    gifts = txn.filter(is_cash_gift())
+    if donors:
+        return top_n(gifts.groupBy(party, type_col, period, donors).agg(total("amount").alias("total")), n, [F.desc("total"), F.asc(donors)], [party, type_col, period])
+    return gifts.groupBy(party, type_col, period).agg(total("amount").alias("total"), F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
 from ..functions import values as V
-from ..operators import dedup, elections, explore, graph, ranking, reconcile, resolve, timeline
+from ..operators import dedup, elections, explore, graph, lobby, ranking, reconcile, resolve, timeline
 from ..streaming import windows
 from .star import MONEY, NETTED, TXN, Star
 
@@ -715,6 +715,67 @@ def _people(s: Star) -> DataFrame:
     return resolve.keyed(resolve.contributor_tuples(tuples))
 
 
+@query(f"""WITH {TXN}, l AS (SELECT DISTINCT donor_id, CAST(filer_id % 7 AS VARCHAR) AS lobbyist_id, max(CASE WHEN filer_id % 3 = 0 THEN 'rejected' WHEN filer_id % 3 = 1 THEN 'confirmed' ELSE 'open' END) AS status, max(CAST(quantity AS DOUBLE)) AS score FROM txn WHERE filer_id <= 20 GROUP BY 1, 2),
+c AS (SELECT donor_id, 'k' || CAST(filer_id % 5 AS VARCHAR) AS client_key, min(book_type) AS client_name, CASE WHEN min(filer_id) % 4 = 0 THEN 'rejected' WHEN min(filer_id) % 4 = 1 THEN 'confirmed' ELSE 'open' END AS status, max(CAST(quantity AS DOUBLE)) AS score FROM txn WHERE filer_id > 20 GROUP BY 1, 2),
+k(client_key, lobbyist_id, is_lead, active) AS (VALUES ('k0', '1', true, true), ('k0', '2', false, true), ('k1', '3', false, true), ('k1', '4', false, true), ('k2', '5', true, false), ('k2', '6', false, true), ('k3', '0', false, false)),
+u AS (SELECT client_key, lobbyist_id FROM k WHERE active AND (is_lead OR NOT EXISTS (SELECT 1 FROM k j WHERE j.client_key = k.client_key AND j.active AND j.is_lead))),
+p AS (SELECT donor_id, lobbyist_id, status = 'confirmed' AS confirmed, score FROM l WHERE status <> 'rejected' UNION ALL SELECT donor_id, lobbyist_id, status = 'confirmed', score FROM c JOIN u USING (client_key) WHERE status <> 'rejected')
+SELECT donor_id, lobbyist_id, bool_or(confirmed) AS confirmed, max(score) AS score FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.donor_id = p.donor_id AND l.lobbyist_id = p.lobbyist_id AND l.status = 'rejected') GROUP BY 1, 2""")
+def lobby_paths(s: Star) -> DataFrame:
+    t, f = s.txn(donor=True), F.col("filer_id")
+    status = F.when(f % 3 == 0, "rejected").when(f % 3 == 1, "confirmed").otherwise("open")
+    links = t.filter(f <= 20).groupBy("donor_id", (f % 7).cast("string").alias("lobbyist_id")).agg(F.max(status).alias("status"), F.max("quantity").alias("score"))
+    least = F.min("filer_id") % 4
+    client = t.filter(f > 20).groupBy("donor_id", F.concat(F.lit("k"), (f % 5).cast("string")).alias("client_key")).agg(
+        F.min("book_type").alias("client_name"), F.when(least == 0, "rejected").when(least == 1, "confirmed").otherwise("open").alias("status"), F.max("quantity").alias("score"), F.max("filed_date").alias("decided_at")
+    )
+    rows = [("k0", "1", True, True), ("k0", "2", False, True), ("k1", "3", False, True), ("k1", "4", False, True), ("k2", "5", True, False), ("k2", "6", False, True), ("k3", "0", False, False)]
+    clients = s.spark.createDataFrame(rows, "client_key string, lobbyist_id string, is_lead boolean, active boolean")
+    return lobby.paths(links, client, clients).drop("clients")
+
+
+@query(f"""WITH {TXN} SELECT filer_id, CAST({_CYCLE} AS INT) AS cycle, CAST(sum(amount) AS {MONEY}) AS raised FROM txn WHERE sub_type = 'Cash Contribution' GROUP BY 1, 2""")
+def cycle_sums(s: Star) -> DataFrame:
+    return timeline.cycle_sums(s.txn(), "filer_id")
+
+
+@query(f"""WITH {TXN} SELECT n_regionkey AS party, book_type, CAST(year(tran_date) AS INT) AS year, CAST(sum(amount) AS {MONEY}) AS total, count(*) AS n
+FROM txn JOIN nation ON n_nationkey = s_nationkey WHERE sub_type = 'Cash Contribution' GROUP BY 1, 2, 3""")
+def party_by_type_year(s: Star) -> DataFrame:
+    party = s.table("nation").select(F.col("n_nationkey").alias("filer_nation"), F.col("n_regionkey").alias("party"))
+    rows = s.txn(donor=True, filer=True).join(party, "filer_nation").withColumn("year", F.year("tran_date"))
+    return timeline.by_party_type(rows)
+
+
+@query(f"""WITH {TXN}, c AS (SELECT {_CYCLE} AS cycle, s_nationkey, amount FROM txn WHERE sub_type = 'Cash Contribution'),
+t AS (SELECT n_regionkey AS party, CAST(coalesce(sum(amount) FILTER (WHERE cycle = 1998), 0) AS {MONEY}) AS past, CAST(coalesce(sum(amount) FILTER (WHERE cycle = 2000), 0) AS {MONEY}) AS now FROM c JOIN nation ON n_nationkey = s_nationkey WHERE cycle IN (1998, 2000) GROUP BY 1)
+SELECT *, round(CAST(past AS DOUBLE) / CAST(sum(past) OVER () AS DOUBLE), 6) AS past_share, round(CAST(now AS DOUBLE) / CAST(sum(now) OVER () AS DOUBLE), 6) AS now_share FROM t""")
+def party_composition(s: Star) -> DataFrame:
+    from ..schema import is_cash_gift
+
+    party = s.table("nation").select(F.col("n_nationkey").alias("filer_nation"), F.col("n_regionkey").alias("party"))
+    return timeline.composition(s.txn(filer=True).filter(is_cash_gift()).join(party, "filer_nation"), (1998, 2000), "party")
+
+
+@query(f"""WITH {TXN}, w AS (SELECT * FROM txn WHERE tran_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31')
+SELECT filer_id, count(*) AS held, CAST(sum(amount) AS {MONEY}) AS amount, sha256(string_agg(h, '' ORDER BY h)) AS digest, CAST(count(*) FILTER (WHERE tran_type = 'OD') AS BIGINT) AS superseded
+FROM (SELECT *, sha256('v1' || list_aggregate(list_transform([CAST(tran_id AS VARCHAR), CAST(tran_date AS VARCHAR), CAST(amount AS VARCHAR), tran_type, sub_type], lambda x: length(x) || ':' || x), 'string_agg', '')) AS h FROM w) GROUP BY 1""")
+def filer_snapshots(s: Star) -> DataFrame:
+    rows = s.txn()
+    gone = rows.filter("tran_type = 'OD' and year(tran_date) = 1997").select("filer_id", "tran_id")
+    return reconcile.snapshots(rows, gone, "1997-01-01", "1997-12-31")
+
+
+@query(f"""WITH {TXN}, r AS (SELECT CAST(year(tran_date) AS INT) AS y, s_nationkey, filer, amount FROM txn WHERE sub_type = 'Cash Contribution')
+SELECT * FROM (SELECT *, CAST(sum(raised) OVER (PARTITION BY race) AS {MONEY}) AS race_total FROM (SELECT s_nationkey AS race, filer AS candidate, CAST(sum(amount) AS {MONEY}) AS raised FROM r GROUP BY 1, 2))
+QUALIFY dense_rank() OVER (ORDER BY race_total DESC, race) <= 6 AND row_number() OVER (PARTITION BY race ORDER BY raised DESC, candidate) <= 4""")
+def races_to_watch(s: Star) -> DataFrame:
+    from ..schema import is_cash_gift
+
+    money_of = s.txn(filer=True).filter(is_cash_gift()).groupBy(F.col("filer_nation").alias("race"), F.col("filer").alias("candidate")).agg(money.total("amount").alias("raised"))
+    return elections.races_to_watch(money_of).select("race", "candidate", "raised", "race_total")
+
+
 # Events.
 _WIDTH = "CAST(sum(CAST(value AS DECIMAL(18,6))) AS DECIMAL(18,6)) AS total"
 

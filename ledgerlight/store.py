@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast by hint.
 BROADCAST_ROWS = 200_000
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; ``release`` deletes what is there."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this driver has put into the shared folder; results that read them must have been written."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    while _made:
+        p = fs.Path(_made.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """``df`` written once to the shared folder and read back: lineage ends there, executors may be lost."""
+    path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
