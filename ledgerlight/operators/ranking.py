@@ -56,11 +56,19 @@ def scoped(rows: DataFrame, start: str | None = None, end: str | None = None, fi
     return rows if filers is None else rows.filter(F.col("filer_id").isin(*filers) if filers else F.lit(False))
 
 
+def summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Totals of each donor with a name, in two steps.
+
+    The first sums by donor and spelling in a hash aggregate, in part before the shuffle; only its few rows meet the
+    choice of a name, which needs a sorted aggregate.
+    """
+    first = rows.groupBy(*keys, "donor_key", "donor_id", "label").agg(total("total").alias("total"), F.sum("gifts").alias("gifts"))
+    return first.groupBy(*keys, "donor_key").agg(F.max("donor_id").alias("donor_id"), display_label("label").alias("name"), total("total").alias("total"), F.sum("gifts").alias("gifts"))
+
+
 def donor_leaderboard(rows: DataFrame, start: str | None = None, end: str | None = None, filers: list | None = None, limit: int = 1000) -> DataFrame:
     """Donors by netted total in a scope; none that net to nothing or less. ``filers`` None is all."""
-    sums = scoped(rows, start, end, filers).groupBy("donor_key").agg(
-        F.max("donor_id").alias("donor_id"), display_label("label").alias("name"), total("total").alias("total"), F.sum("gifts").alias("gifts")
-    )
+    sums = summed(scoped(rows, start, end, filers))
     return top_n(sums.filter("total > 0"), limit, [F.desc("total"), F.asc("donor_key")])
 
 
@@ -74,7 +82,7 @@ def leaderboard_by_year(rows: DataFrame, limit: int = 1000, **scope) -> DataFram
 def top_by_year(rows: DataFrame, limit: int = 1000, undated: bool = False) -> DataFrame:
     """Each year ranked on its own; undated rows are year 0 and left out unless asked for."""
     rows = rows if undated else rows.filter("tran_date is not null")
-    years = rows.groupBy("donor_key", F.coalesce(F.year("tran_date"), F.lit(0)).alias("year")).agg(display_label("label").alias("name"), total("total").alias("total"))
+    years = summed(rows.withColumn("year", F.coalesce(F.year("tran_date"), F.lit(0))), "year").drop("donor_id", "gifts")
     return top_n(years.filter("total > 0"), limit, [F.desc("total"), F.asc("donor_key")], ["year"])
 
 
@@ -83,7 +91,7 @@ def ranked_sets(rows: DataFrame, limit: int = 1000, by: str = "filer_id") -> Dat
 
     Undated rows are in the all-time list only: grouping() tells them from it.
     """
-    rows = rows.withColumn("year", F.year("tran_date"))
+    rows = rows.groupBy(by, "donor_key", "label", F.year("tran_date").alias("year")).agg(total("total").alias("total"))
     sets = rows.groupingSets([[F.col(by), F.col("donor_key")], [F.col(by), F.col("donor_key"), F.col("year")]], F.col(by), F.col("donor_key"), F.col("year"))
     sums = sets.agg(F.grouping("year").cast("int").alias("all_years"), total("total").alias("total"), display_label("label").alias("name"))
     sums = sums.filter("(all_years = 1 or year is not null) and total > 0")
@@ -105,10 +113,11 @@ def top_profile(profiles: DataFrame, key: str = "filer_id") -> DataFrame:
 def recipient_leaderboard(txn: DataFrame, profiles: DataFrame | None = None, start: str | None = None, end: str | None = None, limit: int = 100) -> DataFrame:
     """Committees by cash gifts between two dates; named by profile, else by their latest row."""
     rows = scoped(txn.filter(is_cash_gift() & F.col("filer_id").isNotNull()), start, end)
-    sums = rows.groupBy("filer_id").agg(
-        total("amount").alias("total"),
-        F.count(F.lit(1)).alias("gifts"),
-        F.max_by(F.trim("filer"), F.when(present("filer").isNotNull(), F.struct("tran_date", "filer"))).alias("row_name"),
+    spelt = rows.groupBy("filer_id", "filer").agg(total("amount").alias("total"), F.count(F.lit(1)).alias("gifts"), F.max("tran_date").alias("latest"))
+    sums = spelt.groupBy("filer_id").agg(
+        total("total").alias("total"),
+        F.sum("gifts").alias("gifts"),
+        F.max_by(F.trim("filer"), F.when(present("filer").isNotNull(), F.struct("latest", "filer"))).alias("row_name"),
     )
     best = top_n(sums, max(1, limit), [F.desc("total"), F.asc("filer_id")])
     if profiles is not None:
@@ -121,7 +130,8 @@ def payee_leaderboard(txn: DataFrame, filers: list | None, start: str | None = N
     """Payees of some committees, grouped whatever their case; no committees, no rows."""
     name = present("contributor_payee")
     rows = scoped(txn.filter((F.col("tran_type") == "E") & name.isNotNull()), start, end, filers or [])
-    sums = rows.groupBy(F.lower(name).alias("payee_key")).agg(F.min(name).alias("name"), total("amount").alias("total"), F.count(F.lit(1)).alias("payments"))
+    spelt = rows.groupBy(name.alias("spelling")).agg(total("amount").alias("total"), F.count(F.lit(1)).alias("payments"))
+    sums = spelt.groupBy(F.lower("spelling").alias("payee_key")).agg(F.min("spelling").alias("name"), total("total").alias("total"), F.sum("payments").alias("payments"))
     return top_n(sums, max(1, limit), [F.desc("total"), F.asc("payee_key")])
 
 
@@ -137,7 +147,7 @@ def pulse_donors(rows: DataFrame, start: str, before: str, donors: int = 10, det
     Totals are netted per donor and committee first; pairs that net to nothing or less are left out, and pooled rows.
     """
     window = rows.filter((F.col("tran_date") >= F.lit(start).cast("date")) & (F.col("tran_date") < F.lit(before).cast("date")) & ~F.lower("label").like("miscellaneous %"))
-    pairs = window.groupBy("donor_key", "filer_id").agg(total("total").alias("total"), display_label("label").alias("name")).filter("total > 0")
+    pairs = summed(window, "filer_id").drop("donor_id", "gifts").filter("total > 0")
     sums = pairs.groupBy("donor_key").agg(F.min("name").alias("name"), total("total").alias("total"), F.count(F.lit(1)).alias("committees"))
     best = top_n(sums, donors, [F.desc("total"), F.asc("donor_key")])
     more = top_n(pairs.join(best.select("donor_key"), "donor_key"), details, [F.desc("total"), F.asc("filer_id")], ["donor_key"])
