@@ -1,45 +1,14 @@
-"""What the training-data operators share: table access, shared storage and bounded broadcasts."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows up to which a side built from a small table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+from ..store import cut as written
+from ..store import fresh_path, small
+
+__all__ = ["fresh_path", "small", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here if unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    made = spark.sparkContext.getCheckpointDir()
-    if not made:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlight-"))
-        made = spark.sparkContext.getCheckpointDir()
-    return made.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there, executors may be lost."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``, else as it is."""
-    return F.broadcast(df) if rows <= limit else df

@@ -141,3 +141,23 @@ def _of_width(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
         (-F.col("m.p")).cast("int").alias("start_word"),
         F.col("m.len").cast("int").alias("n_words"),
     )
+
+
+#: The same by brute force: every window of every document that shares a shingle with an item.
+PASSAGES_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+i AS (SELECT item_id, w, len(w) AS len, least(5, len(w)) AS n FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT item_id, len, n, unnest(list_transform(range(1, len - n + 2), lambda k: array_to_string(w[k:k+n-1], ' '))) AS g FROM i),
+h AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k+n-1], ' '))) AS g FROM d JOIN (SELECT DISTINCT n FROM i) ON len(w) >= n),
+c AS (SELECT DISTINCT h.doc_id, g.item_id, g.len, g.n FROM h JOIN g ON g.g = h.g AND g.n = h.n),
+s AS (SELECT c.*, d.w, unnest(range(0, greatest(len(d.w) - c.len, 0) + 1)) AS start FROM c JOIN d USING (doc_id)),
+x AS (SELECT doc_id, item_id, len, n, start, w[start+1:start+len] AS w FROM s),
+y AS (SELECT doc_id, item_id, len, start, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k+n-1], ' '))) AS g FROM x),
+a AS (SELECT doc_id, item_id, len, start, g, count(*) AS c FROM y GROUP BY ALL),
+b AS (SELECT item_id, g, count(*) AS c FROM g GROUP BY ALL),
+m AS (SELECT doc_id, item_id, len, start, sum(least(a.c, b.c)) AS least FROM a JOIN b USING (item_id, g) GROUP BY ALL),
+t AS (SELECT doc_id, item_id, start, count(*) AS n FROM y GROUP BY ALL),
+u AS (SELECT item_id, count(*) AS n FROM g GROUP BY ALL)
+SELECT doc_id, item_id, CAST(max(least) AS DOUBLE) / CAST(arg_max(t.n + u.n - least, least) AS DOUBLE) AS similarity, CAST(max(len) AS INT) AS n_words
+FROM m JOIN t USING (doc_id, item_id, start) JOIN u USING (item_id) WHERE 5 * least >= 4 * (t.n + u.n - least) GROUP BY doc_id, item_id
+"""

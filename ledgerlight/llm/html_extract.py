@@ -276,7 +276,7 @@ def _best(p: _Page, skip: list[bool]) -> str:
     for node in range(1, n):
         if holes and p.begin[node] < holes[-1][1]:
             continue
-        mostly_links = p.tag[node] in ("ul", "ol", "div", "section", "table", "dl") and length[node] and linked[node] > 0.6 * length[node]
+        mostly_links = p.tag[node] in ("ul", "ol", "div", "section", "table", "dl", "td") and length[node] and linked[node] > 0.6 * length[node]
         if skip[node] and not skip[p.parent[node]] or mostly_links and node not in chosen and not skip[node]:
             holes.append((p.begin[node], p.end[node]))
     return p.text([(p.begin[i], p.end[i]) for i in chosen], holes)

@@ -5,7 +5,7 @@
 2. Representatives are put into buckets by bands of MinHash values. All members of a bucket are linked to its smallest key, and
    the connected components of these links are clusters: two documents whose similarity reaches the threshold share a
    bucket but for ``(1 - t**ROWS) ** BANDS`` of them (3e-6 at a similarity of exactly 0.8), so they are in one cluster.
-3. Inside a cluster, tiles of about ``TILE`` x ``TILE`` pairs are compared. MinHash values are compared a few at a time; a pair is dropped
+3. Inside a cluster, tiles of about ``TILE`` x ``TILE`` pairs (fewer if texts are long) are compared. MinHash values are compared a few at a time; a pair is dropped
    as soon as the posterior probability that its similarity reaches the threshold, under a uniform prior, is below ``TOLERANCE``.
    The pairs that stay are verified by their exact intersections, as products of sparse incidence matrices.
 4. A tile gives each member's number of links and a spanning forest of its links, never the pairs; the
@@ -42,6 +42,8 @@ BANDS, ROWS = 32, 5
 STEP = 32
 TOLERANCE = 1e-6
 TILE = 256
+#: Shingles of one side of a tile: 8 bytes each.
+TILE_SHINGLES = 1 << 20
 COLUMNS = 1 << 14
 NULL_ID = -(1 << 63)
 
@@ -177,12 +179,13 @@ def _sketch(docs: DataFrame) -> DataFrame:
                         "doc_id": part["doc_id"],
                         "k1": pa.array(_signed(keys[:, 0].copy()), pa.int64(), mask=~some),
                         "k2": pa.array(_signed(keys[:, 1].copy()), pa.int64(), mask=~some),
+                        "n": pa.array(counts, pa.int64()),
                         "bands": pa.array([b.tobytes() if k else None for b, k in zip(bands, some, strict=True)], pa.binary()),
                     }
                 )
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
-    return docs.select(ids, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, bands binary")
+    return docs.select(ids, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands binary")
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -262,9 +265,9 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     ship(docs.sparkSession)
     sketch = written(_sketch(docs), "sketches")
     # A class of copies: its smallest id, its rows, and one of the equal bands.
-    reps = sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("bands").alias("bands"))
+    reps = sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     # One number for each class from here on.
-    reps = written(reps.select("k1", "k2", "rep", "times", "bands", F.xxhash64("k1", "k2").alias("key")), "classes")
+    reps = written(reps.select("k1", "k2", "rep", "times", "n", "bands", F.xxhash64("k1", "k2").alias("key")), "classes")
 
     each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("bands"), k * 8 + 1, F.lit(8)))
     buckets = reps.select("key", F.explode(each).alias("band"))
@@ -272,9 +275,9 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     edges = buckets.join(heads, "band").filter("key <> b").select(F.col("key").alias("a"), "b")
     clusters = components(edges)
 
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(sizes, "root").join(reps.select("key", "k1", "k2", "rep", "times"), F.col("node") == F.col("key"))
-    members = members.select(F.col("root").alias("cluster"), "key", "k1", "k2", "rep", "times", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    members = clusters.join(reps.select("key", "k1", "k2", "rep", "times", "n"), F.col("node") == F.col("key"))
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    members = members.join(sizes, "root").select(F.col("root").alias("cluster"), "key", "k1", "k2", "rep", "times", "tiles")
     members = written(members.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("tiles")).cast("int")), "members")
 
     links = written(_tiles(_with_shingles(docs, members), threshold), "links")
@@ -318,3 +321,22 @@ def _with_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "times", "s")
     return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+
+
+#: The same classes by brute force: every pair that shares a shingle, and a recursive closure.
+SIMILAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, other) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY 1),
+l AS (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(l.n, 0) AS n_links
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+"""

@@ -21,7 +21,8 @@ def op2_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "n_words")
 
 
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_classes": jaccard.SIMILAR_SQL,
+        "op3_benchmark_passages": decontam.PASSAGES_SQL,
         "op5_preference_pairs": chat.NEIGHBOURS_SQL,
         "op6_top_products": TOP_PRODUCTS_SQL,
     }
