@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-ROWS_PER_BUCKET = 4_096
+ROWS_PER_BUCKET = 1_024
 
 
 def _buckets(rows: int, rows_per_bucket: int) -> int:
