@@ -28,7 +28,7 @@ def newest_amendments(df: DataFrame, original: str = "original_id") -> tuple[Dat
 def apply_deletions(df: DataFrame, original: str = "original_id", status: str = "tran_status", keep: DataFrame | None = None) -> DataFrame:
     """Chains whose newest version is a deletion go whole, but for ids in ``keep``; deletion rows go always."""
     w = W.partitionBy("chain").orderBy(F.asc_nulls_first("filed_date"), F.col("tran_id").try_cast("bigint")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = df.withColumn("chain", F.coalesce(F.col(original), F.col("tran_id"))).withColumn("_gone", F.last(F.col(status) == "Deleted").over(w))
+    rows = df.withColumn("chain", F.coalesce(F.col(original), F.col("tran_id"))).withColumn("_gone", F.last(F.coalesce(F.col(status), F.lit("")) == "Deleted").over(w))
     if keep is not None:
         rows = rows.join(keep.select("tran_id", F.lit(True).alias("_kept")), "tran_id", "left")
         rows = rows.withColumn("_gone", F.col("_gone") & F.col("_kept").isNull()).drop("_kept")
