@@ -207,7 +207,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     p = _Page(page)
-    return _best(p, p.skipped()) or _best(p, p.skipped(forms=False))  # a form may wrap a whole page
+    text = _best(p, p.skipped())
+    if not text and not any(p.holds):
+        text = _best(p, p.skipped(forms=False))  # a form may wrap a page that marks no article
+    return text
 
 
 def _best(p: _Page, skip: list[bool]) -> str:

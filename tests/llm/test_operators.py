@@ -56,6 +56,7 @@ def test_pages_without_text(page):
 def test_broken_pages():
     assert html_extract.main_text("<p>a<b>b</b>c &amp d") == "abc & d"
     assert html_extract.main_text("<form action=x><div class=page><p>All of it, in a form.</p></div></form>") == "All of it, in a form."
+    assert html_extract.main_text("<nav>n</nav><div class=ad>Ad, ad.</div><article></article><form><p>Write to us, please.</p></form>") == ""
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     cut = PAGE[: PAGE.index("Last <b>")]
     assert html_extract.main_text(cut) == ARTICLE[: ARTICLE.index(" Last")]
@@ -393,12 +394,26 @@ def test_packing(spark):
     assert packing.pack(documents(spark, docs).limit(0), WORD).count() == 0
 
 
-def test_cuts_beyond_64_bits_match_those_within():
-    small, large = packing.cuts(70, 400, 64, 300, 900, 2000), packing.cuts(70, 400, 64, 300 * 10**12, 900 * 10**12, 2000 * 10**12)
-    assert small[0].tolist()[1:] == large[0].tolist()[1:] or len(large[0]) == len(small[0])
-    lo, hi, total = 3 * 10**12, 9 * 10**12, 2 * 10**13
-    s, e, w, o = packing.cuts(10**12, 10**12 + 5000, 2048, lo, hi, total)
-    assert s[0] == 10**12 and e[-1] == 10**12 + 5000 and (s[1:] == e[:-1]).all() and (np.diff(w) == 1).all() and (o + (e - s) <= 2048).all()
+@pytest.mark.parametrize("scale", [1, 10**6, 10**8])
+def test_cuts_of_many_match_those_of_one(scale):
+    """Bounds far beyond 64-bit products give what Python's integers give."""
+    total = 200_000 * scale + 7
+    edges = sorted({0, total, *(random.Random(scale).randrange(total) for _ in range(6))})
+    r = np.random.default_rng(4)
+    rows = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        for x0 in [0, *r.integers(0, hi - lo, 5).tolist()]:
+            n = int(min(hi - lo - x0, r.integers(1, 9000)))
+            rows.append((x0, n, lo, hi))
+        rows.append((hi - lo - 1, 1, lo, hi))
+    x0, n, lo, hi = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    assert packing.steps_fit(n, 2048, lo, hi, total).all()
+    doc, start, end, window, offset = packing.cuts_of_many(x0, n, 2048, lo, hi, total)
+    for i, (x, k, a, b) in enumerate(rows):
+        s, e, w, o = packing.cuts(x, x + k, 2048, a, b, total)
+        mine = doc == i
+        assert (start[mine] + x).tolist() == s.tolist() and (end[mine] + x).tolist() == e.tolist()
+        assert window[mine].tolist() == w.tolist() and offset[mine].tolist() == o.tolist()
 
 
 def test_token_files(spark, tmp_path):
