@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import decontam, jaccard, packing, quality, secrets
-from ledgerlight.llm.common import small, table, written
+from ledgerlight.llm.common import free, small, table, written
 from ledgerlight.llm.tokens import vocabulary
 
 
@@ -29,7 +29,8 @@ def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return found.filter(F.col(free("predicted", docs.columns)) == 1).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

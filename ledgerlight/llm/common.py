@@ -7,8 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..store import cut as written
 from ..store import fresh_path, small
 
-__all__ = ["fresh_path", "small", "table", "written"]
+__all__ = ["free", "fresh_path", "small", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name``, behind as many underscores as make it none of ``taken``."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name = f"_{name}"
+    return name

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import free
 from .words import mix, word_hashes
 
 SAMPLE = 3_000
@@ -217,11 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (double) and ``predicted`` (int, 1 from ``threshold``)."""
+    """``docs`` with ``score`` (double) and ``predicted`` (int, 1 from ``threshold``), under longer names if it has such columns."""
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, sample, chars))
     names = docs.columns
+    score_name, predicted_name = free("score", names), free("predicted", names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,10 +231,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: in
                 part = batch.slice(at, 1_000)
                 texts = part[names.index("text")].to_pylist()
                 got = score(texts, model.value) if model.value else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], names=[*names, score_name, predicted_name])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, score double, predicted int")
+    return docs.mapInArrow(run, f"{kept}, `{score_name}` double, `{predicted_name}` int")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

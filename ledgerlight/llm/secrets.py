@@ -250,7 +250,9 @@ def redacted(docs: DataFrame, by: str = "[redacted]") -> DataFrame:
 
     walked = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
     whole = F.concat(F.array_join(F.transform(walked["out"], lambda x: F.concat(x, F.lit(by))), ""), F.substring(text, walked["at"] + 1, F.length(text)))
-    out = scan(docs).withColumn("text", F.when(F.size("_all") > 0, whole).otherwise(F.col("text")))
+    # The row travels as one struct, so none of its columns can clash with those of the scan.
+    out = scan(docs.select(F.struct("*").alias("_row"), "text")).withColumn("_new", F.when(F.size("_all") > 0, whole).otherwise(F.col("text")))
+    row = F.col("_row").withField("text", F.col("_new"))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
-    return out.select(*names)
+        row = row.withField("n_chars", F.when(F.size("_all") > 0, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars").cast("long")))
+    return out.select(row.alias("_row")).select("_row.*")

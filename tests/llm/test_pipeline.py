@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerlight.llm import queries
 from ledgerlight.llm.common import table
@@ -48,8 +50,11 @@ def test_run_is_its_stages(spark):
 
 def test_stages_on_edges(spark):
     docs = spark.createDataFrame(EDGE_ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(("score", "predicted", "_base", "_all", "_row", "_new", "class_id", "n", "k1", "part", "queue", "w"))})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+        assert stage(spark, docs, SF).columns == docs.columns
+    assert corpus_pipeline.mixture_packing(spark, docs, SF).count() > 0
     kept = corpus_pipeline.jaccard_join(spark, docs, SF)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "None"]
     assert _plain(corpus_pipeline.benchmark_decontamination(spark, docs, SF)) == _plain(docs)
