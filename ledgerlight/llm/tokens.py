@@ -1,43 +1,111 @@
 """Token ids by the tokenizers library, each distinct pre-token encoded once per Python worker.
 
-The library encodes every pre-token on its own, so a text's ids are its pre-tokens' ids in turn. Texts made of
-ASCII and Latin letters are split here, by the vocabulary file's own pattern, and looked up in a cache that the
-library fills; any other text, and one that may hold a special token's string, goes to the library whole.
+The library encodes every pre-token on its own, so a text's ids are its pre-tokens' ids in turn. Texts of ASCII and Latin letters are
+split here, many at once as arrays, by the two patterns below; distinct pre-tokens are known by 128 bits of hash, looked up in a cache that
+the library fills, and gathered. Any other text, one that may hold a special token's string, and any vocabulary with
+another pattern go to the library whole.
 """
 
 from __future__ import annotations
 
+import array
 import functools
-import itertools
+import gc
 import json
 import os
-import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 
-#: Pre-tokens kept per worker; about 200 bytes each.
-CACHE = 800_000
-#: Fixed value: the pre-token pattern of byte-level BPE.
+#: Pre-tokens of a generation of the cache, about 200 bytes each. A worker keeps two: when one is full, what is used again moves on.
+CACHE = 600_000
+#: Characters split at once.
+CHUNK = 1 << 20
+#: Fixed value: the pattern of byte-level pre-tokens. Runs take one space before them, other white space is a pre-token.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the pattern of word pre-tokens. White space is dropped, digits stand alone.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What an apostrophe is joined with.
+SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Characters up to here have the same class and the same one-character lower case in any Unicode version, and are their
 #: own normal form, but for those in ``ODD``.
 LAST_PLAIN = 0x17F
-ODD = "\x1c-\x1f\x85\xad\u0130"
-#: The steps of a normaliser that plain texts need only be lowered for: white space is dropped by its splitter.
+ODD = (*range(0x1C, 0x20), 0x85, 0xAD, 0x130)
+#: The steps of a normaliser that plain texts need only be lowered for: white space is dropped by its pattern.
 LOWERING = ["NFC", "Replace", "Lowercase"]
-
-
-def _class(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(LAST_PLAIN + 1) if unicodedata.category(chr(c))[0] == kind)
-
-
-def _plain(pattern: str) -> re.Pattern:
-    """``pattern`` for texts of plain characters, where the classes are lists."""
-    letters, numbers = _class("L"), _class("N")
-    pattern = pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
-    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]")
-    return re.compile(pattern.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]"))
+#: Between texts; no plain text has it.
+APART = "￿"
+
+EDGE, LETTER, NUMBER, OTHER, SPACE, BLANK = range(6)
+
+
+@functools.lru_cache(1)
+def _classes() -> np.ndarray:
+    out = np.full(0x10000, OTHER, np.int8)
+    for c in range(LAST_PLAIN + 1):
+        kind = unicodedata.category(chr(c))[0]
+        out[c] = LETTER if kind == "L" else NUMBER if kind == "N" else BLANK if chr(c) in "\t\n\x0b\x0c\r\xa0" else OTHER
+    out[ord(" ")], out[ord(APART)] = SPACE, EDGE
+    return out
+
+
+@functools.lru_cache(1)
+def _odd() -> str:
+    return "".join(map(chr, ODD))
+
+
+@functools.lru_cache(1)
+def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of two odd bases its powers and those of its inverse, modulo 2**64."""
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
+            out.append(tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * CHUNK, np.uint64(b))]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))))
+    return out
+
+
+def split(u: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pre-tokens of code points (texts with ``APART`` between them and at the end) start and end.
+
+    ``spaced`` for the byte-level pattern, else that of words.
+    """
+    kind = _classes()[u]
+    group = np.where(kind == BLANK, np.int8(SPACE), kind)
+    change = group[1:] != group[:-1]
+    if not spaced:
+        change |= group[1:] == NUMBER
+    a = np.concatenate([[0], np.flatnonzero(change) + 1])
+    b = np.concatenate([a[1:], [len(u)]])
+    run = group[a]
+
+    # An apostrophe alone before letters may join some of them.
+    lone = np.flatnonzero((run[:-1] == OTHER) & (b[:-1] - a[:-1] == 1) & (u[a[:-1]] == ord("'")) & (run[1:] == LETTER))
+    if spaced and len(lone):
+        lone = lone[(a[lone] == 0) | (kind[a[lone] - 1] != SPACE)]
+    if len(lone):
+        x, size = u[b[lone]], b[lone + 1] - b[lone]
+        y = u[np.minimum(b[lone] + 1, len(u) - 1)]
+        joins = np.isin(x, [ord(c) for c in SHORT]).astype(np.int64)
+        for first, second in LONG:
+            joins[(x == ord(first)) & (y == ord(second)) & (size > 1)] = 2
+        b[lone] += joins
+        a[lone + 1] += joins
+
+    first, last = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)  # a second piece of white space
+    if spaced:
+        blank = np.flatnonzero((run[:-1] == SPACE) & (run[1:] != EDGE))  # before what is no white space
+        ends_in_space = kind[b[blank] - 1] == SPACE
+        to_next, alone = blank[ends_in_space], blank[~ends_in_space]
+        a[to_next + 1] -= 1
+        first[alone], last[alone] = b[alone] - 1, b[alone]
+        b[blank] -= 1
+        keep = run != EDGE
+    else:
+        keep = (run != EDGE) & (run != SPACE)
+    start, end = np.stack([a, first], 1), np.stack([b, last], 1)
+    found = (end > start) & keep[:, None]
+    return start[found], end[found]
 
 
 class Encoder:
@@ -51,44 +119,111 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]]) if n]
-        self.normalize = None if not kinds else str.lower if kinds == LOWERING else self.tokenizer.normalizer.normalize_str
         pre = spec["pre_tokenizer"] or {}
         steps = pre.get("pretokenizers", [pre])
         found = [s["pattern"].get("Regex") for s in steps if s.get("type") == "Split" and s["invert"] and s["behavior"] == "Removed"]
         found += [BYTE_LEVEL for s in steps if s.get("type") == "ByteLevel" and s["use_regex"] and not s["add_prefix_space"]]
-        self.split = _plain(found[0]).findall if len(found) == 1 and found[0] else None
-        # Special tokens' strings, and what the classes here and in the library may not agree on.
+        self.spaced = found == [BYTE_LEVEL] and not kinds
+        self.known = self.spaced or found == [WORDS] and kinds == LOWERING
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.odd = re.compile(f"[{ODD}{chr(LAST_PLAIN + 1)}-\U0010ffff]").search
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def words(self, text: str | None) -> list[str] | None:
-        """The pre-tokens of a plain text; None for any other."""
-        if not text:
-            return []
-        if self.split is None or any(x in text for x in self.special) or self.odd(text):
-            return None
-        return self.split(self.normalize(text) if self.normalize else text)
+    def plain(self, text: str) -> bool:
+        """Whether a text may be split here."""
+        if not self.known or len(text) > CHUNK or any(x in text for x in self.special):
+            return False
+        return (text.isascii() or max(text) <= chr(LAST_PLAIN)) and not any(c in text for c in _odd())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of ``dtype``."""
-        split = [self.words(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new: set[str] = set()
-        for words in split:
-            new.update(words or ())
-        new = [w for w in new if w not in cache]
-        made = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        flat, at, size = np.fromiter(itertools.chain.from_iterable(made), self.dtype).tobytes(), 0, self.dtype.itemsize
-        for w, ids in zip(new, made, strict=True):
-            cache[w] = flat[at : (at := at + size * len(ids))]
-        get = cache.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        collects = gc.isenabled()
+        gc.disable()  # the caches hold no cycles, and are large to walk
+        try:
+            return self._ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.plain(text):
+                out[i] = self.whole(text)
+                continue
+            if size + len(text) > CHUNK:
+                self._encode(texts, held, out)
+                held, size = [], 0
+            held.append(i)
+            size += len(text) + 1
+        if held:
+            self._encode(texts, held, out)
+        return out
+
+    def _encode(self, texts: list[str | None], which: list[int], out: list[bytes]) -> None:
+        joined = APART.join([*(texts[i] for i in which), ""])
+        if not self.spaced:
+            joined = joined.lower()
+        u = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        start, end = split(u, self.spaced)
+        with np.errstate(over="ignore"):
+            keys = []
+            for up, down in _powers():
+                total = np.concatenate([[np.uint64(0)], np.cumsum((u + np.uint32(1)) * up[: len(u)], dtype=np.uint64)])
+                keys.append((total[end] - total[start]) * down[start])
+        codes, _ = pd.factorize(keys[0] ^ (keys[1] >> np.uint64(7)))
+        distinct = int(codes.max(initial=-1)) + 1
+        sample = np.zeros(distinct, np.int64)
+        sample[codes[::-1]] = np.arange(len(codes))[::-1]
+        if not all((k[sample][codes] == k).all() for k in keys):  # two pre-tokens of one number
+            for i in which:
+                out[i] = self.whole(texts[i])
+            return
+        found = self._found(joined, start[sample].tolist(), end[sample].tolist(), np.stack([k[sample] for k in keys], 1).tobytes())
+        lengths = np.fromiter(map(len, found), np.int64, distinct) // self.dtype.itemsize
+        each = lengths[codes]
+        first, ends = np.cumsum(lengths) - lengths, np.cumsum(each)
+        at = np.repeat(first[codes] - (ends - each), each) + np.arange(int(each.sum()))
+        flat = np.frombuffer(b"".join(found), self.dtype)[at].tobytes()
+        texts_end = np.flatnonzero(u == ord(APART))
+        stops = np.concatenate([[0], ends])[np.searchsorted(start, texts_end)] * self.dtype.itemsize
+        a = 0
+        for i, b in zip(which, stops.tolist(), strict=True):
+            out[i], a = flat[a:b], b
+
+    def _found(self, joined: str, starts: list[int], ends: list[int], keys: bytes) -> list[bytes]:
+        """The ids of distinct pre-tokens, from the cache or the library."""
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
+        names = [keys[k : k + 16] for k in range(0, len(keys), 16)]
+        found = list(map(self.cache.get, names))
+        new = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                if (ids := self.old.get(names[i])) is None:
+                    new.append(i)
+                else:
+                    found[i] = self.cache[names[i]] = ids
+        made, lengths = self._library([joined[starts[i] : ends[i]] for i in new])
+        flat, at, size = made.tobytes(), 0, self.dtype.itemsize
+        for i, n in zip(new, lengths, strict=True):
+            found[i] = self.cache[names[i]] = flat[at : (at := at + size * n)]
+        return found
+
+    def _library(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of pre-tokens one after another, and how many each has."""
+        ids, lengths = array.array("I"), []
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            own = e.ids
+            ids.extend(own)
+            lengths.append(len(own))
+        return np.array(ids).astype(self.dtype), lengths
 
 
 @functools.lru_cache(2)

@@ -352,6 +352,16 @@ def test_cached_ids_are_the_library_s(path):
         assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_split_texts_match_the_library(path):
+    r, enc = random.Random(8), tokens.Encoder(path)
+    texts = ["".join(r.choice(" '  \n\t'stredlvmaBZ19½.,!é\xa0ſĲ") for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    assert enc.known and all(enc.plain(t) for t in texts)
+    got = [np.frombuffer(b, enc.dtype).tolist() for b in enc.ids(texts)]
+    wrong = [(t, a) for t, a in zip(texts, got, strict=True) if a != enc.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert not wrong
+
+
 def check_pieces(rows, docs, path, window):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
