@@ -35,6 +35,8 @@ from .tokens import encoder
 
 FRAME = 256 * 1024
 LEVEL = 3
+#: Input to a file where the number of files is left open, and the most files that an estimate may ask for.
+FILE_BYTES, MOST_FILES = 64 << 20, 1_000_000
 # Fixed values of the zstandard (seekable) format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -171,8 +173,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, files: int |
     ship(docs.sparkSession)
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
-    rows.sortWithinPartitions(*keys).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    if not files:
+        estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FILES, -(-estimate // FILE_BYTES)))
+    (rows.repartitionByRange(files, *keys) if files > 0 else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
