@@ -35,7 +35,6 @@ from .tokens import encoder
 WINDOW = 2048
 QUANTUM = 32
 END_ID = 1
-ROWS_OUT = 4_000
 
 TOKENS = "doc_id long, queue string, part int, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -103,6 +102,62 @@ def place(x0: int, n: int, lo: int, hi: int, total: int, pool: tuple | None, win
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def cuts_of_many(x0: np.ndarray, n: np.ndarray, unit: int, lo: np.ndarray, hi: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
+    """``cuts`` of many documents at once: document, start, end, window, offset of each piece.
+
+    Products of a total and a bound may need more than 64 bits, so each document's first window is worked out in Python's integers,
+    and only the steps from there in arrays: ``steps_fit`` tells for which documents these fit.
+    """
+    first, q, r = [], {"lo": [], "hi": []}, {"lo": [], "hi": []}
+    for x, a, b in zip(x0.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        w = max(0, x * total // ((b - a) * unit) - 2)
+        first.append(w)
+        for name, bound in (("lo", a), ("hi", b)):
+            whole, rest = divmod(unit * w * bound, total)
+            q[name].append(whole)
+            r[name].append(rest)
+    base = np.array(first, np.int64)
+    q, r, bounds = ({k: np.array(v, np.int64) for k, v in z.items()} for z in (q, r, {"lo": lo, "hi": hi}))
+
+    def below(doc: np.ndarray, w: np.ndarray, name: str) -> np.ndarray:
+        bound = bounds[name][doc]
+        # From where all is packed the bound itself; till there the steps stay small.
+        steps = np.minimum(w, total // unit) - base[doc]
+        inside = q[name][doc] + (r[name][doc] + unit * steps * bound) // total
+        return np.where(w * unit >= total, bound, inside)
+
+    every = np.arange(len(x0))
+
+    def given(w: np.ndarray) -> np.ndarray:
+        return below(every, w, "hi") - below(every, w, "lo")
+
+    w0, last = base.copy(), x0 + n - 1
+    while (behind := given(w0 + 1) <= x0).any():
+        w0 += behind
+    w1 = base + windows_of(n, unit, hi - lo, total)
+    while (ahead := given(w1) > last).any():
+        w1 -= ahead
+    k = w1 - w0 + 1
+    doc = np.repeat(every, k)
+    w = np.repeat(w0 - (np.cumsum(k) - k), k) + np.arange(len(doc))
+    under, under_next = below(doc, w, "lo"), below(doc, w + 1, "lo")
+    a, b = below(doc, w, "hi") - under, below(doc, w + 1, "hi") - under_next
+    start, end = np.maximum(a, x0[doc]), np.minimum(b, (x0 + n)[doc])
+    keep = end > start
+    doc, w = doc[keep], w[keep]
+    return doc, start[keep] - x0[doc], end[keep] - x0[doc], w, (start - a + under_next - under)[keep]
+
+
+def windows_of(n: np.ndarray, unit: int, share: np.ndarray, total: int) -> np.ndarray:
+    """More windows than documents of n tokens reach over, counted from ``cuts_of_many``'s first ones."""
+    return np.array([k * total // (s * unit) + 6 for k, s in zip(n.tolist(), share.tolist(), strict=True)], np.int64)
+
+
+def steps_fit(n: np.ndarray, unit: int, lo: np.ndarray, hi: np.ndarray, total: int) -> np.ndarray:
+    """Whether all steps of a document's windows stay below 2**62."""
+    return (windows_of(n, unit, hi - lo, total) + 2).astype(np.float64) * unit * hi < 2.0**62
+
+
 def queue_bounds(tokens: DataFrame, window: int, quantum: int) -> DataFrame:
     """For each queue and part: where the part's tokens begin in the queue, the queue's bounds, and its pool's, if any."""
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
@@ -138,29 +193,30 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     bounds = written(queue_bounds(tokens, window, quantum), "queues")
     rows = tokens.join(small(bounds, bounds.count()), ["queue", "part"])
 
+    def pieces(part: pa.RecordBatch, dtype: np.dtype) -> pa.RecordBatch:
+        col = {c: part[c].to_numpy(zero_copy_only=False) for c in ("first", "before", "n", "lo", "hi", "total")}
+        x0, n, total = col["first"] + col["before"], col["n"], int(col["total"][0])
+        pooled = np.array(part["pooled"].to_pylist(), bool)
+        plain = np.flatnonzero(~pooled & steps_fit(n, window, col["lo"], col["hi"], total))
+        doc, start, end, window_id, offset = cuts_of_many(x0[plain], n[plain], window, col["lo"][plain], col["hi"][plain], total)
+        found = [(plain[doc], start, end - start, window_id, offset)]
+        for i in np.setdiff1d(np.arange(len(n)), plain).tolist():
+            pool = tuple(part[c][i].as_py() for c in ("unit", "pool_lo", "pool_hi", "pool_total")) if pooled[i] else None
+            made = place(int(x0[i]), int(n[i]), int(col["lo"][i]), int(col["hi"][i]), total, pool, window)
+            found.append((np.full(len(made[0]), i), *made))
+        doc, start, length, window_id, offset = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+        ids = memoryview(np.frombuffer(b"".join(part["ids"].to_pylist()), dtype).astype("<u4").tobytes())
+        at = 4 * ((np.cumsum(n) - n)[doc] + start)
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+        sources = pa.array([q[1:] if q[0] == "+" else None for q in part["queue"].to_pylist()], pa.string())
+        columns = [part["doc_id"].take(pa.array(doc)), start, length, crc, n[doc], window_id, offset, sources.take(pa.array(doc))]
+        names = [*(x.split()[0] for x in PIECES.split(", ")), "source"]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(path).dtype
-        schema = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")] + [("source", pa.string())])
-        out: list[list] = [[] for _ in schema]
-
-        def flush() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-            for c in out:
-                c.clear()
-            return made
-
         for batch in batches:
-            for row in batch.to_pylist():
-                pool = (row["unit"], row["pool_lo"], row["pool_hi"], row["pool_total"]) if row["pooled"] else None
-                start, length, seq, offset = place(row["first"] + row["before"], row["n"], row["lo"], row["hi"], row["total"], pool, window)
-                ids = memoryview(np.frombuffer(row["ids"], dtype).astype("<u4").tobytes())
-                start, length, k = start.tolist(), length.tolist(), len(start)
-                crc = [zlib.crc32(ids[4 * a : 4 * (a + b)]) for a, b in zip(start, length, strict=True)]
-                source = row["queue"][1:] if row["queue"][0] == "+" else None
-                for c, x in zip(out, ([row["doc_id"]] * k, start, length, crc, [row["n"]] * k, seq.tolist(), offset.tolist(), [source] * k), strict=True):
-                    c += x
-                if len(out[0]) >= ROWS_OUT:
-                    yield flush()
-        yield flush()
+            for at in range(0, batch.num_rows, 500):
+                yield pieces(batch.slice(at, 500), dtype)
 
     return rows.mapInArrow(run, f"{PIECES}, source string")
