@@ -35,7 +35,7 @@ RATE = 0.1
 PENALTY = 2e-3
 THRESHOLD = 0.3
 FOLDS = 5
-CHARS = 1 << 21  # characters handled at once
+CHARS = 1 << 19  # characters handled at once
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "other")
 PLAIN = 0x3000

@@ -14,7 +14,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEP = np.uint64(0xD1342543DE82EF95)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 WORD = re.compile(r"\w")
 
 
