@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 
 #: Pre-tokens of a generation of the cache, about 200 bytes each. A worker keeps two: when one is full, what is used again moves on.
-CACHE = 600_000
+CACHE = 450_000
 #: Characters split at once.
 CHUNK = 1 << 20
 #: Fixed value: the pattern of byte-level pre-tokens. Runs take one space before them, other white space is a pre-token.
@@ -61,7 +61,7 @@ def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     with np.errstate(over="ignore"):
         for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
-            out.append(tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * CHUNK, np.uint64(b))]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))))
+            out.append(tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK + 1, np.uint64(b))]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))))
     return out
 
 
@@ -134,7 +134,7 @@ class Encoder:
 
     def plain(self, text: str) -> bool:
         """Whether a text may be split here."""
-        if not self.known or len(text) > CHUNK or any(x in text for x in self.special):
+        if not self.known or len(text) >= CHUNK or any(x in text for x in self.special):
             return False
         return (text.isascii() or max(text) <= chr(LAST_PLAIN)) and not any(c in text for c in _odd())
 
@@ -157,7 +157,7 @@ class Encoder:
             if not self.plain(text):
                 out[i] = self.whole(text)
                 continue
-            if size + len(text) > CHUNK:
+            if size + len(text) >= CHUNK:
                 self._encode(texts, held, out)
                 held, size = [], 0
             held.append(i)
