@@ -4,9 +4,10 @@ A window of a document has as many words as a benchmark item. Its weighted shing
 weight of how often the window has it. A window holds an item when the weighted Jaccard index of their shingles
 (sum of least weights over sum of greatest) is 0.8 or more.
 
-1. Windows. A window at the threshold has all but n/9 of the item's n shingles, so it has one of any n/9 + 1 of them
-   (its anchors), moved against its place in the item by n/9 words at most. So a document's shingles are looked
-   up among all items' anchors, and each hit names the windows that can reach the threshold; no other window can.
+1. Windows. A window at the threshold has all but n/9 of the item's n shingles, in any order, so it has one of any n/9 + 1 of them
+   (its anchors). So a document's shingles are looked up among all items' anchors, and each hit names every window that
+   holds it. Of these stay the windows that lack few enough of the item's distinct shingles to reach the threshold: a
+   bound on bags of shingles, whatever their order, so no window that can reach it is lost.
 2. Fingerprints. Each such window gets its 64-bit SimHash. The items' fingerprints are indexed in ``BLOCKS`` blocks of bits with all values at
    a distance of ``SLACK`` bits at most: two fingerprints within ``RADIUS = BLOCKS * (SLACK + 1) - 1`` bits agree
    with the index in one block at least, so no fingerprint of an item of that size within the radius is missed.
@@ -100,25 +101,28 @@ def _of_width(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
     # Written once: the optimiser would else work out words anew wherever shingles or fingerprints are used.
     items = written(items.withColumn("s", shingles("w", n)).drop("w", "n"), "items")
     items = written(items.withColumn("fp", simhash("s")), "items")
-    # Of 2nt/(1+t) shared shingles, what an item may lack.
+    # Beside 2nt/(1+t) shared shingles, what an item may lack.
     lack = F.expr(f"cast((size(s) * {den - num}L) div {den + num}L as int)")
     by_hash = F.array_sort(F.transform("s", lambda h, q: F.struct(F.xxhash64(F.lit(7), h).alias("o"), h.alias("h"), q.alias("q"))))
-    anchors = items.select("len", lack.alias("lack"), F.explode_outer(F.slice(by_hash, F.lit(1), lack + 1)).alias("a")).select("len", "lack", F.col("a.h").alias("h"), F.col("a.q").alias("q")).distinct()
+    items = items.withColumn("g", F.xxhash64("s"))
+    anchors = items.select("g", "len", F.explode_outer(F.slice(by_hash, F.lit(1), lack + 1)).alias("a")).select("g", "len", F.col("a.h").alias("h")).distinct()
     anchors = small(anchors, anchors.count())
+    texts = items.select("g", "s").dropDuplicates(["g"]).withColumnRenamed("s", "mine")
+    texts = small(texts, texts.count())
 
     # Outer generators: for an inner one the optimiser adds a filter that works out its array a second time, and what it is made of many times.
-    shingled = docs.withColumn("s", shingles("w", n))
-    hits = shingled.select("doc_id", "w", F.posexplode_outer("s").alias("p", "h")).join(anchors, "h")
-    moved = F.sequence(F.col("p") - F.col("q") - F.col("lack"), F.col("p") - F.col("q") + F.col("lack"))
-    last = F.greatest(F.size("w") - F.col("len"), F.lit(0))
-    starts = F.array_distinct(F.transform(moved, lambda x: F.greatest(F.lit(0), F.least(x, last))))
-    windows = hits.select("doc_id", "len", "w", F.explode_outer(starts).alias("start")).select(
-        "doc_id", "len", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("w")
-    )
-    windows = windows.distinct()
+    shingled = docs.withColumn("s", shingles("w", n)).withColumn("words", F.size("w")).drop("w")
+    hits = shingled.select("doc_id", "words", "s", F.posexplode_outer("s").alias("p", "h")).join(anchors, "h").join(texts, "g")
+    last = F.greatest(F.col("words") - F.col("len"), F.lit(0))
+    starts = F.sequence(F.greatest(F.col("p") - F.col("len") + n, F.lit(0)), F.least(F.col("p"), last))
+    windows = hits.select("doc_id", "len", "s", "mine", F.explode_outer(starts).alias("start"))
+    windows = windows.select("doc_id", "len", "start", "mine", F.slice("s", F.col("start") + 1, F.col("len") - n + 1).alias("ws"))
+    shared = F.size("mine") - F.size(F.array_except("mine", "ws"))  # at most, each repeat as if it were there
+    windows = windows.filter(shared * (den + num) >= (F.size("mine") + F.size("ws")) * num)
+    windows = windows.select("doc_id", "len", "start", "ws").distinct()
 
     # Columns that can't be null: for others the optimiser adds a filter that works them out a second time, and what they are made of many times.
-    found = windows.withColumn("ws", F.coalesce(shingles("w", n), F.array().cast("array<bigint>"))).withColumn("wfp", F.coalesce(simhash("ws"), F.lit(0).cast("long")))
+    found = windows.withColumn("ws", F.coalesce("ws", F.array().cast("array<bigint>"))).withColumn("wfp", F.coalesce(simhash("ws"), F.lit(0).cast("long")))
     found = found.select("doc_id", "len", "start", "ws", "wfp", F.posexplode_outer(F.array(*[block(F.col("wfp"), k) for k in range(BLOCKS)])).alias("k", "v"))
     width = BITS // BLOCKS
     near = [sum(1 << b for b in some) for r in range(SLACK + 1) for some in combinations(range(width), r)]

@@ -180,6 +180,40 @@ def test_passages(spark):
     assert decontam.passages(documents(spark, rows).limit(0), benchmark).count() == 0
 
 
+def brute_passages(rows, items):
+    """The greatest similarity of each document and item that reach the threshold."""
+    want = {}
+    for i, t in items:
+        iw = re.findall(r"\w+", t.lower())
+        mine = Counter(tuple(iw[k : k + 5]) for k in range(len(iw) - 4))
+        for d, text, _ in rows:
+            w = re.findall(r"\w+", (text or "").lower())
+            for s in range(max(1, len(w) - len(iw) + 1)):
+                x = w[s : s + len(iw)]
+                theirs = Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+                score = sum((mine & theirs).values()) / sum((mine | theirs).values())
+                if score >= 0.8:
+                    want[d, i] = max(score, want.get((d, i), 0))
+    return want
+
+
+def test_passages_in_another_order(spark):
+    items = [(i, say(700 + i, n)) for i, n in enumerate((50, 60, 100, 200))]
+    repeats = say(720, 12).split()
+    items.append((4, " ".join(repeats * 6)))
+    rows = []
+    for i, t in items:
+        w = t.split()
+        half, third = len(w) // 2, len(w) // 3
+        rows.append((10 + i, f"{say(730 + i, 90)} {' '.join(w[half:] + w[:half])} {say(740 + i, 60)}", "s"))
+        rows.append((20 + i, " ".join(w[half:] + w[:half]), "s"))
+        rows.append((30 + i, f"{say(750 + i, 40)} {' '.join(w[2 * third :] + w[third : 2 * third] + w[:third])} {say(760 + i, 40)}", "s"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.passages(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_passages(rows, items)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {(d + i, i) for d in (10, 20) for i in range(4)} <= set(want)
+
+
 def test_blocks_find_all_within_the_radius():
     r = random.Random(3)
     width = decontam.BITS // decontam.BLOCKS
