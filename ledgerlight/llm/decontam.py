@@ -4,8 +4,8 @@ A window of a document has as many words as a benchmark item. Its weighted shing
 weight of how often the window has it. A window holds an item when the weighted Jaccard index of their shingles
 (sum of least weights over sum of greatest) is 0.8 or more.
 
-1. Windows. A window at the threshold has all but n/9 of the item's n shingles, in any order, so it has one of any n/9 + 1 of them
-   (its anchors). So a document's shingles are looked up among all items' anchors, and each hit names every window that
+1. Windows. A window as long as the item has at the threshold all but n/9 of its n shingles, in any order; a document shorter
+   than the item, all but n/5. So either has one of any n/5 + 1 of them (its anchors). So a document's shingles are looked up among all items' anchors, and each hit names every window that
    holds it. Of these stay the windows that lack few enough of the item's distinct shingles to reach the threshold: a
    bound on bags of shingles, whatever their order, so no window that can reach it is lost.
 2. Fingerprints. Each such window gets its 64-bit SimHash. The items' fingerprints are indexed in ``BLOCKS`` blocks of bits with all values at
@@ -101,8 +101,8 @@ def _of_width(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
     # Written once: the optimiser would else work out words anew wherever shingles or fingerprints are used.
     items = written(items.withColumn("s", shingles("w", n)).drop("w", "n"), "items")
     items = written(items.withColumn("fp", simhash("s")), "items")
-    # Beside 2nt/(1+t) shared shingles, what an item may lack.
-    lack = F.expr(f"cast((size(s) * {den - num}L) div {den + num}L as int)")
+    # A window of fewer shingles than the item's n holds nt of them at least; one of as many holds more, 2nt/(1+t).
+    lack = F.expr(f"cast((size(s) * {den - num}L) div {den}L as int)")
     by_hash = F.array_sort(F.transform("s", lambda h, q: F.struct(F.xxhash64(F.lit(7), h).alias("o"), h.alias("h"), q.alias("q"))))
     items = items.withColumn("g", F.xxhash64("s"))
     anchors = items.select("g", "len", F.explode_outer(F.slice(by_hash, F.lit(1), lack + 1)).alias("a")).select("g", "len", F.col("a.h").alias("h")).distinct()

@@ -214,6 +214,18 @@ def test_passages_in_another_order(spark):
     assert {(d + i, i) for d in (10, 20) for i in range(4)} <= set(want)
 
 
+def test_items_cut_short_that_are_whole_documents(spark):
+    items = [(i, say(800 + i, 9 + i % 16)) for i in range(160)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        keep = -(-(len(w) - 4) * 4 // 5) + 4
+        rows += [(i, " ".join(w[:keep]), "s"), (1000 + i, " ".join(w[-keep:]), "s")]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.passages(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_passages(rows, items)
+    assert len(want) == 320 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_blocks_find_all_within_the_radius():
     r = random.Random(3)
     width = decontam.BITS // decontam.BLOCKS
