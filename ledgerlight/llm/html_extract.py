@@ -4,7 +4,10 @@ Each block of running text earns points for its length and its commas, discounte
 The points go in full to its container, by half to that one's container, by a third to the next, and so on. The
 container with the most points, itself discounted by link density, is the article; siblings of it that score well
 belong to it. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by their element, role or class,
-take no part, nor do scripts, styles and hidden parts. Inside the article, lists and boxes that are mostly links go too.
+take no part, nor do scripts, styles and hidden parts. Headings are never known by class or id, and sections only by names that
+fit nothing else: inside an ``article`` a word of ``SURE`` or two words of ``NOISE``, elsewhere any of them but ``UNSURE``, and
+never beside words that are no qualifiers (``related-work``). Share of links only chooses the container: lists, tables and boxes
+of links inside the article stay.
 
 Character references are decoded; white space becomes one space inside a block, and one space joins the blocks in page order.
 Nothing else is dropped, however short or long.
@@ -65,6 +68,11 @@ NOISE = frozenset(
     "recommended recommendations comment comments commentlist disqus reply replies respond discussion toolbar copyright disclaimer".split()
 )
 REPLIES = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Of the words above, those that name no section of an article, and those that do so as often as not.
+SURE = frozenset("navbar topbar ad ads adv advert adverts adsense adbox adslot breadcrumb breadcrumbs pagination pager comments commentlist disqus".split())
+UNSURE = frozenset("header related discussion notice notices alert alerts respond".split())
+#: Words that may stand beside them in the name of a section that is boilerplate.
+QUALIFIERS = frozenset("site page main top bottom left right global section area container wrapper wrap box block bar list inner outer item items link links post posts articles stories form".split())
 KEPT = frozenset("html body main article".split())
 LEVELS = 5
 SIBLING_SHARE = 0.2
@@ -130,16 +138,28 @@ class _Page:
         self.begin.append(len(self.segments))
         self.end.append(-1)
         self.link.append(name == "a" or self.link[up])
-        self.noise.append(name in BOILERPLATE or ("=" in attributes or "hidden" in attributes) and self._is_noise(name, attributes))
+        self.noise.append(name in BOILERPLATE or ("=" in attributes or "hidden" in attributes) and self._is_noise(name, attributes, bool(self.count.get("article"))))
         self.holds.append(name in ("article", "main"))
         self.open.append(node)
         self.count[name] = self.count.get(name, 0) + 1
 
     @staticmethod
-    def _is_noise(name: str, attributes: str) -> bool:
+    def _is_noise(name: str, attributes: str, inside: bool) -> bool:
+        """inside: whether an ``article`` is open around it."""
+        found: set[str] = set()
         for m in NAMED.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
+                if name in HEADINGS:
+                    continue
+                if name == "section":
+                    for one in MODIFIED.sub(" ", value).split():
+                        words = {w.lower() for w in WORDS.findall(one)}
+                        if words <= NOISE | QUALIFIERS:
+                            found |= words & NOISE
+                    if len(found) > 1 or found & (SURE if inside else NOISE - UNSURE):
+                        return True
+                    continue
                 words = {w.lower() for w in WORDS.findall(MODIFIED.sub(" ", value))}
                 if words & (REPLIES if name in KEPT else NOISE):
                     return name not in ("html", "body")
@@ -279,8 +299,7 @@ def _best(p: _Page, skip: list[bool]) -> str:
     for node in range(1, n):
         if holes and p.begin[node] < holes[-1][1]:
             continue
-        mostly_links = p.tag[node] in ("ul", "ol", "div", "section", "table", "dl", "td") and length[node] and linked[node] > 0.6 * length[node]
-        if skip[node] and not skip[p.parent[node]] or mostly_links and node not in chosen and not skip[node]:
+        if skip[node] and not skip[p.parent[node]]:
             holes.append((p.begin[node], p.end[node]))
     return p.text([(p.begin[i], p.end[i]) for i in chosen], holes)
 

@@ -62,6 +62,38 @@ def test_broken_pages():
     assert html_extract.main_text(cut) == ARTICLE[: ARTICLE.index(" Last")]
 
 
+def in_article(inner, tag="article"):
+    return f"<body><nav><a href=/>Menu</a></nav><{tag}><h1>Title</h1><p>A paragraph, with commas, and words enough, to be the text of the page.</p>{inner}</{tag}><div class=ad>Buy, buy.</div></body>"
+
+
+LINKED = "Title A paragraph, with commas, and words enough, to be the text of the page."
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<table><tr><td><a href=a>Ann</a></td><td>12</td></tr><tr><td><a href=b>Bob</a></td><td>7</td></tr></table>", "Ann 12 Bob 7"),
+        ("<ol><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ol>", "First source Second source"),
+        ("<dl><dt><a href=a>Term</a></dt><dd><a href=b>Meaning</a></dd></dl>", "Term Meaning"),
+        ("<div><a href=a>A linked line</a></div><section><a href=a>Another</a></section>", "A linked line Another"),
+        ('<h2 id="discussion">Discussion</h2><p>Said.</p>', "Discussion Said."),
+        ('<h2 class="section-header">Part</h2><h3 id="comments">Notes</h3>', "Part Notes"),
+        ('<section id="related-work"><h2>Related work</h2><p>Others, too.</p></section>', "Related work Others, too."),
+        ('<section id="discussion"><p>It holds, in part.</p></section>', "It holds, in part."),
+        ('<section id="comments"><p>Says a reader, at length, and at length.</p></section>', ""),
+        ('<section class="newsletter-signup"><p>Your mail, please.</p></section><ul class="pagination"><li><a href=2>2</a></ul>', ""),
+    ],
+)
+def test_main_text_keeps_links_headings_and_sections(inner, text, tag):
+    assert html_extract.main_text(in_article(inner, tag)) == f"{LINKED} {text}".strip()
+
+
+def test_single_words_are_no_noise_in_an_article():
+    assert html_extract.main_text(in_article('<section id="login"><h2>Login</h2><p>How to.</p></section>')) == f"{LINKED} Login How to."
+    assert html_extract.main_text(in_article('<section class="ads"><p>Buy, buy.</p></section>')) == LINKED
+
+
 def test_extract_rows(spark):
     rows = spark.createDataFrame([(1, PAGE, 9), (2, None, 9), (2, "", 9), (None, "<p>x</p>", 9)], "page_id long, html string, text int")
     got = {(r.page_id, r.text, r.n_chars) for r in html_extract.extract(rows).collect()}
