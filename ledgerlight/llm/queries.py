@@ -13,7 +13,7 @@ from .tokens import vocabulary
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    return html_extract.extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
 
 
 def op2_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat, decontam, html_extract, jaccard, packing, quality, secrets, sharding, tokenio, tokens, topk
+from ledgerlight.llm import chat, decontam, html_extract, jaccard, packing, quality, queries, secrets, sharding, tokenio, tokens, topk
 from ledgerlight.llm import words as words_module
 
 SF = "/root/testdata/sf0.001"
@@ -101,6 +101,13 @@ def test_extract_rows(spark):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+def test_main_text_query_returns_urls(spark):
+    got = queries.op1_main_text(spark, SF)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert Counter((r.page_id, r.url) for r in got.collect()) == Counter((r.page_id, r.url) for r in pages.collect())
+
+
 # 2. N-gram Jaccard join.
 def shingle_set(text):
     w = re.findall(r"\w+", (text or "").lower())
