@@ -4,10 +4,11 @@ Fixed patterns (``assign``, ``access``, ``hex``) are matched leftmost and withou
 
 The battery adds spans of the kind ``random``. Candidates are runs of 20 or more of the characters of base64 and its URL form. A candidate's
 encoding is the smallest alphabet of ``ALPHABETS`` that has all its characters. Its null hypothesis is ordinary
-writing, which departs from an even and independent draw from the alphabet by the margins ``UNEVEN`` and ``DEPENDENT``:
+writing, which departs from an even and independent draw from the alphabet by the margins ``UNEVEN`` (``UNEVEN_WIDE`` for alphabets
+of more than ``WIDE`` characters, of which writing uses a small part) and ``DEPENDENT``:
 
 * chi-squared uniformity of the alphabet: how far below what that unevenness gives is the statistic,
-* runs above and below the alphabet's middle, and lag-1 serial correlation: how near to nought are they for that dependence.
+* runs above and below the alphabet's middle (with a continuity correction, as a count that is just as expected is no proof), and lag-1 serial correlation: how near to nought are they for that dependence.
 
 Each gives a p-value that falls as a token of even, independent characters gets longer. Fisher's method joins the three.
 False discoveries are controlled at ``RATE`` by Benjamini and Hochberg's procedure within each class of length and encoding over all
@@ -53,6 +54,9 @@ ALPHABETS = {
     "mixed": UPPER + LOWER + DIGITS + "+/-_",
 }
 UNEVEN = 0.7
+#: Calibrated on names and paths of 32 characters and more in source code: at most 0.0007 more of them have p <= 0.0001 than with ``UNEVEN``.
+UNEVEN_WIDE = 1.5
+WIDE = 36
 DEPENDENT = 0.35
 RATE = 0.05
 BIN = 20  # bins for each power of ten of a p-value
@@ -156,10 +160,10 @@ def battery(tokens: Column) -> Column:
 
     def scaled(x: Column) -> Column:
         n, root = x["n"], F.sqrt(x["n"])
-        uneven = n * UNEVEN
+        uneven = n * F.when(x["k"] > WIDE, UNEVEN_WIDE).otherwise(UNEVEN)
         even = (x["chi"] - x["k"] + 1 - uneven) / F.sqrt((x["k"] - 1 + uneven * 2) * 2)
         spread = x["runs"] * (x["runs"] - 1) / (n - 1)
-        runs = F.when(spread > 0, F.abs(x["changes"] - x["runs"]) / F.sqrt(spread)).otherwise(root)
+        runs = F.when(spread > 0, (F.abs(x["changes"] - x["runs"]) + 0.5) / F.sqrt(spread)).otherwise(root)
         serial = F.when(x["variance"] > 0, F.abs(x["covariance"] / x["variance"] * root + 1 / root)).otherwise(root)
         return F.struct(x["e"], n, x["shift"], even.alias("even"), runs.alias("runs"), serial.alias("serial"))
 

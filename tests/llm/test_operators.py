@@ -316,6 +316,23 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert first.spans == f"random:2:{2 + len(drawn[first.doc_id])}"
 
 
+def test_random_tokens_are_found_among_many_ordinary_ones(spark):
+    r = random.Random(9)
+    some = "account adapter address argument buffer builder cache channel client column command content context controller current database default document element error event factory field filter handler header index information instance internal invalid layout listener manager message method module number object option output package parameter pattern pointer position process property provider query reader record reference region request resource response result schema section server service session setting source state status stream string table target thread token transaction type update user value version widget window writer".split()
+    letters = secrets.ALPHABETS["base62"]
+
+    def ordinary():
+        words = r.sample(some, 8)
+        while len("".join(words)) > 45:
+            words.pop()
+        return words[0] + "".join(w.title() for w in words[1:])
+
+    drawn, plain = ["".join(r.choice(letters) for _ in range(40)) for _ in range(60)], [w for w in (ordinary() for _ in range(900)) if 32 <= len(w) <= 45][:540]
+    got = {x.doc_id: x.n_random for x in secrets.digest(documents(spark, [(i, f"x {t} y", "s") for i, t in enumerate(drawn + plain)])).collect()}
+    found = sum(got[i] for i in range(60))
+    assert len(plain) == 540 and found >= 30 and sum(got.values()) - found <= 0.1 * found
+
+
 def test_redaction(spark):
     text = "see password = hunter22 and " + "0123456789abcdef" * 2 + " end"
     out = {r.doc_id: r for r in secrets.redacted(documents(spark, [(1, text, "s"), (2, None, "s"), (3, "clean", "s")])).collect()}
