@@ -45,20 +45,42 @@ def name_edges(rows: DataFrame, key: str = "alias") -> DataFrame:
     return rows.filter("z5 <> ''").withColumn("b", least).filter(F.col(key) != F.col("b")).select(F.col(key).alias("a"), "b").distinct()
 
 
-def similar_pairs(rows: DataFrame, key: str = "alias", block: int = BLOCK, least: float = REVIEW) -> DataFrame:
-    """Pairs of one block (surname's sound and zip) with a similar name, scored.
+def alike(rows: DataFrame, key: str, by: str, carried: list[str], block: int, least: float) -> DataFrame:
+    """Every pair of rows of one ``by`` whose ``nname`` scores ``least`` or more, in columns with _a and _b; ``key`` orders the pair.
 
-    A block of more than ``block`` names is dealt by one more letter of the name at a time, so no block is pairs of thousands.
+    A group of more than ``block`` rows is dealt into parts, and each two parts (and each with itself) are compared as one tile, so no
+    task gets a whole group. A score of s needs a common subsequence of s/200 of both lengths; that has no more of any character
+    than either name, so only pairs whose common characters reach it are scored. No pair is lost, whatever the size of its group.
     """
+    parts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_g")).filter("_g > 1")
+    rows = rows.join(parts, by, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
+    rows = rows.withColumn("_i", F.pmod(F.xxhash64(key, "nname", *carried), F.col("_g")).cast("int"))
+    # The words in order, as the score has them.
+    rows = rows.withColumn("_t", F.array_join(F.array_sort(F.filter(F.split(F.coalesce("nname", F.lit("")), r"(?U)\s+"), lambda w: w != "")), " ")).withColumn("_l", F.length("_t"))
+    # Characters with their number so far, so that a set has each as often as the name: a, a1, a2.
+    letters = F.array_sort(F.filter(F.split("_t", ""), lambda c: c != ""))
+    rows = rows.withColumn("_c", letters).withColumn("_c", F.transform("_c", lambda c, i: F.concat(c, (i - F.array_position("_c", c)).cast("string"))))
+    each = F.sequence(F.lit(0), F.col("_g") - 1)
+    held = [key, "nname", *carried, "_l", "_c", "_i"]
+    tiles = F.transform(each, lambda j: F.struct(F.least("_i", j).alias("x"), F.greatest("_i", j).alias("y")))
+    rows = rows.withColumn("_tile", F.explode(tiles))
+    a, b = (rows.select(by, F.col("_tile.x").alias("_x"), F.col("_tile.y").alias("_y"), *[F.col(c).alias(f"{c}_{x}") for c in held]) for x in "ab")
+    lengths = F.least("_l_a", "_l_b") * 200 >= (F.col("_l_a") + F.col("_l_b")) * least
+    shared = F.size(F.array_intersect("_c_a", "_c_b")) * 200 >= (F.col("_l_a") + F.col("_l_b")) * least
+    first = F.col(f"{key}_a") < F.col(f"{key}_b")
+    a, b = a.alias("a"), b.alias("b")
+    met = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y"))
+    # A pair of one part is compared in that part's own tile only.
+    same = ((F.col("_i_a") != F.col("_i_b")) | (F.col("a._x") == F.col("a._y"))) & first & lengths & shared
+    pairs = a.join(b, met & same).select(f"a.{by}", *[f"{c}_{x}" for x in "ab" for c in held if not c.startswith("_")])
+    return pairs.withColumn("score", token_sort_ratio("nname_a", "nname_b")).filter(F.col("score") >= least)
+
+
+def similar_pairs(rows: DataFrame, key: str = "alias", block: int = BLOCK, least: float = REVIEW) -> DataFrame:
+    """All pairs of one block (surname's sound and zip) with a similar name, scored; large blocks are compared in tiles."""
     ship(rows.sparkSession)
     names = rows.select("block", key, "nname", "akey", "emp").distinct()
-    size = F.count(F.lit(1)).over(W.partitionBy("block"))
-    names = names.withColumn("part", F.when(size > block, F.substring("nname", 1, 2)).otherwise(F.lit("")))
-    again = F.count(F.lit(1)).over(W.partitionBy("block", "part"))
-    names = names.withColumn("part", F.when(again > block, F.substring("nname", 1, 5)).otherwise(F.col("part")))
-    a, b = (names.select("block", "part", *[F.col(c).alias(f"{c}_{x}") for c in (key, "nname", "akey", "emp")]) for x in "ab")
-    pairs = a.join(b, ["block", "part"]).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
-    return pairs.withColumn("score", token_sort_ratio("nname_a", "nname_b")).filter(F.col("score") >= least)
+    return alike(names, key, "block", ["akey", "emp"], block, least)
 
 
 def constrained(pairs: DataFrame, decisions: DataFrame, a: str, b: str) -> DataFrame:
@@ -104,18 +126,14 @@ def committee_suggestions(tuples: DataFrame, committees: DataFrame, least: float
 
 
 def frequent_name_matches(txn: DataFrame, name: str, limit: int = 10_000, least: float = REVIEW, matches: int = 10) -> DataFrame:
-    """Similar pairs among the most frequent names, ten best of each; names meet those that share a word, the rarest words first.
+    """Similar pairs among the most frequent names, ten best of each; names meet those that share a word, however common.
 
-    The most frequent names are a stated top-k; a pair at 80 or more shares words, so blocks by word lose none that token order would find.
+    The most frequent names are a stated top-k. Names that share no word (each word spelt differently) are not compared.
     """
     ship(txn.sparkSession)
     top = txn.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(limit)
     words = top.withColumn("nname", norm_name("name")).withColumn("word", F.explode(F.array_distinct(F.split("nname", " "))))
-    size = F.count(F.lit(1)).over(W.partitionBy("word"))
-    words = words.withColumn("size", size).filter(F.col("size") <= BLOCK)
-    a, b = (words.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("name", "nname", "n")]) for x in "ab")
-    pairs = a.join(b, "word").filter("name_a < name_b").drop("word").distinct()
-    pairs = pairs.withColumn("score", token_sort_ratio("nname_a", "nname_b")).filter(F.col("score") >= least)
+    pairs = alike(words, "name", "word", ["n"], BLOCK, least).drop("word").distinct()
     return pairs.withColumn("_n", F.row_number().over(W.partitionBy("name_a").orderBy(F.desc("score"), "name_b"))).filter(F.col("_n") <= matches).drop("_n")
 
 

@@ -146,6 +146,26 @@ def test_resolver(spark):
     assert {r.entity_id for r in new.collect() if r.alias.startswith("john smith|9")} == {"dKNOWN"}
 
 
+def test_similar_names_of_large_groups(spark):
+    import random
+
+    from ledgerlight.functions.fuzzy import token_sort
+
+    r = random.Random(11)
+    first = "catherine kathryn katherine john jon joan marian marianne robert rupert elizabeth elisabeth a b c".split()
+    names = sorted({" ".join(r.sample(first, 2) + [r.choice(["smith", "smyth", "smithe"])]) for _ in range(700)} | {"smith xavier quentin", "quentin xavier smith", "t jonathan smith", "jonathan smith", "catherine smith", "kathryn smith"})
+    assert len(names) > 2 * resolve.BLOCK
+    want = {(x, y) for i, x in enumerate(names) for y in names[i + 1 :] if token_sort(x, y) >= 80}
+    assert ("quentin xavier smith", "smith xavier quentin") in want and ("jonathan smith", "t jonathan smith") in want
+    rows = spark.createDataFrame([("S530|97201", n, n, "", "") for n in names], "block string, alias string, nname string, akey string, emp string")
+    for block in (resolve.BLOCK, 50, 10_000):
+        got = [(x.alias_a, x.alias_b) for x in resolve.similar_pairs(rows, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    shared = {(x, y) for x, y in want if set(x.split()) & set(y.split())}
+    got = [(x.name_a, x.name_b) for x in resolve.frequent_name_matches(rows, "nname", matches=10_000).collect()]
+    assert len(got) == len(set(got)) and set(got) == shared
+
+
 def test_committees_of_names(spark):
     committees = spark.createDataFrame([("12", "Friends of Ann"), ("13", "Miners PAC"), ("14", "Twin"), ("15", "twin")], "filer_id string, name string")
     donors = spark.createDataFrame([("friends of ann",), ("Miners",), ("Old name (13)",), ("TWIN",), ("nobody",)], "name string")
