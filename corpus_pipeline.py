@@ -9,12 +9,13 @@ written as Parquet and read again for the next one. All but the last return the
 * secret scans: every span found is replaced by ``[redacted]`` in the text, and n_chars follows; no document goes.
 * packing: the pieces of all documents that are left.
 
-Ids name documents here. Null ids and empty texts pass through like others. An empty table gives an empty result.
+A row is known by its id and text together (a hash of both, ``_key``), so null ids and ids of several texts lose their copies and leaks like
+others, and only those; a null id is smaller than any other. Empty texts pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import decontam, jaccard, packing, quality, secrets
@@ -22,10 +23,21 @@ from ledgerlight.llm.common import free, small, table, written
 from ledgerlight.llm.tokens import vocabulary
 
 
-def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """``docs`` without the rows of ``ids``; these are broadcast while they are few."""
-    ids = written(ids.filter("doc_id is not null").distinct(), label)
-    return docs.join(small(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+def _key() -> Column:
+    """One number for a row's id and text; never null."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` for an operator, with the key as their id."""
+    return docs.select(_key().alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, keys: DataFrame, label: str) -> DataFrame:
+    """``docs`` without the rows of ``keys`` (doc_id: a row's key); these are broadcast while they are few."""
+    key = free("key", docs.columns)
+    keys = written(keys.select(F.col("doc_id").alias(key)).distinct(), label)
+    return docs.withColumn(key, _key()).join(small(keys, keys.count()), key, "left_anti").select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +46,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.similar(docs)
-    left = _without(docs, found.filter("class_id <> doc_id").select("doc_id"), "copies")
+    found = jaccard.similar(_named(docs)).filter("n_links > 0").select("doc_id", "class_id")
+    members = written(found.distinct(), "members")
+    ids = docs.select(_key().alias("_key"), F.col("doc_id").alias("_id")).distinct()
+    ids = ids.join(small(members, members.count()), F.col("_key") == F.col("doc_id"))
+    stay = ids.groupBy("class_id").agg(F.min(F.struct("_id", "_key")).alias("m")).select(F.col("m._key").alias("doc_id"))
+    left = _without(docs, members.select("doc_id").join(stay, "doc_id", "left_anti"), "copies")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.passages(docs, table(spark, sf_dir, "benchmark"))
+    found = decontam.passages(_named(docs), table(spark, sf_dir, "benchmark"))
     return _without(docs, found.select("doc_id"), "leaks")
 
 

@@ -61,6 +61,22 @@ def test_stages_on_edges(spark):
     assert _plain(corpus_pipeline.secret_scans(spark, docs, SF)) == _plain(docs)
 
 
+def test_rows_are_known_by_id_and_text(spark):
+    item = next(r.text for r in table(spark, SF, "benchmark").collect() if r.text and len(r.text.split()) > 20)
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "vw")
+    rows = [
+        (None, one, "en", "a", 1), (7, one, "en", "a", 1), (8, one + " more", "en", "a", 1),
+        (20, two, "en", "a", 1), (21, two, "en", "a", 1), (21, "another text of the same id", "en", "a", 1),
+        (None, item, "en", "a", 1), (30, "clean text of an id that leaks too", "en", "a", 1), (30, f"before it {item}", "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, docs, SF).collect()}
+    assert {(None, one), (20, two), (21, rows[5][1]), (30, rows[7][1])} <= kept
+    assert not {(7, one), (8, one + " more"), (21, two)} & kept
+    clean = Counter((r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, docs, SF).collect())
+    assert clean == Counter((d, t) for d, t, *_ in rows if item not in t)
+
+
 def test_queries_and_sql_are_registered():
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
