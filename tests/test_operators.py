@@ -122,6 +122,28 @@ def test_components_of_paths_and_cycles(spark):
     assert all(got[i] == 0 for i in range(61)) and {got[100], got[101], got[102]} == {100} and 200 not in got
 
 
+def test_components_of_long_chains_and_large_groups(spark):
+    import random
+
+    r = random.Random(13)
+    ids = r.sample(range(100_000), 5000)
+    edges = list(zip(ids[:1500], ids[1:1500]))  # one chain
+    edges += [(ids[1500], x) for x in ids[1501:2500]]  # one hub
+    edges += [tuple(r.sample(ids[2500:], 2)) for _ in range(1500)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 def test_spellings_follow_chains(spark):
     rows = [("p1", "merge", "B", "A", None), ("p2", "merge", "C", "B", None), ("p3", "merge", "X", "Y", None), ("p4", "merge", "Y", "X", None)]
     df = spark.createDataFrame(rows, "pair_key string, decision string, kept_name string, merged_name string, decided_at timestamp")
