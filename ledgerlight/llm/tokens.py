@@ -1,16 +1,15 @@
 """Token ids by the tokenizers library, each distinct pre-token encoded once per Python worker.
 
 The library encodes every pre-token on its own, so a text's ids are its pre-tokens' ids in turn. Texts of ASCII and Latin letters are
-split here, many at once as arrays, by the two patterns below; distinct pre-tokens are known by 128 bits of hash, looked up in a cache that
-the library fills, and gathered. Any other text, one that may hold a special token's string, and any vocabulary with
-another pattern go to the library whole.
+split here, many at once as arrays, by the two patterns below; pre-tokens are known by 128 bits of hash and looked up in a table of
+fixed size that the library fills: what is missing is encoded once and put where it was missed. Runs of letters go to the library many in
+one string, where the vocabulary marks which ids end (or begin) a pre-token. Any other text, one that may hold a
+special token's string, and any vocabulary with another pattern go to the library whole.
 """
 
 from __future__ import annotations
 
-import array
 import functools
-import gc
 import json
 import os
 import unicodedata
@@ -18,10 +17,10 @@ import unicodedata
 import numpy as np
 import pandas as pd
 
-#: Pre-tokens of a generation of the cache, about 200 bytes each. A worker keeps two: when one is full, what is used again moves on.
-CACHE = 450_000
-#: Characters split at once.
-CHUNK = 1 << 20
+#: Places of each of the table's two ways, 24 bytes each, and ids that the table's entries may hold together before it starts anew.
+PLACES, POOL = 1 << 19, 1 << 22
+#: Characters split at once, and runs of letters that the library gets in one string.
+CHUNK, TOGETHER = 1 << 18, 400
 #: Fixed value: the pattern of byte-level pre-tokens. Runs take one space before them, other white space is a pre-token.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the pattern of word pre-tokens. White space is dropped, digits stand alone.
@@ -126,8 +125,16 @@ class Encoder:
         self.spaced = found == [BYTE_LEVEL] and not kinds
         self.known = self.spaced or found == [WORDS] and kinds == LOWERING
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cache: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        # In runs of letters: whether an id begins a pre-token (by its space), or ends one.
+        self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.marks[i] = token.startswith("Ġ") if self.spaced else token.endswith("</w>")
+        self._clear()
+
+    def _clear(self) -> None:
+        """An empty table: for each way and place both hashes, and where the ids are (first id * 2**16 + how many)."""
+        self.keys, self.checks, self.refs = (np.zeros((2, PLACES), t) for t in (np.uint64, np.uint64, np.int64))
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -140,15 +147,6 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of ``dtype``."""
-        collects = gc.isenabled()
-        gc.disable()  # the caches hold no cycles, and are large to walk
-        try:
-            return self._ids(texts)
-        finally:
-            if collects:
-                gc.enable()
-
-    def _ids(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         held, size = [], 0
         for i, text in enumerate(texts):
@@ -177,53 +175,87 @@ class Encoder:
             for up, down in _powers():
                 total = np.concatenate([[np.uint64(0)], np.cumsum((u + np.uint32(1)) * up[: len(u)], dtype=np.uint64)])
                 keys.append((total[end] - total[start]) * down[start])
-        codes, _ = pd.factorize(keys[0] ^ (keys[1] >> np.uint64(7)))
-        distinct = int(codes.max(initial=-1)) + 1
-        sample = np.zeros(distinct, np.int64)
-        sample[codes[::-1]] = np.arange(len(codes))[::-1]
-        if not all((k[sample][codes] == k).all() for k in keys):  # two pre-tokens of one number
+        refs = self._refs(joined, u, start, end, *keys)
+        if refs is None:
             for i in which:
                 out[i] = self.whole(texts[i])
             return
-        found = self._found(joined, start[sample].tolist(), end[sample].tolist(), np.stack([k[sample] for k in keys], 1).tobytes())
-        lengths = np.fromiter(map(len, found), np.int64, distinct) // self.dtype.itemsize
-        each = lengths[codes]
-        first, ends = np.cumsum(lengths) - lengths, np.cumsum(each)
-        at = np.repeat(first[codes] - (ends - each), each) + np.arange(int(each.sum()))
-        flat = np.frombuffer(b"".join(found), self.dtype)[at].tobytes()
+        each = refs & 0xFFFF
+        ends = np.cumsum(each)
+        at = np.repeat((refs >> 16) - (ends - each), each)
+        at += np.arange(len(at))
+        flat = self.pool[at].tobytes()
         texts_end = np.flatnonzero(u == ord(APART))
         stops = np.concatenate([[0], ends])[np.searchsorted(start, texts_end)] * self.dtype.itemsize
         a = 0
         for i, b in zip(which, stops.tolist(), strict=True):
             out[i], a = flat[a:b], b
 
-    def _found(self, joined: str, starts: list[int], ends: list[int], keys: bytes) -> list[bytes]:
-        """The ids of distinct pre-tokens, from the cache or the library."""
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {}
-        names = [keys[k : k + 16] for k in range(0, len(keys), 16)]
-        found = list(map(self.cache.get, names))
-        new = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                if (ids := self.old.get(names[i])) is None:
-                    new.append(i)
-                else:
-                    found[i] = self.cache[names[i]] = ids
-        made, lengths = self._library([joined[starts[i] : ends[i]] for i in new])
-        flat, at, size = made.tobytes(), 0, self.dtype.itemsize
-        for i, n in zip(new, lengths, strict=True):
-            found[i] = self.cache[names[i]] = flat[at : (at := at + size * n)]
-        return found
-
-    def _library(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
-        """The ids of pre-tokens one after another, and how many each has."""
-        ids, lengths = array.array("I"), []
-        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            own = e.ids
-            ids.extend(own)
-            lengths.append(len(own))
-        return np.array(ids).astype(self.dtype), lengths
+    def _refs(self, joined: str, u: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, check: np.ndarray) -> np.ndarray | None:
+        """Where the ids of each pre-token are; None where two pre-tokens have one hash, or one has more ids than an entry can hold."""
+        with np.errstate(over="ignore"):
+            place = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - PLACES.bit_length())).astype(np.int64)
+        refs = np.where((self.keys[0][place] == key) & (self.checks[0][place] == check), self.refs[0][place], -1)
+        missed = np.flatnonzero(refs < 0)
+        there = place[missed]
+        second = (self.keys[1][there] == key[missed]) & (self.checks[1][there] == check[missed])
+        refs[missed[second]] = self.refs[1][there[second]]
+        missed = missed[~second]
+        if not len(missed):
+            return refs
+        codes, distinct = pd.factorize(key[missed])
+        sample = np.empty(len(distinct), np.int64)
+        sample[codes[::-1]] = missed[::-1]
+        if (check[sample][codes] != check[missed]).any():
+            return None
+        first, last = start[sample], end[sample]
+        runs = (_classes()[u[last - 1]] == LETTER) & (u[first] == ord(" ") if self.spaced else u[first] != ord("'"))
+        ids, lengths, order = self._library([joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], runs)
+        if lengths.max() >= 1 << 16:
+            return None
+        if self.used + len(ids) > POOL:
+            if self.used == 0:
+                return None
+            self._clear()
+            return self._refs(joined, u, start, end, key, check)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        ends = self.used + np.cumsum(lengths[order])
+        made = np.empty(len(order), np.int64)
+        made[order] = (ends - lengths[order]) << 16 | lengths[order]
+        self.used += len(ids)
+        refs[missed] = made[codes]
+        # The way that is free, else the one that a bit of the hash names.
+        to, k = place[sample], key[sample]
+        way = np.where(self.refs[0][to] == 0, 0, np.where(self.refs[1][to] == 0, 1, (k & np.uint64(1)).astype(np.int64)))
+        self.keys[way, to], self.checks[way, to], self.refs[way, to] = k, check[sample], made
+        return refs
+
+    def _library(self, words: list[str], runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, how many each has, and in which order they follow; ``runs``: which are runs of letters."""
+        lengths = np.zeros(len(words), np.int64)
+
+        def encoded(some: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+        which, apart = np.flatnonzero(runs), np.flatnonzero(~runs).tolist()
+        groups = [which[k : k + TOGETHER] for k in range(0, len(which), TOGETHER)]
+        order, flat = [], []
+        joiner = "" if self.spaced else " "
+        for some, ids in zip(groups, encoded([joiner.join([words[i] for i in g.tolist()]) for g in groups]), strict=True):
+            at = np.flatnonzero(self.marks[ids])
+            if len(at) == len(some):
+                lengths[some] = np.diff(np.append(at, len(ids))) if self.spaced else np.diff(at, prepend=-1)
+                order.append(some)
+                flat.append(ids)
+            else:  # a vocabulary that marks them in another way
+                apart.extend(some.tolist())
+        for i, ids in zip(apart, encoded([words[i] for i in apart]), strict=True):
+            lengths[i] = len(ids)
+            flat.append(ids)
+        order.append(np.array(apart, np.int64))
+        return np.concatenate(flat), lengths, np.concatenate(order)
 
 
 @functools.lru_cache(2)
