@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..store import cut as written
 from ..store import fresh_path, small
 
-__all__ = ["free", "fresh_path", "small", "table", "written"]
+__all__ = ["before", "free", "fresh_path", "small", "table", "written"]
+
+#: Rows of a table of counts that one task runs through at the most, at either of two levels.
+CHUNK = 1_024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +25,23 @@ def free(name: str, taken: list[str]) -> str:
     while name.lower() in names:
         name = f"_{name}"
     return name
+
+
+def before(counts: DataFrame, order: str, by: list[str], n: str, chunk: int = CHUNK) -> DataFrame:
+    """``counts`` (a row for each group ``by`` and whole number ``order`` from 0) with ``before``, the sum of ``n`` over the rows of the group that
+    come before, and ``of``, that over all of them.
+
+    In two levels: chunks of ``chunk`` numbers are summed inside, and only their sums are run through by group, so a task
+    has a chunk's rows or a ``chunk``-th of a group's.
+    """
+    part = F.expr(f"{order} div {chunk}").cast("long")
+    counts = counts.withColumn("_c", part)
+    sums = counts.groupBy(*by, "_c").agg(F.sum(n).alias("_s"))
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    sums = sums.withColumn("_b", F.sum("_s").over(whole.orderBy("_c").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).withColumn("of", F.sum("_s").over(whole)).drop("_s")
+    inside = F.sum(n).over(W.partitionBy(*by, "_c").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)
+    same: Column = F.lit(True)
+    for c in [*by, "_c"]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    left = counts.withColumn("_i", inside).alias("l")
+    return left.join(sums.alias("r"), same).select(*[f"l.{c}" for c in counts.columns if c != "_c"], (F.col("_i") + F.col("_b")).alias("before"), "of")

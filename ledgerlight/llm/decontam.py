@@ -106,9 +106,9 @@ def _of_width(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
     by_hash = F.array_sort(F.transform("s", lambda h, q: F.struct(F.xxhash64(F.lit(7), h).alias("o"), h.alias("h"), q.alias("q"))))
     items = items.withColumn("g", F.xxhash64("s"))
     anchors = items.select("g", "len", F.explode_outer(F.slice(by_hash, F.lit(1), lack + 1)).alias("a")).select("g", "len", F.col("a.h").alias("h")).distinct()
-    anchors = small(anchors, anchors.count())
+    anchors = small(anchors)
     texts = items.select("g", "s").dropDuplicates(["g"]).withColumnRenamed("s", "mine")
-    texts = small(texts, texts.count())
+    texts = small(texts)
 
     # Outer generators: for an inner one the optimiser adds a filter that works out its array a second time, and what it is made of many times.
     shingled = docs.withColumn("s", shingles("w", n)).withColumn("words", F.size("w")).drop("w")
@@ -128,10 +128,10 @@ def _of_width(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
     near = [sum(1 << b for b in some) for r in range(SLACK + 1) for some in combinations(range(width), r)]
     index = items.select("item_id", "len", "s", "fp", F.posexplode_outer(F.array(*[block(F.col("fp"), k) for k in range(BLOCKS)])).alias("k", "b"))
     keys = index.select(F.xxhash64("item_id", "s").alias("item"), "len", "k", F.explode_outer(F.transform(F.lit(near).cast("array<bigint>"), lambda x: x.bitwiseXOR(F.col("b")))).alias("v")).distinct()
-    found = found.join(small(keys, keys.count()), ["len", "k", "v"]).drop("k", "v").dropDuplicates(["doc_id", "len", "start", "wfp", "ws", "item"])
+    found = found.join(small(keys), ["len", "k", "v"]).drop("k", "v").dropDuplicates(["doc_id", "len", "start", "wfp", "ws", "item"])
 
     whole = items.select(F.xxhash64("item_id", "s").alias("item"), "item_id", "s", "fp").dropDuplicates(["item"])
-    found = found.join(small(whole, whole.count()), "item")
+    found = found.join(small(whole), "item")
     found = found.withColumn("hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))).cast("int")).filter(F.col("hamming") <= RADIUS)
     least, most = weighted_jaccard("ws", "s")
     found = found.withColumn("least", least).withColumn("most", most).filter(F.col("least") * den >= F.col("most") * num)

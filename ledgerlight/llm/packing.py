@@ -1,222 +1,176 @@
-"""Packing into windows of a fixed number of tokens, every window at the corpus's mixture of sources.
+"""Packing into windows of a fixed number of tokens by deficit round-robin over one queue per source.
 
-Deficit round-robin over one queue per source, in closed form. With T tokens in all, sources laid side by side at
-the bounds C(0) = 0 <= C(1) <= ... = T and g = min(w * window, T) tokens packed before window w, the queues have given
-floor(g * C(s) / T) - floor(g * C(s-1) / T) tokens each. So every window but the last is full, each queue's
-deficit stays below one token and carries over from window to window, and any task can work out where a token of
-its own documents goes from the counts alone: nothing is ordered or gathered, and deficits cross
-partitions as they cross windows.
+A queue holds its source's documents in the order of the token table, cut into packets of half a ``QUANTUM`` tokens at most; a shorter
+document is one packet. Every round gives each queue credit for its target share of one token. A queue sends its next packet in
+the round in which its credit reaches the packet's middle, so it is never more than half a packet ahead of its share or behind it;
+that deficit is carried from round to round, and so across windows and partitions. Packets in the order of rounds, those of one round by
+queue, are the stream that is cut into windows: every window but the last is full.
 
-A source that is due fewer than ``quantum`` tokens a window shares a pool queue with others like it. The pool
-applies the same rule to a longer window of its own in which each is due ``quantum`` tokens, as a round-robin
-queue saves up its deficit until a packet fits.
+No round is played: a queue's credit is known at any time, so a packet's round follows from its place in its queue alone,
+``ceil(middle / share)``. Places in queues and in the stream are running sums of counts in two levels, and
+the stream is put together in stretches of about ``STRETCH`` tokens, each a task's work; no task has more, whatever the sources.
+
+Between any two places of the stream, so in any window, a queue of the share p among S that are not dry is off its
+target by quantum/2 * (1 + p * (S - 2)) tokens at most (a packet of its own, and its share of the others' packets).
+
+Targets: by default the corpus's own proportions, so that all queues end together. Given ones (``targets``: source to weight, None for a null source) are
+scaled to 1 if they sum to more; sources without one share what is left in the corpus's proportions, or come last if nothing is left. When a
+queue is dry the others go on by their shares.
 
 Defined cases: a null or empty text is its end token alone; a null source is a queue of its own; rows repeated in
-full are packed as often as they occur; an empty table gives no rows; further columns are ignored. Documents are
-queued in the order of the token table (file, row). Documents of any length are cut wherever windows end.
+full are packed as often as they occur; targets of sources that have no rows count for nothing; an empty table gives no rows; further
+columns are ignored. Documents of any length are cut between packets and where windows end; packets of one document that follow each other in one window are
+one piece.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import ship
-from .common import small, written
+from .common import before, small, written
 from .tokens import encoder
 
 WINDOW = 2048
-QUANTUM = 32
+QUANTUM = 256
+STRETCH = 1 << 20
 END_ID = 1
 
-TOKENS = "doc_id long, queue string, part int, before long, n long, ids binary"
+PACKETS = "doc long, doc_id long, queue string, part int, ahead long, start long, n long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """The ids of each document with ``end_id`` behind them, and how many tokens its source has before it in its part."""
+def queue_name(source: str | None) -> str:
+    return "-" if source is None else f"+{source}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, given = encoder(path), TaskContext.get().partitionId(), {}
-        end, schema = np.array([end_id], enc.dtype).tobytes(), pa.schema(
-            [("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
-        )
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                piece = batch.slice(at, 1_000)
-                queues = piece["queue"].to_pylist()
-                ids = [x + end for x in enc.ids(piece["text"].to_pylist())]
-                n, before = [len(x) // enc.dtype.itemsize for x in ids], []
-                for q, k in zip(queues, n, strict=True):
-                    before.append(given.get(q, 0))
-                    given[q] = before[-1] + k
-                yield pa.record_batch([piece["doc_id"].cast(pa.int64()), piece["queue"], pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
-    queue = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), "text").mapInArrow(run, TOKENS)
-
-
-def cuts(x0: int, x1: int, unit: int, lo: int, hi: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens x0 to x1 of the queue with the bounds lo and hi: where each piece starts and ends there, its window, its offset."""
-
-    def given(w: int) -> int:
-        g = min(unit * w, total)
-        return g * hi // total - g * lo // total
-
-    w0 = max(0, x0 * total // ((hi - lo) * unit) - 2)
-    while given(w0 + 1) <= x0:
-        w0 += 1
-    w1 = max(w0, (x1 - 1) * total // ((hi - lo) * unit) + 2)
-    while given(w1) > x1 - 1:
-        w1 -= 1
-    exact = np.int64 if total < 1 << 31 else object  # products stay below 2**62, else Python's own integers
-    w = np.arange(w0, w1 + 2).astype(exact)
-    g = np.minimum(w * unit, total)
-    below = g * lo // total
-    a = (g * hi // total - below).astype(np.int64)
-    below = below.astype(np.int64) if exact is np.int64 else below
-    start, end = np.maximum(a[:-1], x0), np.minimum(a[1:], x1)
-    keep = end > start
-    offset = (start - a[:-1]) + (below[1:] - below[:-1])
-    return start[keep], end[keep], np.asarray(w[:-1][keep], np.int64), np.asarray(offset[keep], np.int64)
-
-
-def place(x0: int, n: int, lo: int, hi: int, total: int, pool: tuple | None, window: int) -> tuple[np.ndarray, ...]:
-    """Where each piece of a document starts in it, its length, window and offset; the document is at x0 in its queue."""
-    if pool is None:
-        s, e, w, o = cuts(x0, x0 + n, window, lo, hi, total)
-        return s - x0, e - s, w, o
-    unit, p_lo, p_hi, p_total = pool
-    parts = []
-    for s, e, v, o in zip(*cuts(x0, x0 + n, unit, p_lo, p_hi, p_total), strict=True):
-        y0 = unit * int(v) + int(o)
-        s2, e2, w, o2 = cuts(y0, y0 + int(e - s), window, lo, hi, total)
-        parts.append((s2 - y0 + int(s) - x0, e2 - s2, w, o2))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def cuts_of_many(x0: np.ndarray, n: np.ndarray, unit: int, lo: np.ndarray, hi: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
-    """``cuts`` of many documents at once: document, start, end, window, offset of each piece.
-
-    Products of a total and a bound may need more than 64 bits, so each document's first window is worked out in Python's integers,
-    and only the steps from there in arrays: ``steps_fit`` tells for which documents these fit.
-    """
-    first, q, r = [], {"lo": [], "hi": []}, {"lo": [], "hi": []}
-    for x, a, b in zip(x0.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        w = max(0, x * total // ((b - a) * unit) - 2)
-        first.append(w)
-        for name, bound in (("lo", a), ("hi", b)):
-            whole, rest = divmod(unit * w * bound, total)
-            q[name].append(whole)
-            r[name].append(rest)
-    base = np.array(first, np.int64)
-    q, r, bounds = ({k: np.array(v, np.int64) for k, v in z.items()} for z in (q, r, {"lo": lo, "hi": hi}))
-
-    def below(doc: np.ndarray, w: np.ndarray, name: str) -> np.ndarray:
-        bound = bounds[name][doc]
-        # From where all is packed the bound itself; till there the steps stay small.
-        steps = np.minimum(w, total // unit) - base[doc]
-        inside = q[name][doc] + (r[name][doc] + unit * steps * bound) // total
-        return np.where(w * unit >= total, bound, inside)
-
-    every = np.arange(len(x0))
-
-    def given(w: np.ndarray) -> np.ndarray:
-        return below(every, w, "hi") - below(every, w, "lo")
-
-    w0, last = base.copy(), x0 + n - 1
-    while (behind := given(w0 + 1) <= x0).any():
-        w0 += behind
-    w1 = base + windows_of(n, unit, hi - lo, total)
-    while (ahead := given(w1) > last).any():
-        w1 -= ahead
-    k = w1 - w0 + 1
-    doc = np.repeat(every, k)
-    w = np.repeat(w0 - (np.cumsum(k) - k), k) + np.arange(len(doc))
-    under, under_next = below(doc, w, "lo"), below(doc, w + 1, "lo")
-    a, b = below(doc, w, "hi") - under, below(doc, w + 1, "hi") - under_next
-    start, end = np.maximum(a, x0[doc]), np.minimum(b, (x0 + n)[doc])
-    keep = end > start
-    doc, w = doc[keep], w[keep]
-    return doc, start[keep] - x0[doc], end[keep] - x0[doc], w, (start - a + under_next - under)[keep]
-
-
-def windows_of(n: np.ndarray, unit: int, share: np.ndarray, total: int) -> np.ndarray:
-    """More windows than documents of n tokens reach over, counted from ``cuts_of_many``'s first ones."""
-    return np.array([k * total // (s * unit) + 6 for k, s in zip(n.tolist(), share.tolist(), strict=True)], np.int64)
-
-
-def steps_fit(n: np.ndarray, unit: int, lo: np.ndarray, hi: np.ndarray, total: int) -> np.ndarray:
-    """Whether all steps of a document's windows stay below 2**62."""
-    return (windows_of(n, unit, hi - lo, total) + 2).astype(np.float64) * unit * hi < 2.0**62
-
-
-def queue_bounds(tokens: DataFrame, window: int, quantum: int) -> DataFrame:
-    """For each queue and part: where the part's tokens begin in the queue, the queue's bounds, and its pool's, if any."""
-    parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    queues = parts.groupBy("queue").agg(F.sum("n").alias("n"))
-    one = W.partitionBy(F.lit(0))
-    queues = queues.withColumn("total", F.sum("n").over(one))
-    queues = queues.withColumn("pooled", F.col("n") * window < F.lit(quantum) * F.col("total"))
-    order = one.orderBy("pooled", "queue").rowsBetween(W.unboundedPreceding, W.currentRow)
-    mine = W.partitionBy("pooled")
-    queues = (
-        queues.withColumn("hi", F.sum("n").over(order))
-        .withColumn("lo", F.col("hi") - F.col("n"))
-        .withColumn("pool_total", F.sum("n").over(mine))
-        .withColumn("unit", F.expr(f"({quantum}L * pool_total + min(n) over (partition by pooled) - 1) div min(n) over (partition by pooled)"))
-        .withColumn("pool_lo", F.when(F.col("pooled"), F.col("lo") - (F.col("total") - F.col("pool_total"))))
-        .withColumn("pool_hi", F.col("pool_lo") + F.col("n"))
-        .withColumn("lo", F.when(F.col("pooled"), F.col("total") - F.col("pool_total")).otherwise(F.col("lo")))
-        .withColumn("hi", F.when(F.col("pooled"), F.col("total")).otherwise(F.col("hi")))
-        .drop("n")
-    )
-    running = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
-    parts = parts.withColumn("first", F.sum("n").over(running) - F.col("n")).drop("n")
-    return parts.join(queues, "queue")
-
-
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, quantum: int = QUANTUM) -> DataFrame:
-    """One row per piece of a document (``PIECES``, and the source's queue); every id lies in exactly one piece.
-
-    The token table is written once to the shared folder; everything after it works on counts and on that table.
-    """
-    ship(docs.sparkSession)
-    tokens = written(tokenize(docs, path, end_id), "tokens")
-    bounds = written(queue_bounds(tokens, window, quantum), "queues")
-    rows = tokens.join(small(bounds, bounds.count()), ["queue", "part"])
-
-    def pieces(part: pa.RecordBatch, dtype: np.dtype) -> pa.RecordBatch:
-        col = {c: part[c].to_numpy(zero_copy_only=False) for c in ("first", "before", "n", "lo", "hi", "total")}
-        x0, n, total = col["first"] + col["before"], col["n"], int(col["total"][0])
-        pooled = np.array(part["pooled"].to_pylist(), bool)
-        plain = np.flatnonzero(~pooled & steps_fit(n, window, col["lo"], col["hi"], total))
-        doc, start, end, window_id, offset = cuts_of_many(x0[plain], n[plain], window, col["lo"][plain], col["hi"][plain], total)
-        found = [(plain[doc], start, end - start, window_id, offset)]
-        for i in np.setdiff1d(np.arange(len(n)), plain).tolist():
-            pool = tuple(part[c][i].as_py() for c in ("unit", "pool_lo", "pool_hi", "pool_total")) if pooled[i] else None
-            made = place(int(x0[i]), int(n[i]), int(col["lo"][i]), int(col["hi"][i]), total, pool, window)
-            found.append((np.full(len(made[0]), i), *made))
-        doc, start, length, window_id, offset = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
-        ids = memoryview(np.frombuffer(b"".join(part["ids"].to_pylist()), dtype).astype("<u4").tobytes())
-        at = 4 * ((np.cumsum(n) - n)[doc] + start)
-        crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
-        sources = pa.array([q[1:] if q[0] == "+" else None for q in part["queue"].to_pylist()], pa.string())
-        columns = [part["doc_id"].take(pa.array(doc)), start, length, crc, n[doc], window_id, offset, sources.take(pa.array(doc))]
-        names = [*(x.split()[0] for x in PIECES.split(", ")), "source"]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names)
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, packet: int = QUANTUM // 2) -> DataFrame:
+    """The packets of each document's ids with ``end_id`` behind them, and how many tokens their queue has before them in their part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(path).dtype
+        enc, part, given, docs_before = encoder(path), TaskContext.get().partitionId(), {}, 0
+        end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                yield pieces(batch.slice(at, 500), dtype)
+                rows = batch.slice(at, 500)
+                ids = [x + end for x in enc.ids(rows["text"].to_pylist())]
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+                first = np.empty(len(n), np.int64)
+                for i, (q, k) in enumerate(zip(rows["queue"].to_pylist(), n.tolist(), strict=True)):
+                    first[i] = given.get(q, 0)
+                    given[q] = first[i] + k
+                packets = -(-n // packet)
+                row = np.repeat(np.arange(len(n)), packets)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(packets) - packets, packets)) * packet
+                length = np.minimum(n[row] - start, packet)
+                ends = np.concatenate([[0], np.cumsum(length)]) * size
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(ids))])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((part << 40) + docs_before + row), rows["doc_id"].cast(pa.int64()).take(pa.array(row)), rows["queue"].take(pa.array(row)), pa.array(np.full(len(row), part, np.int32)),
+                        pa.array(first[row] + start), pa.array(start), pa.array(length), pa.array(n[row]), data,
+                    ],
+                    names=[c.split()[0] for c in PACKETS.split(", ")],
+                )
+                docs_before += len(n)
 
-    return rows.mapInArrow(run, f"{PIECES}, source string")
+    queue = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source"), F.lit("")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), "text").mapInArrow(run, PACKETS)
+
+
+def shares(queues: DataFrame, targets: dict[str | None, float] | None) -> tuple[Column, Column]:
+    """For queues (queue, of: all tokens of it) the round of ``middle``, and the tokens sent in all rounds up to ``round``."""
+    total = int(queues.agg(F.sum("of")).first()[0] or 0)
+    if any(not 0 <= w < math.inf for w in (targets or {}).values()):
+        raise ValueError("targets must be finite and not negative")
+    named = {queue_name(s): w for s, w in (targets or {}).items() if w}
+    sizes = {r["queue"]: r["of"] for r in queues.filter(F.col("queue").isin(*named)).collect()} if named else {}  # as many rows as targets
+    scale = max(1.0, sum(named.values()))
+    named = {q: w / scale for q, w in named.items() if q in sizes}
+    rest = total - sum(sizes.values())
+    left = 1 - sum(named.values()) if named else 1.0
+    left = left if left > 1e-9 else 0.0
+    last = max((sizes[q] / w for q, w in named.items()), default=0.0) if not left else 0.0  # the named queues are dry
+    of, middle, at = F.col("of").cast("double"), F.col("middle").cast("double"), F.col("round")
+    due = F.ceil(middle * rest / (of * (left or 1.0)) + last)
+    for q, w in named.items():
+        due = F.when(F.col("queue") == q, F.ceil(middle / w)).otherwise(due)
+    sent = F.least(F.greatest(at - last, F.lit(0.0)) * (left or 1.0), F.lit(float(rest)))
+    for q, w in named.items():
+        sent = sent + F.least(at * w, F.lit(float(sizes[q])))
+    return due.cast("double"), sent
+
+
+def pack(
+    docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, quantum: int = QUANTUM, targets: dict[str | None, float] | None = None, stretch: int = STRETCH
+) -> DataFrame:
+    """One row per piece of a document (``PIECES``, and its source); every id lies in exactly one piece.
+
+    The packets are written once to the shared folder; places are worked out from their counts, and one shuffle brings them into order.
+    """
+    if not 2 <= quantum <= 2 * window:
+        raise ValueError("quantum must be 2 at least, and two windows at most")
+    ship(docs.sparkSession)
+    packets = written(tokenize(docs, path, end_id, quantum // 2), "packets")
+    counts = before(packets.groupBy("queue", "part").agg(F.sum("n").alias("m")), "part", ["queue"], "m").drop("m")
+    counts = written(counts.withColumnRenamed("before", "first"), "queues")
+    due, sent = shares(counts.select("queue", "of").distinct(), targets)
+    rows = packets.join(small(counts), ["queue", "part"]).withColumn("x", F.col("first") + F.col("ahead"))
+    rows = rows.withColumn("middle", F.col("x") + F.col("n") / 2).withColumn("round", due)
+    rows = rows.withColumn("stretch", F.floor(sent / stretch)).select("stretch", "round", "queue", "x", "doc", "doc_id", "start", "n", "doc_tokens", "ids")
+    begins = written(before(rows.groupBy("stretch").agg(F.sum("n").alias("m")), "stretch", [], "m").select("stretch", "before"), "stretches")
+    order = W.partitionBy("stretch").orderBy("round", "queue", "x")
+    rows = rows.withColumn("inside", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+    rows = rows.join(small(begins), "stretch").withColumn("position", F.col("before") + F.col("inside"))
+    rows = rows.select("doc", "doc_id", "queue", "start", "n", "doc_tokens", "position", "ids")
+    return rows.mapInArrow(lambda batches: pieces(batches, encoder(path).dtype, window), f"{PIECES}, source string")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], dtype: np.dtype, window: int) -> Iterator[pa.RecordBatch]:
+    """Packets in the stream's order, with their positions, to pieces; what goes on from one batch to the next is one piece."""
+    names, held = ("doc", "start", "n", "doc_tokens", "position"), None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4_000):
+            held = batch.slice(at, 4_000) if held is None else pa.concat_batches([held, batch.slice(at, 4_000)])
+            col = {c: held[c].to_numpy() for c in names}
+            # All but the last document's last run of packets.
+            goes_on = (col["doc"][1:] == col["doc"][:-1]) & (col["position"][1:] == col["position"][:-1] + col["n"][:-1]) & (col["start"][1:] == col["start"][:-1] + col["n"][:-1])
+            breaks = np.flatnonzero(~goes_on)
+            done = int(breaks[-1]) + 1 if len(breaks) else 0
+            if done:
+                yield _cut(held.slice(0, done), goes_on[: done - 1], dtype, window)
+            held = held.slice(done)
+    if held is not None and held.num_rows:
+        col = {c: held[c].to_numpy() for c in names}
+        goes_on = (col["doc"][1:] == col["doc"][:-1]) & (col["position"][1:] == col["position"][:-1] + col["n"][:-1])
+        yield _cut(held, goes_on, dtype, window)
+
+
+def _cut(rows: pa.RecordBatch, goes_on: np.ndarray, dtype: np.dtype, window: int) -> pa.RecordBatch:
+    """Pieces of packets, of which some go on where the one before ends: cut where a run of them or a window ends."""
+    col = {c: rows[c].to_numpy() for c in ("start", "n", "doc_tokens", "position")}
+    ids = memoryview(np.frombuffer(b"".join(rows["ids"].to_pylist()), dtype).astype("<u4").tobytes())
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))  # the first packet of each run
+    ends = np.cumsum(col["n"])
+    flat = (ends - col["n"])[first]
+    length = np.append(flat[1:], ends[-1]) - flat
+    position = col["position"][first]
+    k = (position + length - 1) // window - position // window + 1
+    run = np.repeat(np.arange(len(first)), k)
+    seq = (position // window)[run] + np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
+    begin, end = np.maximum(position[run], seq * window), np.minimum((position + length)[run], (seq + 1) * window)
+    at = flat[run] + begin - position[run]
+    crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + end - begin).tolist(), strict=True)]
+    row = pa.array(first[run])
+    sources = pa.array([q[1:] if q[0] == "+" else None for q in rows["queue"].take(row).to_pylist()], pa.string())
+    made = [col["start"][first][run] + begin - position[run], end - begin, crc, col["doc_tokens"][first][run], seq, begin - seq * window]
+    return pa.RecordBatch.from_arrays([rows["doc_id"].take(row), *(pa.array(c, pa.int64()) for c in made), sources], names=[*(x.split()[0] for x in PIECES.split(", ")), "source"])

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -489,43 +490,90 @@ def check_pieces(rows, docs, path, window):
     return by_seq
 
 
-def test_packing(spark):
+def given_by_rounds(queues, shares, packet):
+    """Deficit round-robin played round by round in fractions: (queue, place, tokens) of each packet sent."""
+    at, credit, out = dict.fromkeys(queues, 0), dict.fromkeys(queues, Fraction(0)), []
+    place = dict.fromkeys(queues, 0)
+    packets = {q: [min(packet, n - k) for n in docs for k in range(0, n, packet)] for q, docs in queues.items()}
+    while any(at[q] < len(packets[q]) for q in queues):
+        for q in sorted(queues):
+            credit[q] += shares[q]
+            while at[q] < len(packets[q]) and place[q] + Fraction(packets[q][at[q]], 2) <= credit[q]:
+                out.append((q, place[q], packets[q][at[q]]))
+                place[q] += packets[q][at[q]]
+                at[q] += 1
+    return out
+
+
+@pytest.mark.parametrize("targets", [None, {"hot": 0.5, "x": 0.25, "y": 0.25}, {"hot": 0.25}, {"x": 3.0, "nowhere": 1.0}])
+def test_packing(spark, targets):
     r = random.Random(4)
     docs = [*EDGES, *[(100 + i, say(i, r.randint(1, 200)), "hot" if i % 3 else r.choice(["x", "y", None])) for i in range(150)], (900, "rare", "r1"), (901, "rarer still", "r2")]
-    rows = packing.pack(documents(spark, docs), WORD, window=256, quantum=16).collect()
+    rows = packing.pack(documents(spark, docs), WORD, window=256, quantum=64, targets=targets, stretch=1000).collect()
     by_seq = check_pieces(rows, docs, WORD, 256)
     total = sum(x.length for x in rows)
     share = Counter()
     for x in rows:
         share[x.source] += x.length
-    for s, some in by_seq.items():
-        if s == max(by_seq):
-            continue
-        for source in ("hot", "b"):
-            assert abs(sum(x.length for x in some if x.source == source) - 256 * share[source] / total) <= 2
-    assert packing.pack(documents(spark, docs).limit(0), WORD).count() == 0
-
-
-@pytest.mark.parametrize("scale", [1, 10**6, 10**8])
-def test_cuts_of_many_match_those_of_one(scale):
-    """Bounds far beyond 64-bit products give what Python's integers give."""
-    total = 200_000 * scale + 7
-    edges = sorted({0, total, *(random.Random(scale).randrange(total) for _ in range(6))})
-    r = np.random.default_rng(4)
-    rows = []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        for x0 in [0, *r.integers(0, hi - lo, 5).tolist()]:
-            n = int(min(hi - lo - x0, r.integers(1, 9000)))
-            rows.append((x0, n, lo, hi))
-        rows.append((hi - lo - 1, 1, lo, hi))
-    x0, n, lo, hi = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-    assert packing.steps_fit(n, 2048, lo, hi, total).all()
-    doc, start, end, window, offset = packing.cuts_of_many(x0, n, 2048, lo, hi, total)
-    for i, (x, k, a, b) in enumerate(rows):
-        s, e, w, o = packing.cuts(x, x + k, 2048, a, b, total)
-        mine = doc == i
-        assert (start[mine] + x).tolist() == s.tolist() and (end[mine] + x).tolist() == e.tolist()
-        assert window[mine].tolist() == w.tolist() and offset[mine].tolist() == o.tolist()
+    n_of = dict(share)
+    wanted = {s: Fraction(n, total) for s, n in n_of.items()}
+    if targets:
+        scale = max(1, sum(targets.values()))
+        wanted = {s: Fraction(w / scale) for s, w in targets.items() if s in n_of}
+        left = 1 - sum(wanted.values())
+        rest = sum(n for s, n in n_of.items() if s not in wanted)
+        wanted |= {s: left * Fraction(n, rest) for s, n in n_of.items() if s not in wanted}
+    # Until the first queue is dry each window is near its targets.
+    given, some = Counter(), max(sum(w > 0 for w in wanted.values()), 2)
+    for seq in range(max(by_seq)):
+        mine = Counter()
+        for x in by_seq[seq]:
+            mine[x.source] += x.length
+        given += mine
+        if any(given[s] >= n_of[s] - 64 for s in n_of if wanted[s] > 0):
+            break
+        for s, w in wanted.items():
+            assert abs(mine[s] - 256 * w) <= 32 * (1 + w * (some - 2)) + 1, (seq, s)
+    else:
+        assert targets is None
+    assert packing.pack(documents(spark, docs).limit(0), WORD, targets=targets).count() == 0
+
+
+def test_packing_is_deficit_round_robin(spark):
+    """Against rounds played one by one; queues of one partition keep the order of rows."""
+    r = random.Random(11)
+    docs = [(i, say(i, r.randint(1, 60)), r.choice("aab") if i % 7 else "c") for i in range(90)]
+    df = documents(spark, docs).coalesce(1)
+    tokens_of = {i: len(plain_ids(WORD, t, packing.END_ID)) for i, t, _ in docs}
+    queues = defaultdict(list)
+    for i, _, s in docs:
+        queues[s].append(tokens_of[i])
+    total = sum(tokens_of.values())
+    for targets in (None, {"a": 0.25, "b": 0.5}):
+        rows = packing.pack(df, WORD, window=64, quantum=16, targets=targets).collect()
+        shares = {s: Fraction(sum(n), total) for s, n in queues.items()} if targets is None else {"a": Fraction(1, 4), "b": Fraction(1, 2), "c": Fraction(1, 4)}
+        begins, at = {}, Counter()
+        for i, _, s in docs:
+            begins[i] = at[s]
+            at[s] += tokens_of[i]
+        stream = [(s, k) for s, k, n in given_by_rounds(queues, shares, 8) for k in range(k, k + n)]
+        got = {}
+        for x in rows:
+            for k in range(x.length):
+                got[64 * x.sequence_id + x.offset + k] = (x.source, begins[x.doc_id] + x.start + k)
+        assert [got[k] for k in range(total)] == stream
+
+
+def test_one_source_is_cut_at_windows_only(spark):
+    docs = [(i, say(i, 40 + i), "s") for i in range(60)]
+    rows = packing.pack(documents(spark, docs).coalesce(1), WORD, window=256, quantum=32).collect()
+    by_seq = check_pieces(rows, docs, WORD, 256)
+    assert len(rows) <= len(docs) + max(by_seq)
+
+
+def test_bad_targets(spark):
+    with pytest.raises(ValueError, match="targets"):
+        packing.pack(documents(spark, EDGES), WORD, targets={"a": -1.0})
 
 
 def test_token_files(spark, tmp_path):
