@@ -37,7 +37,7 @@ def _without(docs: DataFrame, keys: DataFrame, label: str) -> DataFrame:
     """``docs`` without the rows of ``keys`` (doc_id: a row's key); these are broadcast while they are few."""
     key = free("key", docs.columns)
     keys = written(keys.select(F.col("doc_id").alias(key)).distinct(), label)
-    return docs.withColumn(key, _key()).join(small(keys, keys.count()), key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, _key()).join(small(keys), key, "left_anti").select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = jaccard.similar(_named(docs)).filter("n_links > 0").select("doc_id", "class_id")
     members = written(found.distinct(), "members")
     ids = docs.select(_key().alias("_key"), F.col("doc_id").alias("_id")).distinct()
-    ids = ids.join(small(members, members.count()), F.col("_key") == F.col("doc_id"))
+    ids = ids.join(small(members), F.col("_key") == F.col("doc_id"))
     stay = ids.groupBy("class_id").agg(F.min(F.struct("_id", "_key")).alias("m")).select(F.col("m._key").alias("doc_id"))
     left = _without(docs, members.select("doc_id").join(stay, "doc_id", "left_anti"), "copies")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
