@@ -27,21 +27,21 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
-def before(counts: DataFrame, order: str, by: list[str], n: str, chunk: int = CHUNK) -> DataFrame:
+def before(counts: DataFrame, order: str, by: list[str], n: str, levels: int = 2, chunk: int = CHUNK) -> DataFrame:
     """``counts`` (a row for each group ``by`` and whole number ``order`` from 0) with ``before``, the sum of ``n`` over the rows of the group that
     come before, and ``of``, that over all of them.
 
-    In two levels: chunks of ``chunk`` numbers are summed inside, and only their sums are run through by group, so a task
-    has a chunk's rows or a ``chunk``-th of a group's.
+    In ``levels``: chunks of ``chunk`` numbers are summed inside, and their sums are run through in the same way, so a task has a chunk's rows, or
+    of a group one for ``chunk ** (levels - 1)`` numbers.
     """
-    part = F.expr(f"{order} div {chunk}").cast("long")
-    counts = counts.withColumn("_c", part)
-    sums = counts.groupBy(*by, "_c").agg(F.sum(n).alias("_s"))
-    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    sums = sums.withColumn("_b", F.sum("_s").over(whole.orderBy("_c").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).withColumn("of", F.sum("_s").over(whole)).drop("_s")
+    if levels == 1:
+        whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+        return counts.withColumn("before", F.sum(n).over(whole.orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)).withColumn("of", F.sum(n).over(whole))
+    counts = counts.withColumn("_c", F.expr(f"{order} div {chunk}").cast("long"))
+    sums = before(counts.groupBy(*by, "_c").agg(F.sum(n).alias("_s")).withColumnRenamed("_c", "_d"), "_d", by, "_s", levels - 1, chunk)
     inside = F.sum(n).over(W.partitionBy(*by, "_c").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)
-    same: Column = F.lit(True)
-    for c in [*by, "_c"]:
+    same: Column = F.col("l._c") == F.col("r._d")
+    for c in by:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     left = counts.withColumn("_i", inside).alias("l")
-    return left.join(sums.alias("r"), same).select(*[f"l.{c}" for c in counts.columns if c != "_c"], (F.col("_i") + F.col("_b")).alias("before"), "of")
+    return left.join(sums.alias("r"), same).select(*[f"l.{c}" for c in counts.columns if c != "_c"], (F.col("_i") + F.col("r.before")).alias("before"), "of")

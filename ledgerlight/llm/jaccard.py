@@ -2,17 +2,21 @@
 
 1. Each document's distinct shingles of five words are hashed. Documents with the same shingles are one class of copies, kept in
    one representative: the smallest id.
-2. Representatives are put into buckets by bands of MinHash values. All members of a bucket are linked to its smallest key, and
-   the connected components of these links are clusters: two documents whose similarity reaches the threshold share a
-   bucket but for ``(1 - t**ROWS) ** BANDS`` of them (3e-6 at a similarity of exactly 0.8), so they are in one cluster.
-3. Inside a cluster, tiles of about ``TILE`` x ``TILE`` pairs (fewer if texts are long) are compared. MinHash values are compared a few at a time; a pair is dropped
-   as soon as the posterior probability that its similarity reaches the threshold, under a uniform prior, is below ``TOLERANCE``.
-   The pairs that stay are verified by their exact intersections, as products of sparse incidence matrices.
-4. A tile gives each member's number of links and a spanning forest of its links, never the pairs; the
+2. Representatives are put into buckets by bands of MinHash values. Two documents whose similarity reaches the threshold share a
+   bucket but for ``(1 - t**ROWS) ** BANDS`` of them (3e-6 at a similarity of exactly 0.8). Pairs that share a bucket are the candidates, and no others.
+3. Where candidates meet. All members of a bucket are linked to its smallest key; the connected components of these links are clusters.
+   A cluster of ``TILE`` members and ``TILE_SHINGLES`` shingles at most is one unit of work, to which each member goes once. A larger
+   one, such as unrelated documents that chains of buckets have joined, is not compared as a whole: each of its buckets is a unit (buckets with the
+   same members are one), in tiles of ``TILE`` x ``TILE`` pairs if it is larger itself.
+4. Inside a unit MinHash values are compared a few at a time; a pair is dropped as soon as the posterior probability that its similarity
+   reaches the threshold, under a uniform prior, is below ``TOLERANCE``. The pairs that stay are verified by their exact
+   intersections, as products of sparse incidence matrices, and counted in the first band that they share only.
+5. A unit gives each member's number of links and a spanning forest of its links, never the pairs; the
    connected components of the forests are the classes.
 
-Rows moved are documents, buckets' members and forests: none grows with the square of a group's size. A cluster's work
-does, spread over its tiles, as every pair of different texts in it is a link to be counted or to be ruled out.
+Rows moved: documents, their ``BANDS`` keys, forests, and each member's shingles once for its cluster or for each bucket (32 at most) of a cluster of over
+``TILE`` members. Only a single bucket of over ``TILE`` members of one band moves more: its members once for each ``TILE`` of them, as
+every pair of different texts in it is a link to be counted or to be ruled out.
 
 Defined cases: a text of fewer than five words has one shingle, all its words; one without words is similar to none, a class of
 its own; ids may repeat: each row counts, and all rows of one id and one text get the same result; a null id is
@@ -41,10 +45,11 @@ THRESHOLD = (4, 5)
 BANDS, ROWS = 32, 5
 STEP = 32
 TOLERANCE = 1e-6
-TILE = 256
+TILE = 2_048
 #: Shingles of one side of a tile: 8 bytes each.
 TILE_SHINGLES = 1 << 20
-COLUMNS = 1 << 14
+#: Pairs compared at once, and cells of an incidence matrix.
+PAIRS, CELLS = 1 << 17, 1 << 22
 NULL_ID = -(1 << 63)
 
 
@@ -115,47 +120,66 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> tuple[int,
 
 def surviving(a: np.ndarray, b: np.ndarray, same: bool, threshold: float = THRESHOLD[0] / THRESHOLD[1]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of rows of two blocks of signatures that no step prunes; within one block, each pair once."""
+    rows = max(1, PAIRS // max(1, len(b)))
+    parts = [_surviving(a[at : at + rows], b, at if same else None, threshold) for at in range(0, len(a), rows)]
+    return tuple(np.concatenate([p[k] + (at * rows if k == 0 else 0) for at, p in enumerate(parts)] or [np.zeros(0, np.int64)]) for k in (0, 1))
+
+
+def _surviving(a: np.ndarray, b: np.ndarray, at: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of some rows; ``at``: where they are in the other block, if it is the same."""
     least, n = least_matches(threshold), a.shape[1]
     matches = np.zeros((len(a), len(b)), np.int16)
     for k in range(min(STEP, n)):
         matches += a[:, k][:, None] == b[:, k][None, :]
     i, j = np.nonzero(matches >= least[min(STEP, n)])
-    if same:
-        i, j = i[i < j], j[i < j]
+    if at is not None:
+        later = i + at < j
+        i, j = i[later], j[later]
     m = matches[i, j].astype(np.int32)
-    for at in range(STEP, n, STEP):
-        m += (a[i, at : at + STEP] == b[j, at : at + STEP]).sum(1)
-        keep = m >= least[min(at + STEP, n)]
+    for k in range(STEP, n, STEP):
+        m += (a[i, k : k + STEP] == b[j, k : k + STEP]).sum(1)
+        keep = m >= least[min(k + STEP, n)]
         i, j, m = i[keep], j[keep], m[keep]
     return i, j
 
 
+def first_shared(bands: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first band of which both rows of each pair have the same key; ``BANDS`` if there is none."""
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), PAIRS):
+        same = bands[i[at : at + PAIRS]] == bands[j[at : at + PAIRS]]
+        out[at : at + PAIRS] = np.where(same.any(1), same.argmax(1), BANDS)
+    return out
+
+
 def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
     """Which of the pairs i, j of sets reach the threshold, exactly."""
     if not len(i):
         return np.zeros(0, bool)
     used = np.unique(np.concatenate([i, j]))
-    if len(i) <= 4 * len(used):
-        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
-    else:  # many pairs of few sets: incidence matrices, some columns at a time
-        place = np.zeros(len(sets), np.int64)
-        place[used] = np.arange(len(used))
-        flat = np.concatenate([sets[x] for x in used])
-        row = np.repeat(np.arange(len(used)), [len(sets[x]) for x in used])
-        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = times[column] > 1
-        row, column = row[shared], column[shared]
+    size = np.array([len(x) for x in sets], np.int64)
+    place = np.zeros(len(sets), np.int64)
+    place[used] = np.arange(len(used))
+    flat = np.concatenate([sets[x] for x in used])
+    row = np.repeat(np.arange(len(used)), size[used])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], column[shared]
+    wide = int((times > 1).sum())
+    # Pair by pair, or (many pairs of few sets) by incidence matrices, some columns at a time: whichever is less work.
+    if float((size[i] + size[j]).sum()) * 30 <= 2.0 * len(used) * len(used) * wide / 8 + 1e6:
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    else:
         _, column = np.unique(column, return_inverse=True)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        total = np.zeros((len(used), len(used)), np.float32)
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
-            m = np.zeros((len(used), min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        total, step = np.zeros((len(used), len(used)), np.float32), max(1, CELLS // len(used))
+        for at in range(0, wide, step):
+            lo, hi = np.searchsorted(column, [at, at + step])
+            m = np.zeros((len(used), min(step, wide - at)), np.float32)
             m[row[lo:hi], column[lo:hi] - at] = 1
             total += m @ m.T
         both = np.rint(total[place[i], place[j]]).astype(np.int64)
-    size = np.array([len(x) for x in sets], np.int64)
     return threshold[1] * both >= threshold[0] * (size[i] + size[j] - both)
 
 
@@ -164,7 +188,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, the two halves of the shingles' key (null without shingles) and the bands' keys."""
+    """doc_id, the text's hash, the two halves of the shingles' key (null without shingles) and the bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,6 +201,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "doc_id": part["doc_id"],
+                        "th": part["th"],
                         "k1": pa.array(_signed(keys[:, 0].copy()), pa.int64(), mask=~some),
                         "k2": pa.array(_signed(keys[:, 1].copy()), pa.int64(), mask=~some),
                         "n": pa.array(counts, pa.int64()),
@@ -185,7 +210,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 )
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
-    return docs.select(ids, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands binary")
+    return docs.select(ids, F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, k1 long, k2 long, n long, bands binary")
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -203,12 +228,12 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows sorted by (cluster, x, y) to links: key, rows linked, the key's root in the tile."""
+    """Rows sorted by (unit, band, x, y) to links: key, rows linked, the key's root in the unit."""
 
     def work(rows: list[dict]) -> tuple[list, list, list]:
         unique = {(r["own"], r["key"]): r for r in rows}
         rows = [unique[k] for k in sorted(unique)]
-        x, y = rows[0]["x"], rows[0]["y"]
+        x, y, band = rows[0]["x"], rows[0]["y"], rows[0]["band"]
         sets = [np.frombuffer(r["s"], np.uint64) for r in rows]
         sig = min_hashes(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
         times = np.array([r["times"] for r in rows], np.int64)
@@ -218,6 +243,10 @@ def _tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             cut = sum(r["own"] == x for r in rows)
             i, j = surviving(sig[:cut], sig[cut:], False, threshold[0] / threshold[1])
             j = j + cut
+        # Of a cluster the pairs that share any band, of a bucket those that share none before its own.
+        shared = first_shared(band_keys(sig), i, j)
+        mine = shared < BANDS if band < 0 else shared == band
+        i, j = i[mine], j[mine]
         ok = verified(sets, i, j, threshold)
         i, j = i[ok], j[ok]
         links = np.bincount(i, times[j], len(rows)) + np.bincount(j, times[i], len(rows))
@@ -248,7 +277,7 @@ def _tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 for r in batch.slice(at, 1_000).to_pylist():
-                    if (tile := (r["cluster"], r["x"], r["y"])) != now:
+                    if (tile := (r["unit"], r["band"], r["x"], r["y"])) != now:
                         close()
                         held, now = [], tile
                     held.append(r)
@@ -260,34 +289,62 @@ def _tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return members.mapInArrow(run, "key long, links long, root long")
 
 
-def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def _on(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """``left`` joined with the groups ``right`` of it. The key is turned, so that both sides are dealt anew by it and Spark can split a group of
+    many rows, which it can't where a side is still dealt by the group's own aggregate.
+    """
+    turned = F.bitwise_not(column).alias("_turned")
+    return left.select("*", turned).join(right.select(turned, *[c for c in right.columns if c != column]), "_turned").drop("_turned")
+
+
+def _units(buckets: DataFrame, members: DataFrame, tile: int, tile_shingles: int) -> DataFrame:
+    """For each member (root, key, n) its units: key, units (unit, band, tiles, own)."""
+
+    def tiles(n: Column, shingled: Column) -> Column:
+        return F.greatest(F.ceil(n / tile), F.ceil(shingled / tile_shingles)).cast("int")
+
+    sizes = members.groupBy("root").agg(tiles(F.count(F.lit(1)), F.sum("n")).alias("tiles"))
+    members = written(_on(members, sizes, "root").select("key", "root", "n", "tiles"), "members")
+    of_clusters = members.filter("tiles = 1").select("key", F.col("root").alias("unit"), F.lit(-1).alias("band"), "tiles")
+
+    # Buckets with the same members have the same number and sums of hashes; the first band stands for all.
+    large = buckets.join(members.filter("tiles > 1").select("key", "n"), "key")
+    salted = F.xxhash64(F.lit(3), "key").cast("decimal(38,0)")
+    each = large.groupBy("unit", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(salted).alias("y")).filter("m > 1")
+    each = each.groupBy("m", "s", "x", "y").agg(F.min(F.struct("band", "unit")).alias("b")).select("b.unit", tiles(F.col("m"), F.col("s")).alias("tiles"))
+    of_buckets = _on(large.select("key", "unit", "band"), each, "unit").select("key", "unit", "band", "tiles")
+    every = of_clusters.unionByName(of_buckets)
+    every = every.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("tiles")).cast("int"))
+    return every.groupBy("key").agg(F.collect_list(F.struct("unit", "band", "tiles", "own")).alias("units"))  # one, or BANDS at most
+
+
+def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (the smallest id of its class), n_links (other rows whose similarity reaches the threshold)."""
     ship(docs.sparkSession)
     sketch = written(_sketch(docs), "sketches")
-    # A class of copies: its smallest id, its rows, and one of the equal bands.
-    reps = sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    # A class of copies: its smallest id and that row's text, its rows, and one of the equal bands.
+    reps = sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count(F.lit(1)).alias("times"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     # One number for each class from here on.
-    reps = written(reps.select("k1", "k2", "rep", "times", "n", "bands", F.xxhash64("k1", "k2").alias("key")), "classes")
+    reps = written(reps.select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.th", "times", "n", "bands", F.xxhash64("k1", "k2").alias("key")), "classes")
 
-    each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("bands"), k * 8 + 1, F.lit(8)))
-    buckets = reps.select("key", F.explode(each).alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
-    edges = buckets.join(heads, "band").filter("key <> b").select(F.col("key").alias("a"), "b")
+    each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring(F.col("bands"), k * 8 + 1, F.lit(8))))
+    buckets = reps.select("key", F.posexplode(each).alias("band", "unit"))
+    heads = buckets.groupBy("unit").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("unit", "b")
+    edges = _on(buckets.select("key", "unit"), heads, "unit").filter("key <> b").select(F.col("key").alias("a"), "b")
     clusters = components(edges)
 
-    members = clusters.join(reps.select("key", "k1", "k2", "rep", "times", "n"), F.col("node") == F.col("key"))
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    members = members.join(sizes, "root").select(F.col("root").alias("cluster"), "key", "k1", "k2", "rep", "times", "tiles")
-    members = written(members.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("tiles")).cast("int")), "members")
+    members = written(clusters.join(reps.select("key", "n"), F.col("node") == F.col("key")).select("root", "key", "n"), "members")
+    units = _units(buckets, members, tile, tile_shingles)
+    units = written(reps.select("key", "k1", "k2", "rep", "th", "times").join(units, "key"), "units")
 
-    links = written(_tiles(_with_shingles(docs, members), threshold), "links")
+    links = written(_tiles(_with_shingles(docs, units), threshold), "links")
     found = links.groupBy("key").agg(F.sum("links").alias("others"))
     trees = components(links.filter("key > root").select(F.col("key").alias("a"), F.col("root").alias("b")))
 
     named = reps.select("k1", "k2", "key", "rep", "times").join(trees, F.col("key") == F.col("node"), "left").join(found, "key", "left")
-    named = named.withColumn("tree", F.coalesce("root", "key"))
+    named = named.withColumn("tree", F.coalesce("root", "key")).select("tree", "k1", "k2", "rep", "times", "others")
     least = named.groupBy("tree").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "tree").select("k1", "k2", "class_id", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    named = _on(named, least, "tree").select("k1", "k2", "class_id", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"))
 
     rows = sketch.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
 
@@ -300,27 +357,33 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     )
 
 
-def _with_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _with_shingles(docs: DataFrame, units: DataFrame) -> DataFrame:
     """Each member's shingles, once for every tile that it is in, sorted by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows of one id and text are one member
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
+                new = [k for k, key in enumerate(part["key"].to_pylist()) if not (key in seen or seen.add(key))]
+                part = part.take(pa.array(new, pa.int64()))
                 s, counts = shingles(part["text"].to_pylist(), N)
                 keys = set_keys(s, counts)
                 right = (_signed(keys[:, 0].copy()) == part["k1"].to_numpy()) & (_signed(keys[:, 1].copy()) == part["k2"].to_numpy())
                 ends = np.cumsum(counts)
                 made = [s[e - c : e].tobytes() if k else None for e, c, k in zip(ends, counts, right, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("cluster", "key", "times", "tiles", "own")), pa.array(made, pa.binary())], names=["cluster", "key", "times", "tiles", "own", "s"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("key", "times", "units")), pa.array(made, pa.binary())], names=["key", "times", "units", "s"])
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rep")
-    texts = docs.select(ids, "text").join(small(members, members.count()), "rep")
-    texts = texts.select("cluster", "key", "times", "tiles", "own", "k1", "k2", "text")
-    rows = texts.mapInArrow(run, "cluster long, key long, times long, tiles int, own int, s binary").filter("s is not null")
+    # By id and text: neither a null id nor a text that many rows share is met by more than its own class.
+    texts = docs.select(ids, F.xxhash64("text").alias("th"), "text").join(small(units), ["rep", "th"])
+    texts = texts.select("key", "times", "units", "k1", "k2", "text")
+    unit = "array<struct<unit:long,band:int,tiles:int,own:int>>"
+    rows = texts.mapInArrow(run, f"key long, times long, units {unit}, s binary").filter("s is not null")
+    rows = rows.select("key", "times", "s", F.explode("units").alias("u")).select("key", "times", "s", "u.*")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "times", "s")
-    return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    rows = rows.select("unit", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "times", "s")
+    return rows.repartition("unit", "band", "x", "y").sortWithinPartitions("unit", "band", "x", "y")
 
 
 #: The same classes by brute force: every pair that shares a shingle, and a recursive closure.

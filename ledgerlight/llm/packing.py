@@ -7,7 +7,7 @@ that deficit is carried from round to round, and so across windows and partition
 queue, are the stream that is cut into windows: every window but the last is full.
 
 No round is played: a queue's credit is known at any time, so a packet's round follows from its place in its queue alone,
-``ceil(middle / share)``. Places in queues and in the stream are running sums of counts in two levels, and
+``ceil(middle / share)``. Places in queues and in the stream are running sums of counts in levels, and
 the stream is put together in stretches of about ``STRETCH`` tokens, each a task's work; no task has more, whatever the sources.
 
 Between any two places of the stream, so in any window, a queue of the share p among S that are not dry is off its
@@ -41,8 +41,8 @@ from .common import before, small, written
 from .tokens import encoder
 
 WINDOW = 2048
-QUANTUM = 256
-STRETCH = 1 << 20
+QUANTUM = 512
+STRETCH = 1 << 17
 END_ID = 1
 
 PACKETS = "doc long, doc_id long, queue string, part int, ahead long, start long, n long, doc_tokens long, ids binary"
@@ -127,7 +127,7 @@ def pack(
     rows = packets.join(small(counts), ["queue", "part"]).withColumn("x", F.col("first") + F.col("ahead"))
     rows = rows.withColumn("middle", F.col("x") + F.col("n") / 2).withColumn("round", due)
     rows = rows.withColumn("stretch", F.floor(sent / stretch)).select("stretch", "round", "queue", "x", "doc", "doc_id", "start", "n", "doc_tokens", "ids")
-    begins = written(before(rows.groupBy("stretch").agg(F.sum("n").alias("m")), "stretch", [], "m").select("stretch", "before"), "stretches")
+    begins = written(before(rows.groupBy("stretch").agg(F.sum("n").alias("m")), "stretch", [], "m", 3).select("stretch", "before"), "stretches")
     order = W.partitionBy("stretch").orderBy("round", "queue", "x")
     rows = rows.withColumn("inside", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
     rows = rows.join(small(begins), "stretch").withColumn("position", F.col("before") + F.col("inside"))

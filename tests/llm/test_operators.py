@@ -159,6 +159,40 @@ def test_jaccard_classes(spark):
     assert got == classes_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("tile, shingled", [(40, 1 << 20), (7, 1 << 20), (2048, 5000)])
+def test_jaccard_classes_of_large_clusters(spark, tile, shingled):
+    """The same whether a cluster is one unit, its buckets are, or a bucket is cut into tiles."""
+    r = random.Random(12)
+    chain = say(70, 400).split()
+    rows = [(k, near(say(71, 60), k % 4, k), "hot") for k in range(120)]
+    rows += [(200 + k, " ".join(chain[6 * k : 6 * k + 60]), "chain") for k in range(50)]  # neighbours alike, the ends not
+    rows += [(300 + k, near(rows[r.randrange(100)][1], 9, k), "s") for k in range(60)]
+    got = Counter(tuple(x) for x in jaccard.similar(documents(spark, rows), tile=tile, tile_shingles=shingled).select("doc_id", "class_id", "n_links").collect())
+    assert got == classes_by_brute_force(rows)
+
+
+def test_shuffled_shingles_grow_with_the_group(spark):
+    """A group of n near copies sends each member's shingles once, not once for every part of the group."""
+    moved = []
+    for n in (500, 1000, 2000):
+        rows = documents(spark, [(k, near(say(72, 40), 1 + k % 3, k), "s") for k in range(n)], clash=False)
+        seen = []
+        real = jaccard._tiles
+        jaccard._tiles = lambda members, t: (seen.append(members.agg(F.sum(F.length("s"))).first()[0]), real(members, t))[1]  # noqa: B023
+        try:
+            jaccard.similar(rows)
+        finally:
+            jaccard._tiles = real
+        moved.append(seen[0] / n)
+    assert max(moved) <= 1.1 * min(moved)
+
+
+def test_null_ids_of_one_and_of_many_texts(spark):
+    rows = [(None, say(k % 40, 30), "s") for k in range(400)] + [(k, say(k % 40, 30), "s") for k in range(60)]
+    got = Counter(tuple(x) for x in jaccard.similar(documents(spark, rows)).select("doc_id", "class_id", "n_links").collect())
+    assert got == classes_by_brute_force(rows)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.similar(documents(spark, EDGES).limit(0)).count() == 0
 
