@@ -16,6 +16,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
 
 
+def _with_group(edges: DataFrame, groups: DataFrame, node: str) -> DataFrame:
+    """Edges joined with the one row of their node. The key is a hash of the node, so that both sides are dealt anew by it: a side that is still
+    dealt by its own aggregate is one that Spark can't split, and a hub's edges would be one task's.
+    """
+    key = F.xxhash64(F.lit(node), node).alias("_dealt")
+    of = groups.select(key, F.col(node).alias("_node"), *[c for c in groups.columns if c != node])
+    return edges.withColumn("_dealt", key).join(of, "_dealt").filter(F.col(node) == F.col("_node")).drop("_dealt", "_node")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node on an edge (a, b): root is the smallest node of its component.
 
@@ -27,9 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_group(both.filter("v > u"), least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        star = _with_group(large, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = cut(star.filter("a > b").distinct(), "edges")
         edges, before, state = after, state, _state(after)
         if state == before:
