@@ -50,6 +50,8 @@ TILE = 2_048
 TILE_SHINGLES = 1 << 20
 #: Pairs compared at once, and cells of an incidence matrix.
 PAIRS, CELLS = 1 << 17, 1 << 22
+#: Shingles from which on the units gathered so far are worked on.
+TOGETHER = 1 << 17
 NULL_ID = -(1 << 63)
 
 
@@ -79,13 +81,11 @@ def min_hashes(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One key for each band, the band's number among what is hashed."""
-    out = np.empty((len(sig), BANDS), np.uint64)
+    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(BANDS):
-            h = np.full(len(sig), np.uint64(k + 1) * np.uint64(0xD1342543DE82EF95))
-            for c in range(ROWS):
-                h = mix(h + sig[:, k * ROWS + c].astype(np.uint64))
-            out[:, k] = h
+        out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95), (len(sig), BANDS))
+        for c in range(ROWS):
+            out = mix(out + parts[:, :, c])
     return out
 
 
@@ -143,12 +143,12 @@ def _surviving(a: np.ndarray, b: np.ndarray, at: int | None, threshold: float) -
     return i, j
 
 
-def first_shared(bands: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The first band of which both rows of each pair have the same key; ``BANDS`` if there is none."""
+def first_shared(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first band of which both rows of each pair have the same values; ``BANDS`` if there is none."""
     out = np.empty(len(i), np.int64)
-    for at in range(0, len(i), PAIRS):
-        same = bands[i[at : at + PAIRS]] == bands[j[at : at + PAIRS]]
-        out[at : at + PAIRS] = np.where(same.any(1), same.argmax(1), BANDS)
+    for at in range(0, len(i), PAIRS // 8):
+        same = (sig[i[at : at + PAIRS // 8]] == sig[j[at : at + PAIRS // 8]]).reshape(-1, BANDS, ROWS).all(2)
+        out[at : at + PAIRS // 8] = np.where(same.any(1), same.argmax(1), BANDS)
     return out
 
 
@@ -230,12 +230,21 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Rows sorted by (unit, band, x, y) to links: key, rows linked, the key's root in the unit."""
 
-    def work(rows: list[dict]) -> tuple[list, list, list]:
-        unique = {(r["own"], r["key"]): r for r in rows}
-        rows = [unique[k] for k in sorted(unique)]
+    def work(units: list[list[dict]]) -> tuple[list, list, list]:
+        """Some units; their signatures are made together."""
+        units = [[own[k] for k in sorted(own)] for rows in units if len(own := {(r["own"], r["key"]): r for r in rows}) > 1]
+        out: tuple[list, list, list] = ([], [], [])
+        if units:
+            sets = [np.frombuffer(r["s"], np.uint64) for rows in units for r in rows]
+            sig, at = min_hashes(np.concatenate(sets), np.array([len(s) for s in sets], np.int64)), 0
+            for rows in units:
+                for c, more in zip(out, unit(rows, sets[at : at + len(rows)], sig[at : at + len(rows)]), strict=True):
+                    c.extend(more)
+                at += len(rows)
+        return out
+
+    def unit(rows: list[dict], sets: list[np.ndarray], sig: np.ndarray) -> tuple[list, list, list]:
         x, y, band = rows[0]["x"], rows[0]["y"], rows[0]["band"]
-        sets = [np.frombuffer(r["s"], np.uint64) for r in rows]
-        sig = min_hashes(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
         times = np.array([r["times"] for r in rows], np.int64)
         if x == y:
             i, j = surviving(sig, sig, True, threshold[0] / threshold[1])
@@ -244,7 +253,7 @@ def _tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             i, j = surviving(sig[:cut], sig[cut:], False, threshold[0] / threshold[1])
             j = j + cut
         # Of a cluster the pairs that share any band, of a bucket those that share none before its own.
-        shared = first_shared(band_keys(sig), i, j)
+        shared = first_shared(sig, i, j)
         mine = shared < BANDS if band < 0 else shared == band
         i, j = i[mine], j[mine]
         ok = verified(sets, i, j, threshold)
@@ -259,32 +268,26 @@ def _tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         return keys, links.astype(np.int64).tolist(), [keys[order[root[rank[k]]]] for k in range(len(rows))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        out: tuple[list, list, list] = ([], [], [])
-
-        def emit() -> pa.RecordBatch:
-            made = pa.record_batch({"key": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "root": pa.array(out[2], pa.int64())})
-            for c in out:
-                c.clear()
-            return made
+        held: list[list[dict]] = []
+        now, size = None, 0
 
-        def close() -> None:
-            if len(held) > 1:
-                for c, more in zip(out, work(held), strict=True):
-                    c.extend(more)
+        def made() -> pa.RecordBatch:
+            out = work(held)
+            held.clear()
+            return pa.record_batch({c: pa.array(v, pa.int64()) for c, v in zip(("key", "links", "root"), out, strict=True)})
 
-        now = None
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 for r in batch.slice(at, 1_000).to_pylist():
                     if (tile := (r["unit"], r["band"], r["x"], r["y"])) != now:
-                        close()
-                        held, now = [], tile
-                    held.append(r)
-                if len(out[0]) > 10_000:
-                    yield emit()
-        close()
-        yield emit()
+                        if size >= TOGETHER:
+                            yield made()
+                            size = 0
+                        held.append([])
+                        now = tile
+                    held[-1].append(r)
+                    size += len(r["s"]) // 8
+        yield made()
 
     return members.mapInArrow(run, "key long, links long, root long")
 

@@ -109,8 +109,11 @@ def shingles(texts: list[str | None], n: int = 5) -> tuple[np.ndarray, np.ndarra
                 s = mix(s * STEP + h[begin + k])
             else:
                 s[use] = mix(s[use] * STEP + h[begin[use] + k])
-    order = np.lexsort((s, owner))
-    s, owner = s[order], owner[order]
+    at = 0
+    for k in made.tolist():
+        if k > 1:
+            s[at : at + k].sort()
+        at += k
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
     return s[new], np.bincount(owner[new], minlength=len(texts)).astype(np.int64)
