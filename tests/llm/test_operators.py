@@ -416,25 +416,61 @@ def test_top_products(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = Counter(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
     assert got == best_by_brute_force(rows, 50, 5)
-    blocks = topk.top_k(df, F.col("vec_id") % 50 == 0, block=4).select("query_id", "rank", "vec_id", "score").collect()
+    blocks = topk.top_k(df, F.col("vec_id") % 50 == 0, block=4, bucket=32).select("query_id", "rank", "vec_id", "score").collect()
     assert Counter(tuple(x) for x in blocks) == got
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_large_components_take_part(spark):
+    """Beyond 53 and 64 bits, and beyond what a double holds once scaled: ranked by the whole numbers."""
+    r = random.Random(21)
+    rows = [(i, [r.choice([1.0, -1.0]) * r.random() * 10.0 ** r.choice([0, 3, 9, 16, 17, 300, 307]) for _ in range(3)]) for i in range(60)]
+    rows += [(100, [1e16, 0.0, 0.0]), (150, [1e16, 1.0, 0.0]), (200, [1.7e308, 1.7e308, 1.0]), (250, [1.7e308, 1.7e308, 2.0]), (300, [-1.7e308, 0.5, 0.0])]
+    exact = lambda x: int(x) * 256 if abs(x) >= 2**52 else int(np.floor(x * 256))
+    want = {}
+    for q, v in rows:
+        if q % 50 == 0:
+            scores = sorted((-sum(exact(a) * exact(b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)
+            want[q] = [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in scores[:5]]
+    got = defaultdict(list)
+    for x in sorted(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, bucket=16).collect(), key=lambda x: x["rank"]):
+        got[x.query_id].append((x.vec_id, x.score))
+    assert got == want
+
+
+def unit_of(v, n, theta, order):
+    return topk.Unit(v[:n] / 256, theta, v[order] / 256, order.astype(np.int64), 256)
+
+
 def test_coordinates_and_lengths_prune_without_loss():
     r = np.random.default_rng(2)
-    v = r.normal(size=(600, 4))
-    v = np.floor(v / np.linalg.norm(v, axis=1)[:, None] * r.uniform(500, 1000, size=(600, 1))).astype(np.int64)
+    v = r.normal(size=(3000, 16))
+    v = np.floor(v / np.linalg.norm(v, axis=1)[:, None] * r.uniform(100, 1000, size=(3000, 1)))
     order = np.argsort(-(v**2).sum(1), kind="stable")
-    block = topk.Block(np.arange(20, dtype=np.int64), v[:20], 3)
-    for at in range(0, 600, 16):
-        block.meet(order[at : at + 16].astype(np.int64), v[order[at : at + 16]])
-    assert block.counts["coordinates"] and block.counts["pruned"]
+    s = v[:20] @ v.T
+    theta = np.sort(s, axis=1)[:, -4]
+    counts, got = Counter(), defaultdict(list)
+    for at in range(0, 3000, 500):
+        unit = unit_of(v, 20, theta, order[at : at + 500])
+        q, j, score = unit.pairs(4)
+        for a, b, c in zip(q.tolist(), unit.ids[j].tolist(), score.tolist(), strict=True):
+            got[a].append((-c, b))
+        counts += unit.counts
+    assert counts["coordinates"] and counts["pruned"] and counts["cut short"]
     for q in range(20):
-        s = v @ v[q]
-        want = np.lexsort((np.arange(600), -s))[:4]
-        mine = block.q == q
-        assert block.cand[mine].tolist() == want.tolist() and block.score[mine].tolist() == s[want].tolist()
+        want = np.lexsort((np.arange(3000), -s[q]))[:4]
+        assert [b for _, b in sorted(got[q])[:4]] == want.tolist()
+
+
+def test_coordinates_prune_on_the_table(spark):
+    """Lengths there are all 1, so coordinates have to."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").filter("embedding is not null").collect()
+    v = np.floor(256 * np.array([r.embedding for r in rows], np.float64))
+    order = np.argsort(-(v**2).sum(1), kind="stable")
+    theta = np.sort(v[:20] @ v.T, axis=1)[:, -6]
+    unit = unit_of(v, 20, theta, order)
+    unit.pairs(6)
+    assert unit.counts["coordinates"] and unit.counts["cut short"] > 0.5 * 20 * len(v)
 
 
 # 7. Quality classifier.
