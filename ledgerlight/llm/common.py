@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..store import cut as written
-from ..store import fresh_path, small
+from ..store import fits, fresh_path, small
 
-__all__ = ["before", "free", "fresh_path", "small", "table", "written"]
+__all__ = ["before", "fits", "free", "fresh_path", "small", "table", "written"]
 
 #: Rows of a table of counts that one task runs through at the most, at either of two levels.
 CHUNK = 1_024

@@ -29,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import fits, small, written
 
 N = 5
 BITS = 64
@@ -82,8 +82,11 @@ def weighted_jaccard(a: str, b: str) -> tuple[Column, Column]:
     return least, F.size(x) + F.size(y) - least
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row per document and item that it holds, with the most similar window: ``SCHEMA``."""
+def passages(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = THRESHOLD, whole_rows: bool | None = None) -> DataFrame:
+    """One row per document and item that it holds, with the most similar window: ``SCHEMA``.
+
+    ``whole_rows``: whether documents meet the anchors with all their shingles; None: if the anchors are few enough to be broadcast. The result is the same.
+    """
     num, den = threshold
     ids = F.col("doc_id").cast("long").alias("doc_id")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -92,12 +95,12 @@ def passages(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] =
     widths = sorted(r["n"] for r in items.select("n").distinct().collect())  # N values at most
     out = None
     for n in widths:
-        made = _of_width(docs.select(ids, word_hashes(F.col("text")).alias("w")), items.filter(F.col("n") == n), n, num, den)
+        made = _of_width(docs.select(ids, word_hashes(F.col("text")).alias("w")), items.filter(F.col("n") == n), n, num, den, whole_rows)
         out = made if out is None else out.unionByName(made)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def _of_width(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _of_width(docs: DataFrame, items: DataFrame, n: int, num: int, den: int, whole_rows: bool | None) -> DataFrame:
     # Written once: the optimiser would else work out words anew wherever shingles or fingerprints are used.
     items = written(items.withColumn("s", shingles("w", n)).drop("w", "n"), "items")
     items = written(items.withColumn("fp", simhash("s")), "items")
@@ -106,13 +109,19 @@ def _of_width(docs: DataFrame, items: DataFrame, n: int, num: int, den: int) ->
     by_hash = F.array_sort(F.transform("s", lambda h, q: F.struct(F.xxhash64(F.lit(7), h).alias("o"), h.alias("h"), q.alias("q"))))
     items = items.withColumn("g", F.xxhash64("s"))
     anchors = items.select("g", "len", F.explode_outer(F.slice(by_hash, F.lit(1), lack + 1)).alias("a")).select("g", "len", F.col("a.h").alias("h")).distinct()
-    anchors = small(anchors)
+    few = fits(anchors) if whole_rows is None else whole_rows
     texts = items.select("g", "s").dropDuplicates(["g"]).withColumnRenamed("s", "mine")
     texts = small(texts)
 
     # Outer generators: for an inner one the optimiser adds a filter that works out its array a second time, and what it is made of many times.
     shingled = docs.withColumn("s", shingles("w", n)).withColumn("words", F.size("w")).drop("w")
-    hits = shingled.select("doc_id", "words", "s", F.posexplode_outer("s").alias("p", "h")).join(anchors, "h").join(texts, "g")
+    if few:  # a shingle's row holds its document by reference, and only hits leave the task
+        hits = shingled.select("doc_id", "words", "s", F.posexplode_outer("s").alias("p", "h")).join(F.broadcast(anchors), "h")
+    else:  # places alone are shuffled, and documents once
+        shingled = shingled.withColumn("row", F.xxhash64("doc_id", "s"))
+        places = shingled.select("row", "words", F.posexplode_outer("s").alias("p", "h")).join(anchors, "h").distinct()
+        hits = places.join(shingled.select("row", "doc_id", "s"), "row")
+    hits = hits.join(texts, "g")
     last = F.greatest(F.col("words") - F.col("len"), F.lit(0))
     starts = F.sequence(F.greatest(F.col("p") - F.col("len") + n, F.lit(0)), F.least(F.col("p"), last))
     windows = hits.select("doc_id", "len", "s", "mine", F.explode_outer(starts).alias("start"))

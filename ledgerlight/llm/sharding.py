@@ -5,13 +5,14 @@ Rows of each source are put in a seeded random order, the r-th of n rows gets th
 counts differ by one at most. So every shard holds the sources in the proportions of the corpus.
 
 No source and no rank range is ever sorted in one task: ranks come from counts per (source, bucket of
-the hash) plus a row number inside the bucket, and global positions from counts per bucket of the
-fractional rank in the same way. The number of buckets follows the number of rows. Only ids, sizes and
+the hash of id and kept columns) plus a row number inside the bucket, and global positions from counts per bucket of the
+fractional rank in the same way, both summed up in levels. The number of buckets follows the number of rows. Only ids, sizes and
 checksums are shuffled, never the texts.
 
 Defined cases: a null text has no bytes (size 8, checksum 0) and equals no empty text; a null source is a
 stratum of its own; rows repeated in full are rows like others; an empty table gives no rows; further columns
-are ignored. Order among rows of one source follows the seeded hash of the id, then checksum and size.
+are ignored. Order among rows of one source follows the seeded hash of id, checksum and size. Many rows that are the same in all of
+these, such as those without id and text, are dealt over parts of their bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import before, small, written
+
 ROWS_PER_BUCKET = 1_024
+#: Parts of a bucket: one, and those of many equal rows.
+PARTS = 1 << 20
 
 
 def _buckets(rows: int, rows_per_bucket: int) -> int:
@@ -30,14 +35,6 @@ def _buckets(rows: int, rows_per_bucket: int) -> int:
     return max(1, math.ceil(math.log2(max(2, rows / rows_per_bucket))))
 
 
-def _before(counts: DataFrame, order: str, by: list[str], n: str) -> DataFrame:
-    """Rows in the buckets before each bucket, and in all of them."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    return counts.withColumn(
-        "before", F.sum(n).over(w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)
-    ).withColumn("of", F.sum(n).over(w))
-
-
 def interleave(
     docs: DataFrame,
     shards: int = 24,
@@ -58,22 +55,26 @@ def interleave(
     keep = keep or {}
     ident = F.col(id_col).alias("id")
     stratum = F.concat(F.when(F.col(source_col).isNull(), "-").otherwise("+"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = docs.select(ident, stratum.alias("stratum"), hashed.alias("h"), *[c.alias(f"k_{k}") for k, c in keep.items()])
-    rows = rows.withColumn("b", F.shiftrightunsigned("h", 64 - bits))
+    rows = docs.select(ident, stratum.alias("stratum"), *[c.alias(f"k_{k}") for k, c in keep.items()])
+    alike = [c for c in rows.columns if c != "stratum"]
+    rows = written(rows.withColumn("h", F.xxhash64(F.lit(seed), *alike)).withColumn("m", F.monotonically_increasing_id()), "strata")
+    # Rows that are the same in all that is kept come last in their bucket, and many of them in parts of their own: which is which makes no difference.
+    same = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 4 * rows_per_bucket)
+    same = small(same.select("h", F.least(F.ceil(F.col("c") / rows_per_bucket), F.lit(PARTS - 1)).alias("parts")))
+    rows = rows.join(same, "h", "left").withColumn("part", F.coalesce(1 + F.pmod(F.xxhash64("m"), F.col("parts")), F.lit(0)))
+    rows = rows.withColumn("b", F.shiftrightunsigned("h", 64 - bits) * PARTS + F.col("part")).drop("parts", "part")
 
     # The r-th row of its stratum.
     per_bucket = rows.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("c"))
-    per_bucket = _before(per_bucket, "b", ["stratum"], "c").drop("c")
-    ties = [F.col(x) for x in ("h", "id", *[f"k_{k}" for k in keep])]
-    ranked = rows.withColumn("i", F.row_number().over(W.partitionBy("stratum", "b").orderBy(*ties)).cast("long"))
+    per_bucket = before(per_bucket, "b", ["stratum"], "c", 3).drop("c")
+    ranked = rows.withColumn("i", F.row_number().over(W.partitionBy("stratum", "b").orderBy("h", *alike, "m")).cast("long"))
     ranked = ranked.join(per_bucket, ["stratum", "b"]).withColumn("rank", F.col("before") + F.col("i"))
 
     # Its place when all rows are ordered by fractional rank.
     odd = F.col("rank") * 2 - 1
-    ranked = ranked.withColumn("f", odd / (F.col("of") * 2)).drop("b", "i", "before", "of", "h")
+    ranked = ranked.withColumn("f", odd / (F.col("of") * 2)).drop("b", "i", "before", "of", "h", "m")
     ranked = ranked.withColumn("g", F.least(F.floor(F.col("f") * (1 << bits)), F.lit((1 << bits) - 1)))
-    per_range = _before(ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g", [], "c").drop("c", "of")
+    per_range = before(ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g", [], "c", 3).drop("c", "of")
     placed = ranked.withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("f", "stratum", "rank")).cast("long"))
     placed = placed.join(per_range, "g").withColumn("position", F.col("before") + F.col("i") - 1)
 

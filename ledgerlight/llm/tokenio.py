@@ -8,7 +8,7 @@ footer, the seek table and the index, and decompresses only the frames of the do
 each frame's sum. Any zstandard tool can decompress the whole file.
 
 Files are written by tasks to the shared folder under a name of the attempt and renamed when whole, so a lost
-executor or a repeated task leaves the same file. The manifest, a Parquet table beside them, has one row per file.
+executor or a repeated task leaves the same file, and what a lost attempt had begun is removed. The manifest, a Parquet table beside them, has one row per file.
 
 Defined cases: a null or empty text is its end id alone; null ids come first; rows of the same id follow in the order
 of their text's hash; an empty table gives an empty manifest; further columns are ignored.
@@ -25,18 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..session import ship
-from .common import fresh_path
+from .common import before, fresh_path
 from .tokens import encoder
 
 FRAME = 256 * 1024
 LEVEL = 3
-#: Input to a file where the number of files is left open, and the most files that an estimate may ask for.
-FILE_BYTES, MOST_FILES = 64 << 20, 1_000_000
+#: Text to a file where the number of files is left open.
+FILE_BYTES = 64 << 20
 # Fixed values of the zstandard (seekable) format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -151,19 +150,26 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, files: int |
         store, root = fs.FileSystem.from_uri(folder)
         name = f"part-{part:06d}.ids.zst"
         attempt = f"{root}/.{name}-{uuid.uuid4().hex}"
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                rows = batch.slice(at, 1_000)
-                if writer is None:
-                    store.create_dir(root, recursive=True)
-                    sink = store.open_output_stream(attempt)
-                    writer = Writer(sink, enc.dtype, frame)
-                for doc_id, ids in zip(rows["doc_id"].to_pylist(), enc.ids(rows["text"].to_pylist()), strict=True):
-                    writer.add(doc_id, ids + end)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1_000):
+                    rows = batch.slice(at, 1_000)
+                    if writer is None:
+                        store.create_dir(root, recursive=True)
+                        sink = store.open_output_stream(attempt)
+                        writer = Writer(sink, enc.dtype, frame)
+                    for doc_id, ids in zip(rows["doc_id"].to_pylist(), enc.ids(rows["text"].to_pylist()), strict=True):
+                        writer.add(doc_id, ids + end)
+            if writer:
+                size = writer.close()
+                sink.close()
+                store.move(attempt, f"{root}/{name}")
+        except BaseException:
+            if writer:
+                sink.close()
+                store.delete_file(attempt)
+            raise
         if writer:
-            size = writer.close()
-            sink.close()
-            store.move(attempt, f"{root}/{name}")
             tokens = sum(writer.counts)
             yield pa.RecordBatch.from_pylist(
                 [{"part": part, "file": name, "docs": len(writer.ids), "tokens": tokens, "bytes": size}],
@@ -174,12 +180,21 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, files: int |
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not files:
-        estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FILES, -(-estimate // FILE_BYTES)))
-    (rows.repartitionByRange(files, *keys) if files > 0 else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    _clear(docs.sparkSession, folder)
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def _clear(spark: SparkSession, folder: str) -> None:
+    """Removes what attempts that were lost on the way have left; the whole files have their names by now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.part-*")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in store.globStatus(path) or []:
+        store.delete(left.getPath(), False)
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file."""
 
@@ -202,8 +217,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         )
 
     ship(manifest.sparkSession)
-    order = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
-    files = manifest.select("file", (F.sum("tokens").over(order) - F.col("tokens")).alias("before"))
+    files = before(manifest.select("part", "file", "tokens"), "part", [], "tokens", 3).select("file", "before")
     return files.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 

@@ -282,9 +282,12 @@ def test_passages_in_another_order(spark):
         rows.append((10 + i, f"{say(730 + i, 90)} {' '.join(w[half:] + w[:half])} {say(740 + i, 60)}", "s"))
         rows.append((20 + i, " ".join(w[half:] + w[:half]), "s"))
         rows.append((30 + i, f"{say(750 + i, 40)} {' '.join(w[2 * third :] + w[third : 2 * third] + w[:third])} {say(760 + i, 40)}", "s"))
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.passages(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.passages(documents(spark, rows), benchmark).collect()}
     want = brute_passages(rows, items)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    shuffled = decontam.passages(documents(spark, [*rows, *rows[:3]]), benchmark, whole_rows=False).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in shuffled} == got and len(shuffled) == len(got)
     assert {(d + i, i) for d in (10, 20) for i in range(4)} <= set(want)
 
 
@@ -659,6 +662,16 @@ def test_token_files(spark, tmp_path):
     assert tokenio.token_files(documents(spark, docs).limit(0), BYTE).count() == 0
 
 
+def test_token_files_of_frames_in_memory(spark, tmp_path):
+    docs = documents(spark, [(i, say(i, 20), "s") for i in range(50)])
+    folder = f"file://{tmp_path}/tokens"
+    (tmp_path / "tokens").mkdir()
+    (tmp_path / "tokens" / ".part-000001.ids.zst-lost").write_bytes(b"begun")
+    manifest = tokenio.write(docs, folder, BYTE)
+    assert manifest.count() <= 4 and not list((tmp_path / "tokens").glob(".part-*"))
+    assert tokenio.read(manifest, folder).count() == 50
+
+
 class _File(io.BytesIO):
     def size(self):
         return len(self.getvalue())
@@ -709,6 +722,22 @@ def test_shards_match_the_mixture(spark):
     assert {(x.doc_id, x.position) for x in again if x.doc_id != 3} == {(x.doc_id, x.position) for x in rows if x.doc_id != 3}
 
 
+def test_shards_of_many_rows_without_ids(spark):
+    """10,000 rows without an id, and 2,000 of one id with texts of their own, fall into all buckets."""
+    rows = spark.range(12_000).select(F.when(F.col("id") < 2_000, 7).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("text"), F.lit("hot").alias("source"))
+    seen, real = [], sharding.before
+    sharding.before = lambda counts, order, by, n, *a: (seen.append(counts.agg(F.max(n)).first()[0]), real(counts, order, by, n, *a))[1]
+    try:
+        got = sharding.shard_digest(rows)
+    finally:
+        sharding.before = real
+    assert seen[0] < 12_000 / 4 and seen[1] < 12_000 / 4
+    by = defaultdict(list)
+    for r in got.collect():
+        by[r.shard].append(r.slot)
+    assert sorted(map(len, by.values())) == [500] * 24 and all(sorted(v) == list(range(500)) for v in by.values())
+
+
 def test_shard_digest(spark):
     got = sharding.shard_digest(documents(spark, EDGES)).collect()
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in EDGES)
