@@ -68,7 +68,12 @@ def _bytes(field: T.StructField) -> Column:
     return F.coalesce(size.cast("long"), F.lit(0)) + 16
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if its rows and their bytes, counted here, are few, else as it is."""
+def fits(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` and their bytes, counted here, are few enough to be broadcast."""
     rows, size = df.agg(F.count(F.lit(1)), F.sum(sum((_bytes(f) for f in df.schema.fields), F.lit(0)))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it fits, else as it is."""
+    return F.broadcast(df) if fits(df) else df
