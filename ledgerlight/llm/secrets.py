@@ -3,18 +3,22 @@
 Fixed patterns (``assign``, ``access``, ``hex``) are matched leftmost and without overlaps, each kind on its own.
 
 The battery adds spans of the kind ``random``. Candidates are runs of 20 or more of the characters of base64 and its URL form. A candidate's
-encoding is the smallest alphabet of ``ALPHABETS`` that has all its characters. Its null hypothesis is ordinary
-writing, which departs from an even and independent draw from the alphabet by the margins ``UNEVEN`` (``UNEVEN_WIDE`` for alphabets
-of more than ``WIDE`` characters, of which writing uses a small part) and ``DEPENDENT``:
-
-* chi-squared uniformity of the alphabet: how far below what that unevenness gives is the statistic,
-* runs above and below the alphabet's middle (with a continuity correction, as a count that is just as expected is no proof), and lag-1 serial correlation: how near to nought are they for that dependence.
-
-Each gives a p-value that falls as a token of even, independent characters gets longer. Fisher's method joins the three.
-False discoveries are controlled at ``RATE`` by Benjamini and Hochberg's procedure within each class of length and encoding over all
+encoding is the smallest alphabet of ``ALPHABETS`` that has all its characters; encoding and length class make its stratum. The null
+hypothesis is ordinary writing, as the corpus's own candidates of the stratum show it:
+
+* chi-squared uniformity of the alphabet: the unevenness (the statistic beyond its degrees of freedom, a character) on a log scale. Half of
+  all random tokens are below that of an even draw, so twice their share is what the stratum has of these; the quantiles of the rest give centre and
+  spread under the null. The centre is at least that of the margin ``UNEVEN`` (``UNEVEN_WIDE`` for alphabets of more than ``WIDE`` characters).
+* runs above and below the alphabet's middle (with a continuity correction, as a count that is just as expected is no proof), and lag-1 serial
+  correlation: both are near to nought for independent characters. Their spread under the null is what the rest needs for the stratum's mean square,
+  and is ``SPREAD`` at least.
+
+What the rest shows is weighted against these margins as if ``PRIOR`` more candidates had shown them. Each test gives a standard
+normal score under the null, and the weighted sum of the three (``WEIGHTS``) a p-value that falls as a token of even, independent characters gets longer.
+False discoveries are controlled at ``RATE`` by Benjamini and Hochberg's procedure within each stratum over all
 candidates of the corpus, so short tokens are held to what short ordinary tokens look like. The procedure works on counts of
-p-values in bins (an upper bound of each), so what is gathered is a few rows for any corpus. A random token that
-overlaps a span of a fixed pattern is not added again.
+p-values in bins (an upper bound of each), so what is gathered is a few rows for any corpus. A random token inside a span of a
+fixed pattern is not added again; one that goes beyond it is.
 
 Positions are code points, ends exclusive. Defined cases: a null text is empty; an empty text has no spans, its digest is that of an empty string;
 rows repeated in full are rows like others and count in the corpus's statistics; an empty table gives no rows; texts of any length are
@@ -29,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import written
+
 # Fixed patterns; the least length is of the group named, counted after matching. Runs that must have a least
 # length are matched with it: a greedy run's matches are the same.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -54,10 +60,16 @@ ALPHABETS = {
     "mixed": UPPER + LOWER + DIGITS + "+/-_",
 }
 UNEVEN = 0.7
-#: Calibrated on names and paths of 32 characters and more in source code: at most 0.0007 more of them have p <= 0.0001 than with ``UNEVEN``.
+#: Calibrated on names and paths of 32 characters and more in source code.
 UNEVEN_WIDE = 1.5
 WIDE = 36
-DEPENDENT = 0.35
+#: Least spread of the log of unevenness, and of the scores of runs and serial correlation, under the null hypothesis.
+EVEN_SPREAD, SPREAD = 0.12, 1.3
+PRIOR = 20
+LEVELS = [k / 40 for k in range(1, 40)]
+#: Squares of runs and serial correlation count up to here.
+MOST_SQUARE = 25.0
+WEIGHTS = (3.0, 1.0, 1.0)
 RATE = 0.05
 BIN = 20  # bins for each power of ten of a p-value
 MOST_BIN = 400
@@ -115,7 +127,7 @@ def _tails(z: Column) -> Column:
 
 
 def battery(tokens: Column) -> Column:
-    """For an array of tokens, the stratum (encoding and length class) and p-value bin of each.
+    """For an array of tokens, the stratum (encoding and length class) of each, its letters, and what the three tests measure.
 
     Each step is an array made from the one before, so no value is worked out twice.
     """
@@ -155,49 +167,103 @@ def battery(tokens: Column) -> Column:
         n, w = x["n"], x["w"]
         return F.struct(
             x["e"], n, x["k"], w["changes"], (x["k"] / n * x["squares"] - n).alias("chi"), (w["high"] * 2 * (n - w["high"]) / n).alias("runs"),
-            (w["xx"] - w["x"] * w["x"] / n).alias("variance"), (w["xy"] - w["x"] * w["x"] / n).alias("covariance"), (F.sqrt(n) * DEPENDENT).alias("shift"),
+            (w["xx"] - w["x"] * w["x"] / n).alias("variance"), (w["xy"] - w["x"] * w["x"] / n).alias("covariance"), F.floor(F.log2(n) * 2).alias("class"),
         )
 
     def scaled(x: Column) -> Column:
         n, root = x["n"], F.sqrt(x["n"])
-        uneven = n * F.when(x["k"] > WIDE, UNEVEN_WIDE).otherwise(UNEVEN)
-        even = (x["chi"] - x["k"] + 1 - uneven) / F.sqrt((x["k"] - 1 + uneven * 2) * 2)
         spread = x["runs"] * (x["runs"] - 1) / (n - 1)
         runs = F.when(spread > 0, (F.abs(x["changes"] - x["runs"]) + 0.5) / F.sqrt(spread)).otherwise(root)
         serial = F.when(x["variance"] > 0, F.abs(x["covariance"] / x["variance"] * root + 1 / root)).otherwise(root)
-        return F.struct(x["e"], n, x["shift"], even.alias("even"), runs.alias("runs"), serial.alias("serial"))
+        uneven = (x["chi"] - x["k"] + 1) / n
+        stratum = F.concat_ws(":", x["e"], x["class"].cast("string"))
+        return F.struct(stratum.alias("stratum"), x["k"], F.log(uneven + _shift(x["k"], x["class"])).alias("even"), runs.alias("runs"), serial.alias("serial"), x["class"])
+
+    out = F.transform(tokens, lambda t: F.rtrim(t, F.lit("=")))
+    for step in (encoded, placed, valued, walked, measured, scaled):
+        out = F.transform(out, step)
+    return out
 
-    def tailed(x: Column) -> Column:
-        z = F.array(x["even"], x["runs"] - x["shift"], -x["runs"] - x["shift"], x["serial"] - x["shift"], -x["serial"] - x["shift"])
-        return F.struct(x["e"], x["n"], _tails(z).alias("p"))
 
-    def joined(x: Column) -> Column:
-        p = [x["p"][k] for k in range(5)]
-        half = sum((-F.log(F.greatest(F.lit(1e-12), F.least(q, F.lit(1.0)))) for q in (p[0], p[1] - p[2], p[3] - p[4])), F.lit(0.0))
-        return F.struct(x["e"], x["n"], half.alias("half"))
+def _shift(k: Column, length_class: Column) -> Column:
+    """What makes any unevenness of a token of the class positive."""
+    return 1.000001 + (k - 1) / F.pow(F.lit(2.0), length_class / 2)
 
-    def binned(x: Column) -> Column:
-        h = x["half"]
-        p = F.exp(-h) * (1 + h + h * h / 2)  # Fisher: chi-squared with 6 degrees
+
+def bins_of(measured: Column, null: Column) -> Column:
+    """The p-value's bin of each of an array of ``battery``'s, under the null hypothesis of its stratum (center, spread, runs, serial)."""
+
+    def near(x: Column, spread: Column) -> Column:
+        # The cube root of a chi-squared value of one degree is nearly normal.
+        return (F.pow(x / spread, F.lit(2 / 3)) - 7 / 9) / math.sqrt(2 / 9)
+
+    def score(x: Column) -> Column:
+        of = F.element_at(null, x["stratum"])
+        a, b, c = WEIGHTS
+        z = ((x["even"] - of["center"]) / of["spread"] * a + near(x["runs"], of["runs"]) * b + near(x["serial"], of["serial"]) * c) / math.sqrt(a * a + b * b + c * c)
+        return F.greatest(F.lit(-8.0), z)
+
+    def binned(p: Column) -> Column:
         b = F.floor(-F.log10(F.greatest(F.lit(1e-30), p)) * BIN).cast("int")
-        return F.struct(F.concat_ws(":", x["e"], F.floor(F.log2(x["n"]) * 2).cast("string")).alias("stratum"), F.greatest(F.lit(0), F.least(F.lit(MOST_BIN), b)).alias("bin"))
+        return F.greatest(F.lit(0), F.least(F.lit(MOST_BIN), b))
 
-    out = F.transform(tokens, lambda t: F.rtrim(t, F.lit("=")))
-    for step in (encoded, placed, valued, walked, measured, scaled, tailed, joined, binned):
-        out = F.transform(out, step)
-    return out
+    return F.transform(_tails(F.transform(measured, score)), binned)
+
+
+def nulls(measured: DataFrame) -> list[dict]:
+    """The null hypothesis of each stratum of tokens (stratum, k, class, even, runs, serial); some hundred strata at most."""
+    below = (F.col("even") <= F.log(_shift(F.col("k"), F.col("class")))).cast("long")
+    shown = measured.groupBy("stratum", "k", "class").agg(
+        F.percentile_approx("even", LEVELS).alias("e"), F.avg(F.least(F.col("runs") * F.col("runs"), F.lit(MOST_SQUARE))).alias("r"),
+        F.avg(F.least(F.col("serial") * F.col("serial"), F.lit(MOST_SQUARE))).alias("s"), F.count(F.lit(1)).alias("m"), F.sum(below).alias("below"),
+    )
+    return [null_of(**r.asDict()) for r in shown.collect()]
+
+
+def null_of(stratum: str, k: float, e: list[float], r: float, s: float, m: int, below: int, **rest: float) -> dict:
+    """Center and spread of ordinary tokens' log unevenness, spread of their runs and serial correlation, from what all tokens of a stratum show."""
+    random = min(0.95, 2 * below / m)
+
+    def quantile(u: float) -> float:
+        return e[max(0, min(len(LEVELS) - 1, round((random + (1 - random) * u) * (len(LEVELS) + 1)) - 1))]
+
+    def shrunk(found: float, margin: float) -> float:
+        n = m * (1 - random)
+        return max(margin, (found * n + margin * PRIOR) / (n + PRIOR))
+
+    def spread_of(mean_square: float) -> float:
+        return math.sqrt(max(0.0, (mean_square - random) / (1 - random)))
+
+    margin = math.log((UNEVEN_WIDE if k > WIDE else UNEVEN) + 1.000001 + (k - 1) / 2 ** (rest["class"] / 2))
+    # Of a normal distribution 0.8413 is one spread above its middle.
+    center = quantile(0.5)
+    return {"stratum": stratum, "center": shrunk(center, margin), "spread": shrunk(quantile(0.8413) - center, EVEN_SPREAD), "runs": shrunk(spread_of(r), SPREAD), "serial": shrunk(spread_of(s), SPREAD)}
+
+
+def _map(rows: list, value) -> Column:
+    """A map of strata; some hundred at most."""
+    return F.create_map(*[x for r in rows for x in (F.lit(r["stratum"]), value(r))])
+
+
+def _nulls_map(rows: list) -> Column:
+    return _map(rows, lambda r: F.struct(*[F.lit(float(r[c])).alias(c) for c in ("center", "spread", "runs", "serial")]))
 
 
-def discoveries(docs: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """The least bin that is a discovery, for each stratum that has any; counts over all candidates of all documents."""
+def discoveries(docs: DataFrame, rate: float = RATE) -> list:
+    """For each stratum that has any discovery its null hypothesis and the least bin that is one; counts over all candidates of all documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = docs.filter(text.rlike(TOKEN)).select(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("t"))
-    bins = tokens.select(F.explode_outer(battery(F.col("t"))).alias("b")).select("b.*")
+    measured = written(tokens.select(F.explode_outer(battery(F.col("t"))).alias("b")).select("b.*"), "candidates")
+    of = nulls(measured)
+    if not of:
+        return []
+    bins = measured.select("stratum", bins_of(F.array(F.struct("stratum", "even", "runs", "serial")), _nulls_map(of))[0].alias("bin"))
     bins = bins.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("c"))
     all_of, up = W.partitionBy("stratum"), W.partitionBy("stratum").orderBy(F.desc("bin"))
     bins = bins.withColumn("m", F.sum("c").over(all_of)).withColumn("below", F.sum("c").over(up.rowsBetween(W.unboundedPreceding, 0)))
     held = bins.filter(F.pow(F.lit(10.0), -F.col("bin") / BIN) <= rate * F.col("below") / F.col("m"))
-    return {r["stratum"]: r["b"] for r in held.groupBy("stratum").agg(F.min("bin").alias("b")).collect()}  # some hundred at most
+    least = {r["stratum"]: r["b"] for r in held.groupBy("stratum").agg(F.min("bin").alias("b")).collect()}
+    return [r | {"least": least[r["stratum"]]} for r in of if r["stratum"] in least]
 
 
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -212,15 +278,22 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     out = docs.withColumn("_base", F.array_sort(F.concat(mark(assign, "assign"), mark(spans(text, ACCESS), "access"), mark(spans(text, HEX), "hex"))))
     if not least:
         return out.withColumn("_all", F.col("_base"))
-    bins = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])
     out = out.withColumn("_tokens", spans(text, TOKEN))
-    out = out.withColumn("_bins", battery(F.transform("_tokens", lambda s: s["match"])))
+    known = F.array(*[F.lit(r["stratum"]) for r in least])
+    # Tokens of strata without a discovery are dropped before they are scored.
+    pairs = F.zip_with("_tokens", battery(F.transform("_tokens", lambda s: s["match"])), lambda s, m: F.struct(s.alias("s"), m.alias("m")))
+    out = out.withColumn("_tokens", F.filter(pairs, lambda x: F.array_contains(known, x["m"]["stratum"])))
+    out = out.withColumn("_bins", bins_of(F.transform("_tokens", lambda x: x["m"]), _nulls_map(least)))
+    bins = _map(least, lambda r: F.lit(r["least"]))
     chosen = F.filter(
-        F.zip_with("_tokens", "_bins", lambda s, b: F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), s["end"].alias("end"), (b["bin"] >= F.element_at(bins, b["stratum"])).alias("random"))),
-        lambda s: F.coalesce(s["random"], F.lit(False)) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])),
+        F.zip_with(
+            "_tokens",
+            "_bins",
+            lambda x, b: F.struct(x["s"]["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["s"]["end"].alias("end"), (b >= F.element_at(bins, x["m"]["stratum"])).alias("random")),
+        ),
+        lambda s: F.coalesce(s["random"], F.lit(False)) & ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])),
     )
     chosen = F.transform(chosen, lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    chosen = F.when(F.size("_tokens") > 0, chosen).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return out.withColumn("_all", F.array_sort(F.concat("_base", chosen))).drop("_tokens", "_bins")
 
 

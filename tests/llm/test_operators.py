@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -371,6 +372,95 @@ def test_random_tokens_are_found_among_many_ordinary_ones(spark):
     assert len(plain) == 540 and found >= 30 and sum(got.values()) - found <= 0.1 * found
 
 
+def tested(token):
+    """Stratum, letters, class, and the three measures, in plain Python."""
+    t = token.rstrip("=")
+    e, letters = next((e, a) for e, a in secrets.ALPHABETS.items() if set(t) <= set(a))
+    n, k, v = len(t), len(letters), [letters.index(c) for c in t]
+    kind = int(math.log2(n) * 2)
+    chi = k / n * sum(c * c for c in Counter(t).values()) - n
+    high = [2 * x >= k for x in v]
+    runs = 2 * sum(high) * (n - sum(high)) / n
+    spread = runs * (runs - 1) / (n - 1)
+    changes = sum(a != b for a, b in zip(high, high[1:], strict=False))
+    variance = sum(x * x for x in v) - sum(v) ** 2 / n
+    covariance = sum(x * y for x, y in zip(v, v[1:], strict=False)) - sum(v) ** 2 / n
+    r = (abs(changes - runs) + 0.5) / spread**0.5 if spread > 0 else n**0.5
+    s = abs(covariance / variance * n**0.5 + n**-0.5) if variance > 0 else n**0.5
+    shift = 1.000001 + (k - 1) / 2 ** (kind / 2)
+    return f"{e}:{kind}", k, shift, math.log((chi - k + 1) / n + shift), r, s
+
+
+def random_by_battery(tokens):
+    """Which tokens are discoveries: the null hypotheses, p-values and procedure in plain Python."""
+    by, out = defaultdict(list), set()
+    kinds = {i: int(tested(t)[0].split(":")[1]) for i, t in enumerate(tokens)}
+    for i, t in enumerate(tokens):
+        by[tested(t)[0]].append((i, *tested(t)[1:]))
+    for some in by.values():
+        m = len(some)
+        evens = sorted(x[3] for x in some)
+        null = secrets.null_of(
+            "", some[0][1], [evens[max(0, math.ceil(u * m) - 1)] for u in secrets.LEVELS], *(sum(min(25, x[c] ** 2) for x in some) / m for c in (4, 5)), m,
+            sum(x <= math.log(some[0][2]) for x in evens), **{"class": kinds[some[0][0]]},
+        )
+        center, spread, runs, serial = (null[c] for c in ("center", "spread", "runs", "serial"))
+        bins = {}
+        for i, _, _, e, r, s in some:
+            z = [(e - center) / spread, ((r / runs) ** (2 / 3) - 7 / 9) / (2 / 9) ** 0.5, ((s / serial) ** (2 / 3) - 7 / 9) / (2 / 9) ** 0.5]
+            z = max(-8, sum(a * b for a, b in zip(z, secrets.WEIGHTS, strict=True)) / sum(a * a for a in secrets.WEIGHTS) ** 0.5)
+            bins[i] = max(0, min(secrets.MOST_BIN, math.floor(-math.log10(max(1e-30, math.erfc(-z / 2**0.5) / 2)) * secrets.BIN)))
+        least = [b for b in set(bins.values()) if 10 ** (-b / secrets.BIN) <= secrets.RATE * sum(x >= b for x in bins.values()) / m]
+        out |= {i for i, b in bins.items() if least and b >= min(least)}
+    return out
+
+
+def identifiers(r, n, lo, hi):
+    some = "account adapter address argument buffer builder cache channel client column command content context controller current database default document element error event factory field filter handler helper image index input instance item layout length list loader local manager message method model name node number object option output page param parent parser path plugin point policy process property provider query queue reader record request resource response result router schema scope server service session source state status storage stream string style table target task template thread token type user value vector version view widget window worker writer".split()
+    out = []
+    while len(out) < n:
+        words = r.sample(some, 8)
+        while len("".join(words)) > hi:
+            words.pop()
+        name = words[0] + "".join(w.title() for w in words[1:])
+        if lo <= len(name) <= hi:
+            out.append(name)
+    return out
+
+
+def test_battery_is_what_plain_python_gives(spark):
+    r = random.Random(31)
+    letters = secrets.ALPHABETS["base62"]
+    drawn = ["".join(r.choice(letters) for _ in range(r.randint(20, 60))) for _ in range(150)]
+    plain = [x for lo in (20, 24, 32, 46) for x in identifiers(r, 100, lo, lo + 8)]
+    other = ["a" * 30, "0" * 24, "x_y-z_" * 6, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "path/to/some/file/in/a/folder", "q" * 19 + "Z==", "".join(r.choice("0123456789") for _ in range(40))]
+    tokens = drawn + plain + other
+    got = {x.doc_id for x in secrets.digest(documents(spark, [(i, f"x {t} y", "s") for i, t in enumerate(tokens)])).collect() if x.n_random}
+    want = random_by_battery(tokens)
+    assert len(want) >= 75 and len(got ^ want) <= 2  # values on a bin's edge
+
+
+@pytest.mark.parametrize("n, recall", [(24, 0.8), (28, 0.9), (32, 0.95), (40, 0.95), (60, 0.99)])
+def test_recall_and_false_rate_among_identifiers(n, recall):
+    r = random.Random(n)
+    letters = secrets.ALPHABETS["base62"]
+    drawn = ["".join(r.choice(letters) for _ in range(n)) for _ in range(400)]
+    found = random_by_battery(drawn + identifiers(r, 400, n - 3, n + 3))
+    true = sum(i < 400 for i in found)
+    assert true >= recall * 400 and len(found) - true <= 0.08 * len(found)
+
+
+def test_a_token_that_goes_beyond_a_pattern_is_redacted_whole(spark):
+    r = random.Random(41)
+    letters = secrets.ALPHABETS["base62"]
+    draw = lambda n: "".join(r.choice(letters) for _ in range(n))
+    token = draw(40) + "".join(r.choice("0123456789abcdef") for _ in range(27)) + draw(36)
+    rows = [(1, f"see {token} end", "s"), *[(10 + i, f"see {draw(100)} end", "s") for i in range(20)], *[(100 + i, t, "s") for i, t in enumerate(identifiers(r, 20, 40, 60))]]
+    found = {x.doc_id: x.spans for x in secrets.digest(documents(spark, rows)).collect()}
+    assert "hex:" in found[1] and f"random:4:{4 + len(token)}" in found[1]
+    assert {x.doc_id: x.text for x in secrets.redacted(documents(spark, rows)).collect()}[1] == "see [redacted] end"
+
+
 def test_redaction(spark):
     text = "see password = hunter22 and " + "0123456789abcdef" * 2 + " end"
     out = {r.doc_id: r for r in secrets.redacted(documents(spark, [(1, text, "s"), (2, None, "s"), (3, "clean", "s")])).collect()}
