@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 written as Parquet and read again for the next one. All but the last return the columns of documents.
 
 * quality classifier: documents that it rejects go.
-* n-gram Jaccard join: the smallest id of each class stays; a row repeated in full stays once.
+* n-gram Jaccard join: the smallest id of each class stays; rows of one id and one text are copies of each other, and one of them stays.
 * benchmark decontamination: documents that hold a benchmark item go.
 * secret scans: every span found is replaced by ``[redacted]`` in the text, and n_chars follows; no document goes.
 * packing: the pieces of all documents that are left.
