@@ -95,11 +95,23 @@ def touched_filers(txn: DataFrame, donors: DataFrame) -> DataFrame:
     return txn.join(donors.select("donor_id"), "donor_id", "left_semi").select("filer_id").distinct()
 
 
-def adopted_spellings(decisions: DataFrame, rounds: int = 5) -> DataFrame:
-    """(name, spelling): each merged name's kept one by the latest decision, followed through chains of at most ``rounds``; a cycle ends where it began."""
+def adopted_spellings(decisions: DataFrame) -> DataFrame:
+    """(name, spelling): each merged name's kept one by the latest decision, followed through chains of any length; a chain that runs into a
+    cycle ends at the cycle's smallest name.
+
+    Each round follows twice as far as the one before, so rounds grow with the logarithm of the longest chain.
+    """
     first = first_by(decisions.filter("decision = 'merge'"), ["merged_name"], [F.desc_nulls_last("decided_at"), F.asc("pair_key")]).select(F.col("merged_name").alias("name"), F.col("kept_name").alias("spelling"))
-    out = first
-    for _ in range(rounds):
-        step = first.select(F.col("name").alias("spelling"), F.col("spelling").alias("_next"))
-        out = out.join(step, "spelling", "left").select("name", F.when(F.col("_next").isNull() | (F.col("_next") == F.col("name")), F.col("spelling")).otherwise(F.col("_next")).alias("spelling"))
-    return out
+    out = cut(first.filter("name <> spelling").withColumn("least", F.col("spelling")), "spellings")
+    left, reach = out.count(), 1
+    while reach <= 2 * left:  # a chain is no longer than there are names
+        step = out.select(F.col("name").alias("spelling"), F.col("spelling").alias("_next"), F.col("least").alias("_least"))
+        joined = out.join(step, "spelling", "left")
+        moved = joined.filter("_next is not null").limit(1).count()
+        out = cut(joined.select("name", F.coalesce("_next", "spelling").alias("spelling"), F.least("least", "_least").alias("least")), "spellings")
+        if not moved:
+            break
+        reach *= 2
+    # What still has a next name is on a cycle, or runs into one: by now it has seen all of it.
+    on = out.select(F.col("name").alias("spelling"), F.col("least").alias("_cycle"))
+    return out.join(on, "spelling", "left").select("name", F.coalesce("_cycle", "spelling").alias("spelling")).unionByName(first.filter("name = spelling"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import values as V
-from ..functions.fuzzy import token_set_ratio, token_sort_ratio
+from ..functions.fuzzy import name_ratio, token_set_ratio, token_sort_ratio
 from ..functions.text import alias_key, blank, committee_eligible, committee_norm, embedded_id, entity_id, norm_addr, norm_employer, norm_name, soundex, zip5
 from ..session import ship
 from ..store import small
@@ -45,42 +45,56 @@ def name_edges(rows: DataFrame, key: str = "alias") -> DataFrame:
     return rows.filter("z5 <> ''").withColumn("b", least).filter(F.col(key) != F.col("b")).select(F.col(key).alias("a"), "b").distinct()
 
 
-def alike(rows: DataFrame, key: str, by: str, carried: list[str], block: int, least: float) -> DataFrame:
-    """Every pair of rows of one ``by`` whose ``nname`` scores ``least`` or more, in columns with _a and _b; ``key`` orders the pair.
+def alike(rows: DataFrame, key: str, by: str, carried: list[str], block: int, least: float, also: Column | None = None) -> DataFrame:
+    """Every pair of rows of one ``by`` whose ``nname`` scores ``least`` or more (or for which ``also`` holds), in columns with _a and _b; ``key`` orders the pair.
 
     A group of more than ``block`` rows is dealt into parts, and each two parts (and each with itself) are compared as one tile, so no
-    task gets a whole group. A score of s needs a common subsequence of s/200 of both lengths; that has no more of any character
-    than either name, so only pairs whose common characters reach it are scored. No pair is lost, whatever the size of its group.
+    task gets a whole group. The score is the greater of the ratios of sorted words and of word sets. Names that share no word, and repeat none, have the
+    same of both; a score of s then needs a common subsequence of s/200 of both lengths, which has no more of any character
+    than either name, so such pairs are scored only if their common characters reach it. No pair is lost, whatever the size of its group.
     """
     parts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_g")).filter("_g > 1")
     rows = rows.join(parts, by, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
     rows = rows.withColumn("_i", F.pmod(F.xxhash64(key, "nname", *carried), F.col("_g")).cast("int"))
     # The words in order, as the score has them.
-    rows = rows.withColumn("_t", F.array_join(F.array_sort(F.filter(F.split(F.coalesce("nname", F.lit("")), r"(?U)\s+"), lambda w: w != "")), " ")).withColumn("_l", F.length("_t"))
+    words = F.array_sort(F.filter(F.split(F.coalesce("nname", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    rows = rows.withColumn("_w", words).withColumn("_t", F.array_join("_w", " ")).withColumn("_l", F.length("_t"))
+    rows = rows.withColumn("_r", F.size(F.array_distinct("_w")) < F.size("_w"))
     # Characters with their number so far, so that a set has each as often as the name: a, a1, a2.
     letters = F.array_sort(F.filter(F.split("_t", ""), lambda c: c != ""))
     rows = rows.withColumn("_c", letters).withColumn("_c", F.transform("_c", lambda c, i: F.concat(c, (i - F.array_position("_c", c)).cast("string"))))
     each = F.sequence(F.lit(0), F.col("_g") - 1)
-    held = [key, "nname", *carried, "_l", "_c", "_i"]
+    held = [key, "nname", *carried, "_l", "_c", "_i", "_w", "_r"]
     tiles = F.transform(each, lambda j: F.struct(F.least("_i", j).alias("x"), F.greatest("_i", j).alias("y")))
     rows = rows.withColumn("_tile", F.explode(tiles))
     a, b = (rows.select(by, F.col("_tile.x").alias("_x"), F.col("_tile.y").alias("_y"), *[F.col(c).alias(f"{c}_{x}") for c in held]) for x in "ab")
     lengths = F.least("_l_a", "_l_b") * 200 >= (F.col("_l_a") + F.col("_l_b")) * least
     shared = F.size(F.array_intersect("_c_a", "_c_b")) * 200 >= (F.col("_l_a") + F.col("_l_b")) * least
+    able = (lengths & shared) | F.arrays_overlap("_w_a", "_w_b") | F.col("_r_a") | F.col("_r_b")
+    able = able if also is None else able | also
     first = F.col(f"{key}_a") < F.col(f"{key}_b")
     a, b = a.alias("a"), b.alias("b")
     met = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y"))
     # A pair of one part is compared in that part's own tile only.
-    same = ((F.col("_i_a") != F.col("_i_b")) | (F.col("a._x") == F.col("a._y"))) & first & lengths & shared
+    same = ((F.col("_i_a") != F.col("_i_b")) | (F.col("a._x") == F.col("a._y"))) & first & able
     pairs = a.join(b, met & same).select(f"a.{by}", *[f"{c}_{x}" for x in "ab" for c in held if not c.startswith("_")])
-    return pairs.withColumn("score", token_sort_ratio("nname_a", "nname_b")).filter(F.col("score") >= least)
+    enough = F.col("score") >= least
+    return pairs.withColumn("score", name_ratio("nname_a", "nname_b")).filter(enough if also is None else enough | also)
+
+
+def _changed_name() -> Column:
+    """Same address, same first name, another surname."""
+    first, last = (tuple(F.element_at(F.split(f"nname_{x}", " "), k) for x in "ab") for k in (1, -1))
+    return (F.col("akey_a") != "") & (F.col("akey_a") == F.col("akey_b")) & (first[0] != "") & (first[0] == first[1]) & (last[0] != last[1])
 
 
 def similar_pairs(rows: DataFrame, key: str = "alias", block: int = BLOCK, least: float = REVIEW) -> DataFrame:
-    """All pairs of one block (surname's sound and zip) with a similar name, scored; large blocks are compared in tiles."""
+    """All pairs of one block (surname's sound and zip; rows without a zip are in none) with other names that are similar, or whose surname may have
+    changed, scored; large blocks are compared in tiles.
+    """
     ship(rows.sparkSession)
-    names = rows.select("block", key, "nname", "akey", "emp").distinct()
-    return alike(names, key, "block", ["akey", "emp"], block, least)
+    names = rows.filter(~F.col("block").endswith("|")).select("block", key, "nname", "akey", "emp").distinct()
+    return alike(names, key, "block", ["akey", "emp"], block, least, _changed_name()).filter("nname_a <> nname_b")
 
 
 def constrained(pairs: DataFrame, decisions: DataFrame, a: str, b: str) -> DataFrame:
@@ -90,11 +104,11 @@ def constrained(pairs: DataFrame, decisions: DataFrame, a: str, b: str) -> DataF
 
 
 def verdicts(pairs: DataFrame, auto: float = AUTO) -> DataFrame:
-    """auto, or the class under which a reviewer sees the pair."""
+    """auto, or the class under which a reviewer sees the pair: same_address, name_only, possible_name_change; null for a pair that nobody has to see."""
     address = (F.col("akey_a") == F.col("akey_b")) & (F.col("akey_a") != "")
     employer = (F.col("emp_a") == F.col("emp_b")) & (F.col("emp_a") != "")
     strong = F.col("score") >= auto
-    verdict = F.when(strong & (address | employer), "auto").when(address, "same_address").when(strong, "name_only").otherwise("possible_name_change")
+    verdict = F.when(strong & (address | employer), "auto").when((F.col("score") >= REVIEW) & ~strong & address, "same_address").when(strong, "name_only").when(_changed_name(), "possible_name_change")
     return pairs.withColumn("verdict", verdict)
 
 
@@ -114,26 +128,28 @@ def review_queue(pairs: DataFrame, limit: int = V.REVIEW_ROWS) -> DataFrame:
     return pairs.filter("verdict <> 'auto'").orderBy(F.desc("score"), "alias_a", "alias_b").limit(limit)
 
 
-def committee_suggestions(tuples: DataFrame, committees: DataFrame, least: float = 88.0, first: int = 50) -> DataFrame:
-    """Names that may be a committee's under another spelling: the first hit among the first candidates of the same first word."""
+def committee_suggestions(tuples: DataFrame, committees: DataFrame, least: float = 88.0, first: int | None = 50) -> DataFrame:
+    """Names that may be a committee's under another spelling: the first hit among the ``first`` candidates (None: all) of the same first word."""
     ship(tuples.sparkSession)
     names = committees.select(committee_norm("name").alias("cname"), "filer_id").withColumn("word", F.get(F.split("cname", " "), F.lit(0)))
-    names = names.withColumn("place", F.row_number().over(W.partitionBy("word").orderBy("cname", "filer_id"))).filter(F.col("place") <= first)
+    names = names.withColumn("place", F.row_number().over(W.partitionBy("word").orderBy("cname", "filer_id")))
+    names = names if first is None else names.filter(F.col("place") <= first)
     rows = tuples.filter(committee_eligible("raw_name", "book_type") & (F.col("n") >= 5)).withColumn("dname", committee_norm("raw_name")).withColumn("word", F.get(F.split("dname", " "), F.lit(0)))
     hits = rows.select("raw_name", "dname", "word").distinct().join(small(names), "word").withColumn("score", token_sort_ratio("dname", "cname"))
     hits = hits.filter((F.col("score") >= least) & (F.col("score") < 100))
     return hits.withColumn("_n", F.row_number().over(W.partitionBy("raw_name").orderBy("place"))).filter("_n = 1").select("raw_name", "filer_id", "cname", "score")
 
 
-def frequent_name_matches(txn: DataFrame, name: str, limit: int = 10_000, least: float = REVIEW, matches: int = 10) -> DataFrame:
+def frequent_name_matches(txn: DataFrame, name: str, limit: int | None = 10_000, least: float = REVIEW, matches: int = 10) -> DataFrame:
     """Similar pairs among the most frequent names, ten best of each; names meet those that share a word, however common.
 
-    The most frequent names are a stated top-k. Names that share no word (each word spelt differently) are not compared.
+    The most frequent names are a stated top-k; with ``limit`` None all names take part. Names that share no word (each word spelt differently) are not compared.
     """
     ship(txn.sparkSession)
-    top = txn.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(limit)
+    top = txn.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    top = top if limit is None else top.orderBy(F.desc("n"), "name").limit(limit)
     words = top.withColumn("nname", norm_name("name")).withColumn("word", F.explode(F.array_distinct(F.split("nname", " "))))
-    pairs = alike(words, "name", "word", ["n"], BLOCK, least).drop("word").distinct()
+    pairs = alike(words, "name", "word", ["n"], BLOCK, least).drop("word").distinct().filter("name_a <> name_b")
     return pairs.withColumn("_n", F.row_number().over(W.partitionBy("name_a").orderBy(F.desc("score"), "name_b"))).filter(F.col("_n") <= matches).drop("_n")
 
 

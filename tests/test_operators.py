@@ -149,6 +149,10 @@ def test_spellings_follow_chains(spark):
     df = spark.createDataFrame(rows, "pair_key string, decision string, kept_name string, merged_name string, decided_at timestamp")
     got = {r.name: r.spelling for r in graph.adopted_spellings(df).collect()}
     assert got["A"] == "C" and got["B"] == "C" and set(got) == {"A", "B", "X", "Y"}
+    assert got["X"] == got["Y"] == "X"  # a cycle ends at its smallest name
+    long = [(f"p{k}", "merge", f"n{k + 1:03d}", f"n{k:03d}", None) for k in range(40)] + [("q0", "merge", "X", "W", None), *rows[2:]]
+    got = {r.name: r.spelling for r in graph.adopted_spellings(spark.createDataFrame(long, df.schema)).collect()}
+    assert {got[f"n{k:03d}"] for k in range(40)} == {"n040"} and got["W"] == "X"
 
 
 def test_resolver(spark):
@@ -168,16 +172,96 @@ def test_resolver(spark):
     assert {r.entity_id for r in new.collect() if r.alias.startswith("john smith|9")} == {"dKNOWN"}
 
 
+def people(spark, *rows):
+    full = [(n, a, "", "", z, e, "", "", "Individual", 3) for n, a, z, e in rows]
+    return resolve.keyed(spark.createDataFrame(full, "raw_name string, addr string, city string, state string, zip string, employer string, occupation string, cid string, book_type string, n int"))
+
+
+def entities(keyed):
+    names = {r.alias: r.raw_name for r in keyed.collect()}
+    return {names[r.alias]: r.entity_id for r in resolve.clusters(keyed).collect()}
+
+
+def test_a_middle_name_at_one_address_is_one_donor(spark):
+    got = entities(people(spark, ("John Smith", "1 Main St", "97201", ""), ("John Quincy Smith", "1 Main St", "97201", ""), ("John Adam Smith", "7 Oak St", "97201", "")))
+    assert got["John Smith"] == got["John Quincy Smith"] != got["John Adam Smith"]
+
+
+def test_blank_zips_never_meet(spark):
+    keyed = people(spark, ("Alan Jones", "", "", "Acme"), ("Allan Jones", "", "", "Acme"), ("Alan Jonas", "1 Elm", None, "Acme"))
+    assert len(set(entities(keyed).values())) == 3 and resolve.similar_pairs(keyed).count() == 0
+
+
+def test_review_classes(spark):
+    keyed = people(
+        spark, ("Maria Lopez", "1 Main St", "97201", ""), ("Maria Lubbesmeyerson", "1 Main St", "97201", "Acme"), ("Jon Smith", "2 Elm", "97209", ""), ("John Smyth", "2 Elm", "97209", ""),
+        ("Kathryn Brown", "3 Oak", "97301", ""), ("Kathryn Browne", "4 Oak", "97301", ""), ("Maria Lapez", "9 Far St", "97201", ""),
+    )
+    found = {frozenset((r.nname_a, r.nname_b)): r.verdict for r in resolve.verdicts(resolve.similar_pairs(keyed)).collect()}
+    assert found[frozenset(("jon smith", "john smyth"))] == "same_address"
+    assert found[frozenset(("kathryn brown", "kathryn browne"))] == "name_only"
+    changed = [k for k, v in found.items() if v == "possible_name_change"]
+    assert all(len({n.split()[0] for n in k}) == 1 and len({n.split()[-1] for n in k}) == 2 for k in changed)
+    same_sound = people(spark, ("Ann Lee", "1 Main St", "97201", ""), ("Ann Lowoeyuai", "1 Main St", "97201", ""))
+    assert [r.verdict for r in resolve.verdicts(resolve.similar_pairs(same_sound)).collect()] == ["possible_name_change"]
+    queue = resolve.review_queue(resolve.verdicts(resolve.similar_pairs(same_sound)))
+    assert queue.count() == 1 and queue.first().score < 80
+
+
+def test_ratios_of_many_pairs_are_those_of_one():
+    import random
+
+    from ledgerlight.functions import fuzzy
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 9)))
+    names = ["", "a", "x" * 80, "b a", "a b a", *[" ".join(word() for _ in range(r.randint(1, 6))) for _ in range(400)], " ".join(word() for _ in range(30))]
+    a, b = zip(*[(r.choice(names), r.choice(names)) for _ in range(3000)])
+    some = list(zip(a, b))
+    assert fuzzy.sort_ratios(list(a), list(b)) == pytest.approx([fuzzy.token_sort(x, y) for x, y in some])
+    assert fuzzy.set_ratios(list(a), list(b)) == pytest.approx([fuzzy.token_set(x, y) for x, y in some])
+    assert fuzzy.lcs_many(list(a), list(b)).tolist() == [fuzzy.lcs(x, y) for x, y in some]
+
+
+def test_committee_suggestions(spark):
+    tuples = spark.createDataFrame([("Friends of Ann Leee", "", 9), ("Friends of Ann Lee", "", 9), ("Friends of Zed", "", 9), ("Friends of Ann Lea", "", 1)], "raw_name string, book_type string, n int")
+    rows = [(str(k), f"Friends of A{k:03d}") for k in range(60)] + [("900", "Friends of Ann Lee")]
+    committees = spark.createDataFrame(rows, "filer_id string, name string")
+    tuples = tuples.withColumn("book_type", F.lit(V.COMMITTEES[0]))
+    assert resolve.committee_suggestions(tuples, committees).filter("filer_id = '900'").count() == 0  # beyond the first fifty, as stated
+    got = {r.raw_name: (r.filer_id, 88 <= r.score < 100) for r in resolve.committee_suggestions(tuples, committees, first=None).collect()}
+    assert got["Friends of Ann Leee"] == ("900", True) and "Friends of Zed" not in got and "Friends of Ann Lea" not in got
+
+
+def test_exact_committees_constraints_and_links(spark):
+    tuples = people(spark, ("Ann Lee", "", "1", ""), ("Miners PAC (77)", "", "1", ""), ("Growers PAC", "", "1", "")).withColumn("book_type", F.lit(V.COMMITTEES[0]))
+    tuples = tuples.withColumn("cid", F.when(F.col("raw_name") == "Ann Lee", "5").otherwise(""))
+    committees = spark.createDataFrame([("77", "Old Miners"), ("8", "Growers PAC"), ("9", "Twin"), ("10", "twin")], "filer_id string, name string")
+    assert {r.raw_name: r.committee for r in resolve.exact_committees(tuples, committees).collect()} == {"Ann Lee": "5", "Miners PAC (77)": "77", "Growers PAC": "8"}
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "a string, b string")
+    apart = spark.createDataFrame([("c", "b", "separate"), ("a", "b", "merge")], "name_a string, name_b string, decision string")
+    assert {(r.a, r.b) for r in resolve.constrained(pairs, apart, "a", "b").collect()} == {("a", "b"), ("c", "a")}
+    who = spark.createDataFrame([("d1", "Lee, Ann"), ("d2", "Bob")], "donor_id string, display_name string")
+    candidates = spark.createDataFrame([("Ann Lee", "ann_lee"), (None, "none")], "candidate_name string, slug string")
+    from ledgerlight.functions.text import norm_name
+
+    linked = {r.donor_id: r.related_filer_slug for r in resolve.candidate_links(who, candidates, norm_name("display_name")).collect()}
+    assert linked == {"d1": "ann_lee", "d2": None}
+    assert {(r.raw_name, r.n) for r in resolve.contributor_tuples(tuples.drop("n").unionByName(tuples.drop("n"))).collect()} == {("Ann Lee", 2), ("Miners PAC (77)", 2), ("Growers PAC", 2)}
+    named = spark.createDataFrame([("e", "Ann", 2), ("e", "Anne", 3), ("e", "Ann", 1)], "entity_id string, raw_name string, n int")
+    assert resolve.most_common_name(named).first().name == "Ann"
+
+
 def test_similar_names_of_large_groups(spark):
     import random
 
-    from ledgerlight.functions.fuzzy import token_sort
+    from ledgerlight.functions.fuzzy import token_set, token_sort
 
     r = random.Random(11)
     first = "catherine kathryn katherine john jon joan marian marianne robert rupert elizabeth elisabeth a b c".split()
     names = sorted({" ".join(r.sample(first, 2) + [r.choice(["smith", "smyth", "smithe"])]) for _ in range(700)} | {"smith xavier quentin", "quentin xavier smith", "t jonathan smith", "jonathan smith", "catherine smith", "kathryn smith"})
     assert len(names) > 2 * resolve.BLOCK
-    want = {(x, y) for i, x in enumerate(names) for y in names[i + 1 :] if token_sort(x, y) >= 80}
+    want = {(x, y) for i, x in enumerate(names) for y in names[i + 1 :] if max(token_sort(x, y), token_set(x, y)) >= 80}
     assert ("quentin xavier smith", "smith xavier quentin") in want and ("jonathan smith", "t jonathan smith") in want
     rows = spark.createDataFrame([("S530|97201", n, n, "", "") for n in names], "block string, alias string, nname string, akey string, emp string")
     for block in (resolve.BLOCK, 50, 10_000):
@@ -250,3 +334,67 @@ def test_browse(spark):
         with pytest.raises(ValueError, match="SELECT"):
             explore.validated(bad)
     assert explore.validated(" -- note\n select 1 ; ") == "-- note\n select 1"
+
+
+def test_evidence_gates(spark):
+    parts = spark.createDataFrame([("s1", "a", "d", "r", 1), ("s1", "a", "d", "r", 1), ("s2", "a", "d", "r", 1), ("s2", "b", "d", "r", 1)], "scope string, snapshot_id string, digest string, range string, version int")
+    assert [r.scope for r in reconcile.paired_captures(parts).collect()] == ["s1"]
+    captures = spark.createDataFrame([("f", datetime(2020, 1, 1), "d", "r")], "filer_id string, captured_at timestamp, digest string, range string")
+    evidence = spark.createDataFrame([("f", datetime(2020, 1, d), g, "r") for d, g in ((1, "d"), (2, "d"), (3, "other"))], "filer_id string, collected_at timestamp, digest string, range string")
+    assert [r.collected_at.day for r in reconcile.current_evidence(evidence, captures).collect()] == [2]  # strictly after, same digest
+    rows = spark.createDataFrame([("f", "d", "c1"), ("f", "d", "c2"), ("g", "d", "c1")], "filer_id string, digest string, capture_id string")
+    proof = spark.createDataFrame([("f", "d", "c1", 2), ("f", "d", "c2", 1)], "filer_id string, digest string, capture_id string, version int")
+    assert [tuple(r)[0:1] + (r.capture_id,) for r in reconcile.annual_treatment(rows, proof, 2).collect()] == [("f", "c1")]
+    flags = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, ok boolean")
+    assert [r.id for r in reconcile.gate(flags, "ok").collect()] == [1]
+
+
+def test_diffs_refusals_and_ranges(spark):
+    diffs = spark.createDataFrame([(1, [5], [6, 7], [7], 1, 1), (2, [6], [6], [], 1, 0), (3, [], [6], [8], 0, 1), (4, [5], [6], [], 2, 0)], "id int, missing array<int>, held array<int>, surplus array<int>, n_missing int, n_surplus int")
+    assert [r.id for r in reconcile.consistent_diffs(diffs).collect()] == [1]
+    reasons = spark.createDataFrame([(["a", "b"],), (["a"],), ([],)], "reasons array<string>")
+    assert {r.reason: r.n for r in reconcile.refusals(reasons).collect()} == {"a": 2, "b": 1}
+    ranges = spark.createDataFrame([("s", 1, 9), ("s", 3, 12), ("t", 1, 2), ("t", 5, 6)], "scope string, start int, end int")
+    assert [tuple(r) for r in reconcile.common_range(ranges).collect()] == [("s", 3, 9)]
+    tree = spark.createDataFrame([(1, None, 10), (2, 1, 4), (3, 1, 5), (4, 3, 5)], "id int, parent int, n int")
+    assert [tuple(r) for r in reconcile.partition_sums(tree).collect()] == [(1, 10, 9)]
+
+
+def test_exempt_loans_of_statements_that_report_none(spark):
+    sub = "Loan Received (Exempt)"
+    rows = txn(spark, ("f1", "d", "x", "2020-05-01", 10, "OR", sub), ("f1", "d", "x", "2021-05-01", 11, "OR", sub), ("f2", "d", "x", "2020-05-01", 12, "OR", sub), ("f1", "d", "x", "2020-06-01", 13, "C", CASH))
+    names = [c for c in V.STATEMENT_FIELDS]
+    zero = dict.fromkeys(names, Decimal(0)) | {"contributions": Decimal(13), "ending_cash_balance": Decimal(13)}
+    statements = [{"filer_id": f, "year": y, **zero, **more} for f, y, more in (("f1", 2020, {}), ("f1", 2021, {"loans_received_exempt": Decimal(11)}), ("f2", 2020, {"ending_cash_balance": Decimal(99)}))]
+    frame = spark.createDataFrame([tuple(r[c] for c in ("filer_id", "year", *names)) for r in statements], "filer_id string, year int, " + ", ".join(f"{c} decimal(18,2)" for c in names))
+    left = {(r.filer_id, int(r.amount)) for r in reconcile.exempt_loans_suppressed(rows, frame).collect()}
+    assert left == {("f1", 11), ("f2", 12), ("f1", 13)}  # one that doesn't add up proves nothing
+
+
+def test_months_of_a_cycle_and_pooled_rows(spark):
+    assert [timeline.elapsed_months(m, 1998) for m in ("1996-11", "1996-12", "1997-12", "1998-11", "1999-05")] == [1, 1, 13, 24, 24]
+    rows = ranking.netted(txn(spark, *GIFTS))
+    pulse = {r.donor_key for r in ranking.pulse(rows, "1990-01-01", "1999-01-01").collect()} if hasattr(ranking, "pulse") else set()
+    assert f"label:{V.POOLED}" not in pulse
+
+
+def test_contested_races_and_history(spark):
+    candidates = spark.createDataFrame([("gov", "statewide", "a"), ("gov", "statewide", "b"), ("d1", "house", "c"), ("d1", "house", None), ("d2", "house", "x"), ("d3", "house", "y"), ("d3", "house", "z")], "race string, tier string, slug string")
+    raised = spark.createDataFrame([("a", 5), ("c", 7), ("y", 9), ("x", 100)], "slug string, raised int")
+    totals = elections.race_totals(candidates, raised, ["race", "tier"])
+    assert {r.race: (int(r.raised), r.matched, r.candidates) for r in totals.collect()} == {"gov": (5, 2, 2), "d1": (7, 1, 2), "d2": (100, 1, 1), "d3": (9, 2, 2)}
+    assert {r.race: r["rank"] for r in elections.contested(totals, "tier", others=1).collect()} == {"gov": None, "d3": 1}
+    margins = spark.createDataFrame([(2020, "1", "Ann", 10, 2.5)], "year int, district string, winner string, votes int, margin double")
+    matched = spark.createDataFrame([(2020, "1", "Ann", "a"), (2020, "1", "Bob", None)], "year int, district string, candidate string, slug string")
+    history = elections.district_history(margins, matched, spark.createDataFrame([(2020, "a", 50)], "year int, slug string, raised int")).first()
+    assert (int(history.raised), history.matched, history.candidates, history.margin) == (50, 1, 2, 2.5)
+
+
+def test_readers_sql_runs_once_and_in_time(spark):
+    rows, more = explore.run_sql(spark, "select id from t order by id;", {"t": spark.range(9).toDF("id")}, limit=4)
+    assert [r.id for r in rows.collect()] == [0, 1, 2, 3] and more
+    with pytest.raises(TimeoutError):
+        explore.run_sql(spark, "select java_method('java.lang.Thread', 'sleep', 20000L + id) as s from t", {"t": spark.range(2).toDF("id")}, seconds=1.0)
+    assert explore.run_sql(spark, "select 1 as one", {})[0].first().one == 1
+    public = explore.public_view(txn(spark, *GIFTS), {"amount": "gift", "filer_id": "committee"})
+    assert public.columns == ["gift", "committee"]
