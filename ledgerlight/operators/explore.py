@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,14 +113,35 @@ def validated(text: str) -> str:
     return sql
 
 
-def run_sql(spark: SparkSession, text: str, views: dict[str, DataFrame], limit: int = V.SQL_ROWS) -> tuple[DataFrame, bool]:
-    """A reader's SELECT over listed views: the first rows, and whether there are more. The views are there for its time only."""
+def run_sql(spark: SparkSession, text: str, views: dict[str, DataFrame], limit: int = V.SQL_ROWS, seconds: float = 30.0) -> tuple[DataFrame, bool]:
+    """A reader's SELECT over listed views: the first rows, and whether there are more. The views are there for its time only.
+
+    The query runs once, and its jobs are cancelled after ``seconds``, with a TimeoutError.
+    """
     sql = validated(text)
     for name, df in views.items():
         df.createOrReplaceTempView(name)
+    tag, late, sc = f"reader-{uuid.uuid4().hex}", threading.Event(), spark.sparkContext
+    held = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.setJobGroup(tag, "a reader's query", interruptOnCancel=True)
     try:
+        timer.start()
         rows = spark.sql(f"SELECT * FROM ({sql}) q LIMIT {limit + 1}")
-        return rows.limit(limit), rows.count() > limit
+        schema, got = rows.schema, rows.collect()  # limit + 1 at most
+        return spark.createDataFrame(got[:limit], schema), len(got) > limit
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"the query took more than {seconds:g} seconds") from error
+        raise
     finally:
+        timer.cancel()
+        for key, value in held.items():
+            sc.setLocalProperty(key, value)
         for name in views:
             spark.catalog.dropTempView(name)

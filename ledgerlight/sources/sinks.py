@@ -65,10 +65,11 @@ def publish(tables: dict[str, DataFrame], folder: str, index: str | None = None,
     version = uuid.uuid4().hex
     receipt = {"version": version, "tables": {}}
     for name, df in tables.items():
+        df = cut(df, "publish")  # what is compared is what is written, even if the source moves
         df.write.parquet(f"{folder}/{version}/{name}")
-        back = spark.read.schema(df.schema).parquet(f"{folder}/{version}/{name}")
-        row = F.xxhash64(*back.columns) if back.columns else F.lit(0)
-        n, h = back.agg(F.count(F.lit(1)), F.bit_xor(row)).first()
+        (n, h), found = (_digest(x) for x in (df, spark.read.schema(df.schema).parquet(f"{folder}/{version}/{name}")))
+        if (n, h) != found:
+            raise OSError(f"{name} was not written as it is")
         receipt["tables"][name] = {"rows": n, "digest": h}
     if index and details:
         a, b = (spark.read.parquet(f"{folder}/{version}/{t}").select(key) for t in (index, details))
@@ -79,14 +80,25 @@ def publish(tables: dict[str, DataFrame], folder: str, index: str | None = None,
     out = fs.create(staged, True)
     out.write(bytearray(json.dumps(receipt).encode()))
     out.close()
-    target = hadoop.Path(f"{folder}/current.json")
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError("the new version could not be pointed to")
+    # A rename that replaces what is there: readers find the old pointer or the new one.
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark._jsc.hadoopConfiguration()).rename(staged, hadoop.Path(f"{folder}/current.json"), _overwrite(spark))
     return receipt
 
 
+def _overwrite(spark: SparkSession):
+    """Hadoop's option of a rename, as the array that the call takes."""
+    kind = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = spark._jvm.java.lang.reflect.Array.newInstance(kind, 1)
+    options[0] = next(x for x in kind.getEnumConstants() if x.toString() == "OVERWRITE")
+    return options
+
+
+def _digest(df: DataFrame) -> tuple[int, int]:
+    row = F.xxhash64(*df.columns) if df.columns else F.lit(0)
+    n, h = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)"))).first()
+    return n, int(h or 0)
+
+
 def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
     pointer = json.loads(spark.read.text(f"{folder}/current.json").first()[0])
     return spark.read.parquet(f"{folder}/{pointer['version']}/{name}")
