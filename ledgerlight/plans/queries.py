@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
@@ -512,7 +512,13 @@ def hamilton_apportion(s: Star) -> DataFrame:
     return timeline.apportion(annual, weights, ["filer_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {TXN}, d AS (SELECT filer_id, tran_date AS day, count(*) AS n FROM txn GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY filer_id ORDER BY day) AS i FROM d),
+r(filer_id, i, day, n, bin, size) AS (
+  SELECT filer_id, i, day, n, 0, n FROM o WHERE i = 1
+  UNION ALL SELECT o.filer_id, o.i, o.day, o.n, CASE WHEN r.size + o.n > 50 THEN r.bin + 1 ELSE r.bin END, CASE WHEN r.size + o.n > 50 THEN o.n ELSE r.size + o.n END
+  FROM r JOIN o ON o.filer_id = r.filer_id AND o.i = r.i + 1)
+SELECT filer_id, CAST(bin AS INT) AS bin, min(day) AS first_day, max(day) AS last_day, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2""")
 def contiguous_bins(s: Star) -> DataFrame:
     days = s.txn().groupBy("filer_id", F.col("tran_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return timeline.tiles(days, "filer_id", 50)
@@ -569,21 +575,47 @@ def norm_label(s: Star) -> DataFrame:
     return s.table("part").select(F.col("p_partkey").alias("id"), text.normalize_label(raw).alias("label"))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) || ' inc' WHEN c_custkey % 3 = 1 THEN 'mary ' || lower(c_mktsegment) ELSE 'o brien ' || lower(c_mktsegment) END AS name FROM customer""")
+_NAMES = (
+    # what is written, around a segment, and what it becomes
+    ("{}, Inc. (1234)", "{} inc"), ("{}, Mary", "mary {}"), ("O'Brien  {}", "o brien {}"), ("  {}\t Smith ", "{} smith"), ("{}, A, B", "{} a b"), ("{}, 2nd", "{} 2nd"),
+    ("Friends-of {}", "friends of {}"), ("{} (99)", "{}"), ("{} & Sons", "{} sons"), ("JOE {}", "joe {}"), ("", ""),
+)
+_ADDRESSES = (
+    (" North Main Street, Apt 4", " n main st"), (" SE Hawthorne Boulevard", " se hawthorne blvd"), (" Oak Avenue  Suite 100", " oak ave"), (" Pine Rd. #7", " pine rd 7"), (" South  Elm Drive", " s elm dr"), (" Lake Court Unit B", " lake ct"),
+)
+
+
+def _case(pairs: list[tuple[str, str]], key: str, shown: str) -> str:
+    """SQL that picks by key; ``{}`` stands for the column ``shown``."""
+    text = lambda x: "'" + x.replace("'", "''").replace("{}", f"' || {shown} || '") + "'"
+    return f"CASE {key} % {len(pairs)} " + " ".join(f"WHEN {k} THEN {text(x)}" for k, x in enumerate(p for p in pairs)) + " END"
+
+
+def _choice(texts: list[str], key: str, shown: str) -> Column:
+    out = F.lit(None).cast("string")
+    for k, x in enumerate(texts):
+        a, _, b = x.partition("{}")
+        out = F.when(F.col(key) % len(texts) == k, F.concat(F.lit(a), F.col(shown) if "{}" in x else F.lit(""), F.lit(b))).otherwise(out)
+    return out
+
+
+@query(f"SELECT c_custkey AS id, {_case([n for _, n in _NAMES], 'c_custkey', 'lower(c_mktsegment)')} AS name FROM customer")
 def norm_name(s: Star) -> DataFrame:
-    k = F.col("c_custkey") % 3
-    raw = F.when(k == 0, F.concat("c_mktsegment", F.lit(", Inc. (1234)"))).when(k == 1, F.concat("c_mktsegment", F.lit(", Mary"))).otherwise(F.concat(F.lit("O'Brien  "), "c_mktsegment"))
-    return s.table("customer").select(F.col("c_custkey").alias("id"), text.norm_name(raw).alias("name"))
+    return s.table("customer").select(F.col("c_custkey").alias("id"), text.norm_name(_choice([n for n, _ in _NAMES], "c_custkey", "c_mktsegment")).alias("name"))
 
 
-@query("""SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR) || ' n main st|' || lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS addr FROM customer""")
+@query(f"SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR) || {_case([n for _, n in _ADDRESSES], 'c_custkey', 'c_custkey')} || '|' || lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS addr FROM customer")
 def norm_addr(s: Star) -> DataFrame:
-    raw = F.concat(F.col("c_custkey").cast("string"), F.lit(" North Main Street, Apt 4"))
+    raw = F.concat(F.col("c_custkey").cast("string"), _choice([n for n, _ in _ADDRESSES], "c_custkey", "c_custkey"))
     z = F.concat(F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"), F.lit("-1234"))
     return s.table("customer").select(F.col("c_custkey").alias("id"), text.norm_addr(raw, z).alias("addr"))
 
 
-@query()
+@query("""WITH w AS (SELECT regexp_replace(upper(regexp_extract(p_name, '[^ ]*$')), '[^A-Z]', '', 'g') AS w FROM part),
+x AS (SELECT w, replace(replace(w, 'H', ''), 'W', '') AS bare FROM w),
+c AS (SELECT w, left(w, 1) AS first, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(left(w, 1) || replace(replace(substr(w, 2), 'H', ''), 'W', ''),
+  'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') AS digits FROM x)
+SELECT CASE WHEN w = '' THEN '' ELSE lower(first || left(replace(substr(digits, 2), '0', '') || '000', 3)) END AS block, count(*) AS n FROM c GROUP BY 1""")
 def soundex_block(s: Star) -> DataFrame:
     return s.table("part").select(text.soundex(F.element_at(F.split("p_name", " "), -1)).alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
 
@@ -649,7 +681,8 @@ def scope_digest(s: Star) -> DataFrame:
 
 
 # Identity.
-_EDGES = "e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 10 < 4 AND c_custkey + 7 <= (SELECT max(c_custkey) FROM customer))"
+#: Every customer and the next one, where they live in different nations: chains of many lengths.
+_EDGES = "e AS (SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 WHERE x.c_nationkey <> y.c_nationkey)"
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, g(a, b) AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM g UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.node)
@@ -659,9 +692,9 @@ def identity_components(s: Star) -> DataFrame:
 
 
 def _edges(s: Star) -> DataFrame:
-    customers = s.table("customer").select(F.col("c_custkey").alias("a"))
-    some = customers.filter("a % 10 < 4").withColumn("b", F.col("a") + 7)
-    return some.join(customers.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+    one = s.table("customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"), F.col("c_nationkey").alias("n"))
+    other = s.table("customer").select(F.col("c_custkey").alias("b"), F.col("c_nationkey").alias("m"))
+    return one.join(other, "b").filter("n <> m").select("a", "b")
 
 
 @query(f"""WITH RECURSIVE {TXN}, {_EDGES}, g(a, b) AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM g UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.node),
@@ -673,22 +706,24 @@ def identity_rekeyed_totals(s: Star) -> DataFrame:
     return ranking.netted(s.txn(donor=True), found).groupBy("donor_key").agg(money.total("total").alias("total"))
 
 
-@query("""WITH n AS (SELECT lower(regexp_replace(trim(c_mktsegment || ' ' || c_nationkey), '\\s+', ' ', 'g')) AS label, c_custkey % 40 AS entity FROM customer WHERE c_custkey % 40 = c_nationkey % 40 OR c_custkey % 100 = 1)
+@query("""WITH n AS (SELECT lower(regexp_replace(trim(c_mktsegment || ' ' || c_nationkey || ' ' || CAST(floor(c_acctbal / 1000) AS INT)), '\\s+', ' ', 'g')) AS label, c_custkey % 40 AS entity FROM customer)
 SELECT label, CAST(min(entity) AS VARCHAR) AS entity_id FROM n GROUP BY 1 HAVING count(DISTINCT entity) = 1""")
 def label_unambiguous(s: Star) -> DataFrame:
-    rows = s.table("customer").filter("c_custkey % 40 = c_nationkey % 40 or c_custkey % 100 = 1")
-    names = rows.select(F.col("c_custkey").alias("donor_id"), F.concat_ws("  ", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("name"))
+    words = F.concat_ws("  ", "c_mktsegment", F.col("c_nationkey").cast("string"), F.floor(F.col("c_acctbal") / 1000).cast("int").cast("string"))
+    names = s.table("customer").select(F.col("c_custkey").alias("donor_id"), words.alias("name"))
     identity = s.table("customer").select(F.col("c_custkey").alias("donor_id"), (F.col("c_custkey") % 40).alias("entity_id"))
     return graph.unambiguous_labels(names, identity).select("label", F.col("entity_id").cast("string").alias("entity_id"))
 
 
-@query(f"""WITH {NETTED}, y AS (SELECT DISTINCT year(tran_date) AS yr FROM txn WHERE order_key <= 100)
+@query(f"""WITH {NETTED}, y AS (SELECT DISTINCT year(tran_date) AS yr FROM txn WHERE filed_date > (SELECT max(filed_date) FROM txn) - INTERVAL 14 DAY)
 SELECT CAST(year(tran_date) AS INT) AS yr, donor_key, CAST(sum(amount) AS {MONEY}) AS total, CAST(sum(gift) AS BIGINT) AS gifts FROM net WHERE year(tran_date) IN (SELECT yr FROM y) GROUP BY 1, 2""")
 def dirty_year_rebuild(s: Star) -> DataFrame:
     from ..sources.sinks import dirty_years
 
     txn = s.txn(donor=True)
-    dirty = [r[0] for r in dirty_years(txn, txn.filter("order_key <= 100")).collect()]  # years
+    last = s.table("orders").agg(F.max(F.col("o_orderdate").cast("date"))).first()[0]
+    new = txn.filter(F.col("filed_date") > F.date_sub(F.lit(last), 14))  # what a rolling fortnight reads again
+    dirty = [r[0] for r in dirty_years(txn, new).collect()]  # years
     return ranking.year_totals(ranking.year_sums(ranking.netted(txn.filter(F.year("tran_date").isin(dirty)))))
 
 

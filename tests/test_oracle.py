@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlight.plans.queries import QUERIES, SQL
+from ledgerlight.plans.filings import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
