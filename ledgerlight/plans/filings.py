@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import documents as docs
 from ..functions import money
 from ..operators import dedup, elections, ranking, reconcile, resolve, timeline
 from ..schema import is_statement_contribution, is_statement_expenditure, moves_cash
@@ -216,4 +217,23 @@ def state_tally(s: Star) -> DataFrame:
     return reconcile.tally(s.table("orders").select(F.col("o_orderstatus").alias("state")))
 
 
+# JSON documents.
+@query("""SELECT event_id, json_exists(props, '$.k') AS has_k, coalesce(json_exists(props, '$.k') OR json_exists(props, '$.zzz'), false) AS any_key, json_type(props) = 'OBJECT' AS is_object FROM events""")
+def json_keys(s: Star) -> DataFrame:
+    return s.table("events").select("event_id", docs.has_key("props", "k").alias("has_k"), docs.has_any_key("props", "k", "zzz").alias("any_key"), (docs.kind("props") == "object").alias("is_object"))
 
+
+@query("""WITH n AS (SELECT n_regionkey, '[' || string_agg('{"key":' || n_nationkey || ',"name":"' || n_name || '"}', ',' ORDER BY n_name) || ']' AS nations,
+'{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_name) || '}' AS keys, count(*) AS n FROM nation GROUP BY 1)
+SELECT n_regionkey AS region, nations, keys, json_array_length(nations)::INT AS n, '{"region":' || n_regionkey || ',"nations":' || n || '}' AS doc FROM n""")
+def json_reports(s: Star) -> DataFrame:
+    one = F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    out = s.table("nation").groupBy(F.col("n_regionkey").alias("region")).agg(docs.gathered(one, F.col("n_name")).alias("nations"), docs.gathered_object(F.col("n_name"), F.col("n_nationkey")).alias("keys"))
+    out = out.withColumn("n", docs.array_length("nations"))
+    return out.withColumn("doc", docs.build_object(region=F.col("region"), nations=F.col("n")))
+
+
+@query("""SELECT n_regionkey AS region, n_name AS name FROM nation""")
+def json_elements(s: Star) -> DataFrame:
+    lists = s.table("nation").groupBy(F.col("n_regionkey").alias("region")).agg(docs.gathered(F.col("n_name"), F.col("n_nationkey")).alias("names"))
+    return lists.select("region", F.explode(docs.elements("names")).alias("name"))

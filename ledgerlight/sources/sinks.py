@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..store import cut
+from ..store import cut, mark, release
 
 
 def write_shards(df: DataFrame, path: str, date: str = "filed_date") -> None:
@@ -61,7 +61,7 @@ def publish(tables: dict[str, DataFrame], folder: str, index: str | None = None,
 
     The index and the details must have the same keys, each once.
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark, since = next(iter(tables.values())).sparkSession, mark()
     version = uuid.uuid4().hex
     receipt = {"version": version, "tables": {}}
     for name, df in tables.items():
@@ -82,6 +82,7 @@ def publish(tables: dict[str, DataFrame], folder: str, index: str | None = None,
     out.close()
     # A rename that replaces what is there: readers find the old pointer or the new one.
     spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark._jsc.hadoopConfiguration()).rename(staged, hadoop.Path(f"{folder}/current.json"), _overwrite(spark))
+    release(spark, since)
     return receipt
 
 
@@ -115,7 +116,7 @@ def write_review(pairs: DataFrame, path: str, limit: int = V.REVIEW_ROWS) -> Non
 
 def replace_changed(path: str, new: DataFrame, partition: str = "yr") -> list:
     """Writes only the partitions whose rows differ from those in place; returns them."""
-    spark = new.sparkSession
+    spark, since = new.sparkSession, mark()
     new = cut(new, "totals")
     try:
         old = spark.read.schema(new.schema).parquet(path)
@@ -132,4 +133,5 @@ def replace_changed(path: str, new: DataFrame, partition: str = "yr") -> list:
     changed = [r[0] for r in b.join(a, partition, "left").filter("not (a.d <=> b.d and a.n <=> b.n)").select(partition).collect()]  # years
     if changed:
         new.filter(F.col(partition).isin(changed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    release(spark, since)
     return sorted(changed)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators.ranking import netted, year_sums
 from ..sources.sinks import delete, dirty_years, upsert
-from ..store import cut
+from ..store import cut, mark, release
 
 
 def landed(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -50,28 +50,36 @@ class Ledger:
     def apply(self, batch: DataFrame, order: str = "seq", deleted: str | None = None) -> list[int]:
         """Upserts one batch and rebuilds the years it touches; returns them.
 
-        Rows whose ``deleted`` flag is set take their id out. Corrections of any age are found by id.
+        Rows whose ``deleted`` flag is set take their id out. Corrections of any age are found by id. The years are noted before anything is
+        replaced, and what a batch that failed has noted is rebuilt by the next one, so sums never stay behind their rows.
         """
+        since = mark()
         batch = cut(last_in_batch(batch, order=order), "batch")
         old = self.rows()
-        years = [r[0] for r in dirty_years(old, batch).collect()]
+        noted = self._read("pending", self.spark.createDataFrame([], "yr int"))
+        years = sorted({r[0] for r in dirty_years(old, batch).unionByName(noted).distinct().collect()})
+        self.spark.createDataFrame([(y,) for y in years], "yr int").coalesce(1).write.mode("append").parquet(f"{self.folder}/pending")
         keep = batch.filter(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else batch
         names = [c for c in old.columns if c != "yr"]
         touched = old.filter(F.col("yr").isin(years))
         now = upsert(delete(touched, batch).select(*names), keep.select(*names)).withColumn("yr", F.coalesce(F.year("tran_date"), F.lit(0)))
         self._replace(cut(now.filter(F.col("yr").isin(years)), "rows"), "rows", years)
         self._replace(year_sums(netted(self.rows().filter(F.col("yr").isin(years)).drop("yr"))), "sums", years)
-        return sorted(years)
+        self._delete("pending")
+        release(self.spark, since)
+        return years
+
+    def _delete(self, name: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def _replace(self, df: DataFrame, name: str, years: list[int]) -> None:
         path = f"{self.folder}/{name}"
         df = cut(df, name)
         df.repartition("yr").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yr").parquet(path)
         left = {r[0] for r in df.select("yr").distinct().collect()}
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
         for y in set(years) - left:  # a year that lost its last row
-            p = hadoop.Path(f"{path}/yr={y}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(f"{name}/yr={y}")
 
     def run(self, stream: DataFrame, checkpoint: str, order: str = "seq", deleted: str | None = None) -> StreamingQuery:
         """All that has landed, batch by batch, then stops; a later run goes on from there."""

@@ -86,3 +86,30 @@ def test_lcs_matches_the_textbook():
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert fuzzy.lcs(a, b) == t[-1][-1]
     assert fuzzy.token_set("rob wagner", "wagner rob jr") == 100.0
+
+
+def test_table_functions(spark):
+    from datetime import date
+
+    from ledgerlight.functions import sql
+
+    rows = [(1, "Friends of A", "f1", "a", "Ann", "I", date(2020, 1, 2), 10), (2, "Friends of A", "f1", "b", "Anne", "I", date(2020, 1, 1), 20), (3, "Growers", "f2", "c", "Bob", "B", date(2021, 1, 1), 30), (4, "Growers", "f2", "a", "Ann", "I", date(2022, 1, 1), 40)]
+    frame = spark.createDataFrame(rows, "tran_id long, filer string, filer_id string, donor_id string, contributor_payee string, book_type string, tran_date date, amount int")
+    views = {
+        "transactions": frame.selectExpr("*", "'C' as tran_type", "'Cash Contribution' as sub_type").withColumn("amount", F.col("amount").cast("decimal(18,2)")),
+        "identity": spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "donor_id string, entity_id string"),
+        "donors": spark.createDataFrame([("a", "Ann", 50, 2), ("b", "Anne", 20, 1), ("c", "Bob", 30, 1)], "donor_id string, display_name string, total_given int, gift_count int"),
+        "donor_names": spark.createDataFrame([("b", "Annie"), ("c", "Robert")], "donor_id string, raw_name string"),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    sql.register(spark, tables=True)
+    found = lambda text: [tuple(r) for r in spark.sql(text).collect()]
+    assert sorted(r[-1] for r in found("SELECT * FROM search_transactions('friends', 'ANN', '', '', '', NULL, NULL, NULL, NULL)")) == [1, 2]
+    assert sorted(r[-1] for r in found("SELECT * FROM search_transactions('', 'zzz', 'a', 'C', 'I', DATE '2020-01-02', NULL, 10, 39)")) == [1]
+    assert [(r[0], int(r[2]), r[3], r[4]) for r in found("SELECT * FROM search_donors(' ann ', 5)")] == [("a", 70, 3, "Annie")]
+    assert found("SELECT * FROM search_donors('x', 5)") == [] and len(found("SELECT * FROM search_donors('an', 0)")) == 1
+    got = {(r[0], r[1]): (str(r[2]), int(r[3])) for r in found("SELECT * FROM first_gifts(array('b'), array('f1', 'f2'), DATE '2021-12-31')")}
+    assert got == {("a", "f1"): ("2020-01-01", 20)}
+    assert {r[0] for r in found("SELECT * FROM donor_group('b')")} == {"a", "b"}
+    assert len(found("SELECT * FROM daily_contributions(DATE '2020-01-01', DATE '2020-12-31')")) == 2

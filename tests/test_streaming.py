@@ -32,6 +32,29 @@ def test_late_corrections_rebuild_their_years_only(spark, tmp_path):
     assert ledger.apply(again) == [2022] and ledger.apply(again) == [2022] and sums() == {2022: 12}
 
 
+def test_a_batch_that_fails_between_rows_and_sums_is_made_good(spark, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger", ROW)
+    one = lambda *rows: spark.createDataFrame(list(rows), BATCH)
+    ledger.apply(one(row(1, date(2020, 5, 1), 10), row(2, date(2021, 5, 1), 20)))
+    real, calls = ledger._replace, []
+
+    def fails(df, name, years):
+        calls.append(name)
+        if name == "sums":
+            raise OSError("lost")
+        real(df, name, years)
+
+    ledger._replace = fails
+    moved = one(row(1, date(2022, 5, 1), 11, 1))
+    try:
+        ledger.apply(moved)
+    except OSError:
+        ledger._replace = real
+    assert calls == ["rows", "sums"]
+    ledger.apply(moved)  # the year that the row has left is known no more from the rows
+    assert {r.yr: r.total for r in ledger.sums().collect()} == {2021: 20, 2022: 11}
+
+
 def test_windows_over_a_stream_match_the_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.write.parquet(f"{tmp_path}/events")
