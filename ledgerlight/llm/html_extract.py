@@ -6,7 +6,8 @@ container with the most points, itself discounted by link density, is the articl
 belong to it. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by their element, role or class,
 take no part, nor do scripts, styles and hidden parts. Headings are never known by class or id, and sections only by names that
 fit nothing else: inside an ``article`` a word of ``SURE`` or two words of ``NOISE``, elsewhere any of them but ``UNSURE``, and
-never beside words that are no qualifiers (``related-work``). Share of links only chooses the container: lists, tables and boxes
+never beside words that are no qualifiers (``related-work``). Other elements inside an ``article`` are known by a word of ``SURE``, or by names that have no
+words but these and such as boilerplate's parts have (``share-buttons``, not ``copyright-history``). Share of links only chooses the container: lists, tables and boxes
 of links inside the article stay.
 
 Character references are decoded; white space becomes one space inside a block, and one space joins the blocks in page order.
@@ -73,6 +74,8 @@ SURE = frozenset("navbar topbar ad ads adv advert adverts adsense adbox adslot b
 UNSURE = frozenset("header related discussion notice notices alert alerts respond".split())
 #: Words that may stand beside them in the name of a section that is boilerplate.
 QUALIFIERS = frozenset("site page main top bottom left right global section area container wrapper wrap box block bar list inner outer item items link links post posts articles stories form".split())
+#: And in the names of other boilerplate inside an article.
+PARTS = frozenset("button buttons icon icons count row col column inline message slot unit cta us up in field thread meta tools strip card cards teaser teasers grid text title heading head body content js is small large top".split())
 KEPT = frozenset("html body main article".split())
 LEVELS = 5
 SIBLING_SHARE = 0.2
@@ -160,7 +163,10 @@ class _Page:
                     if len(found) > 1 or found & (SURE if inside else NOISE - UNSURE):
                         return True
                     continue
-                words = {w.lower() for w in WORDS.findall(MODIFIED.sub(" ", value))}
+                value = MODIFIED.sub(" ", value)
+                if inside and name not in KEPT:  # running text may be named after what it is about: copyright-history
+                    value = " ".join(part for part in value.split() if (of := {w.lower() for w in WORDS.findall(part)}) & SURE or of <= NOISE | QUALIFIERS | PARTS)
+                words = {w.lower() for w in WORDS.findall(value)}
                 if words & (REPLIES if name in KEPT else NOISE):
                     return name not in ("html", "body")
             elif key == "role":

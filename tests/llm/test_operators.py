@@ -91,6 +91,19 @@ def test_main_text_keeps_links_headings_and_sections(inner, text, tag):
     assert html_extract.main_text(in_article(inner, tag)) == f"{LINKED} {text}".strip()
 
 
+@pytest.mark.parametrize("name, stays", [("copyright-history", True), ("footer-note", True), ("share-of-votes", True), ("share-buttons", False), ("cookie-notice", False), ("ad-slot wide", False), ("notice", False), ("alert box", False)])
+@pytest.mark.parametrize("tag", ["div", "p"])
+def test_class_words_beside_others_are_no_noise_in_an_article(tag, name, stays):
+    text = "It was written, at length, by those who lived there, in the years before."
+    assert html_extract.main_text(in_article(f'<{tag} class="{name}">{text}</{tag}>')) == (f"{LINKED} {text}" if stays else LINKED)
+
+
+def test_very_long_pages_are_read_whole():
+    inner = "".join(f"<p>Paragraph {k}, with words, and more.</p>" for k in range(40_000))
+    text = html_extract.main_text(in_article(inner))
+    assert text == LINKED + " " + " ".join(f"Paragraph {k}, with words, and more." for k in range(40_000))
+
+
 def test_single_words_are_no_noise_in_an_article():
     assert html_extract.main_text(in_article('<section id="login"><h2>Login</h2><p>How to.</p></section>')) == f"{LINKED} Login How to."
     assert html_extract.main_text(in_article('<section class="ads"><p>Buy, buy.</p></section>')) == LINKED
