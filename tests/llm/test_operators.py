@@ -385,7 +385,7 @@ def test_random_tokens_are_found_among_many_ordinary_ones(spark):
     assert len(plain) == 540 and found >= 30 and sum(got.values()) - found <= 0.1 * found
 
 
-def tested(token):
+def measures(token):
     """Stratum, letters, class, and the three measures, in plain Python."""
     t = token.rstrip("=")
     e, letters = next((e, a) for e, a in secrets.ALPHABETS.items() if set(t) <= set(a))
@@ -407,9 +407,9 @@ def tested(token):
 def random_by_battery(tokens):
     """Which tokens are discoveries: the null hypotheses, p-values and procedure in plain Python."""
     by, out = defaultdict(list), set()
-    kinds = {i: int(tested(t)[0].split(":")[1]) for i, t in enumerate(tokens)}
+    kinds = {i: int(measures(t)[0].split(":")[1]) for i, t in enumerate(tokens)}
     for i, t in enumerate(tokens):
-        by[tested(t)[0]].append((i, *tested(t)[1:]))
+        by[measures(t)[0]].append((i, *measures(t)[1:]))
     for some in by.values():
         m = len(some)
         evens = sorted(x[3] for x in some)
