@@ -16,14 +16,17 @@ SCALARS = {
     "cycle_of(day DATE) RETURNS INT": "year(day) + year(day) % 2 + CASE WHEN month(day) = 12 AND year(day) % 2 = 0 THEN 2 ELSE 0 END",
     "is_cash_gift(tran_type STRING, sub_type STRING) RETURNS BOOLEAN": "tran_type = 'C' AND NOT coalesce(sub_type, '') IN (" + ", ".join(f"'{s}'" for s in V.IN_KIND) + ")",
 }
-#: Over the views ``transactions`` (filer_id, tran_date, amount, tran_type, sub_type, ...), ``identity`` (donor_id, entity_id), ``donors`` (donor_id,
-#: display_name, total_given, gift_count) and ``donor_names`` (donor_id, raw_name). An empty text or a null disables a condition.
+#: Over the views ``transactions`` (filer_id, tran_date, amount, tran_type, sub_type, ...) and ``identity`` (donor_id, entity_id).
 TABLES = {
     "daily_contributions(first DATE, last DATE) RETURNS TABLE (tran_date DATE, total DECIMAL(18,2), gifts BIGINT)": """
         SELECT t.tran_date, CAST(sum(t.amount) AS DECIMAL(18,2)), count(*) FROM transactions t
         WHERE is_cash_gift(t.tran_type, t.sub_type) AND t.tran_date BETWEEN daily_contributions.first AND daily_contributions.last GROUP BY t.tran_date""",
     "donor_group(donor STRING) RETURNS TABLE (donor_id STRING)": """
         SELECT i.donor_id FROM identity i JOIN identity j ON i.entity_id = j.entity_id WHERE j.donor_id = donor_group.donor""",
+}
+#: Over these (with filer, donor_id, contributor_payee, book_type, tran_id) and the views ``donors`` (donor_id, display_name, total_given, gift_count)
+#: and ``donor_names`` (donor_id, raw_name). An empty text or a null disables a condition.
+SEARCHES = {
     """search_transactions(filer STRING, payee STRING, donor STRING, kind STRING, book STRING, first DATE, last DATE, least DECIMAL(18,2), most DECIMAL(18,2))
     RETURNS TABLE (tran_date DATE, tran_type STRING, amount DECIMAL(18,2), filer STRING, contributor_payee STRING, book_type STRING, tran_id BIGINT)""": """
         SELECT t.tran_date, t.tran_type, t.amount, t.filer, t.contributor_payee, t.book_type, t.tran_id FROM transactions t
@@ -50,9 +53,7 @@ TABLES = {
 }
 
 
-def register(spark: SparkSession, tables: bool = False) -> None:
-    """Adds the functions to a session; ``tables`` too, for which the views must be there."""
-    for head, body in SCALARS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    for head, body in TABLES.items() if tables else ():
+def register(spark: SparkSession, tables: bool = False, searches: bool = False) -> None:
+    """Adds the functions to a session; ``tables`` and ``searches`` too, for which the views must be there."""
+    for head, body in (SCALARS | (TABLES if tables else {}) | (SEARCHES if searches else {})).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -103,7 +103,7 @@ def test_table_functions(spark):
     }
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    sql.register(spark, tables=True)
+    sql.register(spark, tables=True, searches=True)
     found = lambda text: [tuple(r) for r in spark.sql(text).collect()]
     assert sorted(r[-1] for r in found("SELECT * FROM search_transactions('friends', 'ANN', '', '', '', NULL, NULL, NULL, NULL)")) == [1, 2]
     assert sorted(r[-1] for r in found("SELECT * FROM search_transactions('', 'zzz', 'a', 'C', 'I', DATE '2020-01-02', NULL, 10, 39)")) == [1]
