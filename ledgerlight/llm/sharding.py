@@ -27,7 +27,7 @@ from .common import before, small, written
 
 ROWS_PER_BUCKET = 1_024
 #: Parts of a bucket: one, and those of many equal rows.
-PARTS = 1 << 20
+PARTS = 1 << 10
 
 
 def _buckets(rows: int, rows_per_bucket: int) -> int:
@@ -35,6 +35,11 @@ def _buckets(rows: int, rows_per_bucket: int) -> int:
     return max(1, math.ceil(math.log2(max(2, rows / rows_per_bucket))))
 
 
+def _levels(bits: int) -> int:
+    """In how many levels counts of so many buckets are summed up, each of 1024 rows."""
+    return max(1, -(-bits // 10))
+
+
 def interleave(
     docs: DataFrame,
     shards: int = 24,
@@ -66,7 +71,7 @@ def interleave(
 
     # The r-th row of its stratum.
     per_bucket = rows.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("c"))
-    per_bucket = before(per_bucket, "b", ["stratum"], "c", 3).drop("c")
+    per_bucket = before(per_bucket, "b", ["stratum"], "c", _levels(bits + 10)).drop("c")
     ranked = rows.withColumn("i", F.row_number().over(W.partitionBy("stratum", "b").orderBy("h", *alike, "m")).cast("long"))
     ranked = ranked.join(per_bucket, ["stratum", "b"]).withColumn("rank", F.col("before") + F.col("i"))
 
@@ -74,7 +79,7 @@ def interleave(
     odd = F.col("rank") * 2 - 1
     ranked = ranked.withColumn("f", odd / (F.col("of") * 2)).drop("b", "i", "before", "of", "h", "m")
     ranked = ranked.withColumn("g", F.least(F.floor(F.col("f") * (1 << bits)), F.lit((1 << bits) - 1)))
-    per_range = before(ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g", [], "c", 3).drop("c", "of")
+    per_range = before(ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g", [], "c", _levels(bits)).drop("c", "of")
     placed = ranked.withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("f", "stratum", "rank")).cast("long"))
     placed = placed.join(per_range, "g").withColumn("position", F.col("before") + F.col("i") - 1)
 
