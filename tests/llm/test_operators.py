@@ -544,6 +544,13 @@ def test_large_components_take_part(spark):
     assert got == want
 
 
+def test_vectors_that_are_all_the_same_or_empty(spark):
+    rows = [(i, [0.5, -0.25]) for i in range(120)] + [(200 + i, []) for i in range(8)] + [(300, [0.0, 0.0]), (350, [-1.0, 2.0]), (350, [-1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = Counter(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, bucket=16, block=2).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == best_by_brute_force(rows, 50, 5)
+
+
 def unit_of(v, n, theta, order):
     return topk.Unit(v[:n] / 256, theta, v[order] / 256, order.astype(np.int64), 256)
 
