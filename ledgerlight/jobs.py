@@ -31,22 +31,24 @@ def ingest(spark: SparkSession, landing: str, silver: str) -> DataFrame:
     return spark.read.parquet(silver)
 
 
-def entities(spark: SparkSession, silver: str, out: str) -> DataFrame:
-    """Contributors of all transactions to aliases with their entity."""
+def entities(spark: SparkSession, silver: str, out: str, dry_run: bool = False) -> DataFrame:
+    """Contributors of all transactions to aliases with their entity; a dry run writes nothing."""
     rows = with_missing(spark.read.parquet(silver), *PARTS.values())
     tuples = resolve.contributor_tuples(rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for n, c in PARTS.items()]))
     keyed = cut(resolve.keyed(tuples), "tuples")
     found = resolve.clusters(keyed)
     aliases = keyed.join(found, "alias", "left").withColumn("entity_id", F.coalesce("entity_id", entity_id("alias")))
+    if dry_run:
+        return aliases
     sinks.reload(aliases, out)
     return spark.read.parquet(out)
 
 
-def refresh(spark: SparkSession, silver: str, gold: str) -> list:
-    """Year sums of netted donor rows: only the years whose sums changed are written."""
+def refresh(spark: SparkSession, silver: str, gold: str, full: bool = False) -> list:
+    """Year sums of netted donor rows: only the years whose sums changed are written, or all of them."""
     rows = with_missing(spark.read.parquet(silver), "donor_id").withColumn("donor_id", F.nullif("donor_id", F.lit("")))
     sums = ranking.year_sums(ranking.netted(rows))
-    return sinks.replace_changed(f"{gold}/donor_sums", sums)
+    return sinks.replace_changed(f"{gold}/donor_sums", sums, full=full)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -56,14 +58,18 @@ def main(argv: list[str] | None = None) -> None:
         sub = todo.add_parser(name)
         for a in arguments:
             sub.add_argument(a)
+        if name == "resolve":
+            sub.add_argument("--dry-run", action="store_true", help="count entities, write nothing")
+        if name == "refresh":
+            sub.add_argument("--full", action="store_true", help="write all years")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"ledgerlight {args.job}").getOrCreate()
     if args.job == "ingest":
         print(ingest(spark, args.landing, args.silver).count(), "rows")
     elif args.job == "resolve":
-        print(entities(spark, args.silver, args.out).select("entity_id").distinct().count(), "entities")
+        print(entities(spark, args.silver, args.out, args.dry_run).select("entity_id").distinct().count(), "entities")
     elif args.job == "refresh":
-        print("years rebuilt:", *refresh(spark, args.silver, args.gold))
+        print("years rebuilt:", *refresh(spark, args.silver, args.gold, args.full))
     else:
         register(spark)
         rows, more = explore.run_sql(spark, args.text, {"transactions": spark.read.parquet(args.silver)})

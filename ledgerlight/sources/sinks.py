@@ -114,8 +114,8 @@ def write_review(pairs: DataFrame, path: str, limit: int = V.REVIEW_ROWS) -> Non
     pairs.orderBy(F.desc("score"), *[c for c in pairs.columns if c != "score"]).limit(limit).write.mode("overwrite").json(path)
 
 
-def replace_changed(path: str, new: DataFrame, partition: str = "yr") -> list:
-    """Writes only the partitions whose rows differ from those in place; returns them."""
+def replace_changed(path: str, new: DataFrame, partition: str = "yr", full: bool = False) -> list:
+    """Writes only the partitions whose rows differ from those in place (``full``: all of the new ones); returns them."""
     spark, since = new.sparkSession, mark()
     new = cut(new, "totals")
     try:
@@ -130,7 +130,7 @@ def replace_changed(path: str, new: DataFrame, partition: str = "yr") -> list:
         return df.groupBy(partition).agg(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("d"), F.count(F.lit(1)).alias("n"))
 
     a, b = digest(old).alias("a"), digest(new).alias("b")
-    changed = [r[0] for r in b.join(a, partition, "left").filter("not (a.d <=> b.d and a.n <=> b.n)").select(partition).collect()]  # years
+    changed = [r[0] for r in b.join(a, partition, "left").filter(F.lit(full) | F.expr("not (a.d <=> b.d and a.n <=> b.n)")).select(partition).collect()]  # years
     if changed:
         new.filter(F.col(partition).isin(changed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     release(spark, since)

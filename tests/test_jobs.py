@@ -22,6 +22,9 @@ def test_ingest_resolve_refresh(spark, tmp_path):
     assert len({r.entity_id for r in found}) == 2
     assert jobs.refresh(spark, silver, gold) == [0, 2020, 2021]
     assert jobs.refresh(spark, silver, gold) == []
+    assert jobs.refresh(spark, silver, gold, full=True) == [0, 2020, 2021] and jobs.refresh(spark, silver, gold) == []
+    dry = tmp_path / "dry"
+    assert len({r.entity_id for r in jobs.entities(spark, silver, str(dry), dry_run=True).collect()}) == 2 and not dry.exists()
     jobs.main(["sql", silver, "select filer_id, sum(amount) as total from transactions group by filer_id"])
 
 
